@@ -147,30 +147,22 @@ def label_softmax(scores: DataFrame, item: str = "item_id", score: str = "score"
     return scores.withColumn("_shifted", shifted).withColumn(out, F.col("_shifted") / F.sum("_shifted").over(labels)).drop("_shifted")
 
 
-def scaled_scores(
-    items: DataFrame,
-    labels: DataFrame,
-    scale: float = 10.0,
-    vector: str = "embedding",
-    similarity: str = "ip",
-    block_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """``(item_id, label, score)`` for every item and label: ``scale`` times the similarity.
+def _over_labels(items: DataFrame, labels: DataFrame, vector: str, block_bytes: int, row, schema: str) -> list[DataFrame]:
+    """Run ``row(item_ids, vectors, names, matrix)`` over the items, once per block of labels.
 
-    Items stay where they are. Labels are broadcast in blocks of a bounded size, one block in
+    Items stay where they are. Labels are broadcast in blocks of a bounded size: one block in
     almost every case; more blocks mean more scans of the items.
     """
     side = labels.where(F.col(vector).isNotNull()).select(as_id("label").alias("label"), F.col(vector).alias("vector"))
     n_labels, dim = side.agg(F.count("*"), F.max(F.size("vector"))).first()
-    blocks = max(1, -(-n_labels * (dim or 0) * 8 // block_bytes))
+    dim = dim or 0
+    blocks = max(1, -(-n_labels * dim * 8 // block_bytes))
     side = side.withColumn("_block", F.pmod(F.xxhash64("label"), F.lit(blocks)))
     rows = items.where(F.col(vector).isNotNull()).select(as_id("item_id").alias("item_id"), F.col(vector).alias("vector"))
-    context = items.sparkSession.sparkContext
-    compare = SIMILARITIES[similarity]
     parts = []
     for block in range(blocks):
-        table = side.where(F.col("_block") == block).drop("_block").toArrow()
-        shared = context.broadcast((table["label"].to_pylist(), to_matrix(table["vector"], dim or 0)))
+        table = side.where(F.col("_block") == block).drop("_block").orderBy("label").toArrow()
+        shared = items.sparkSession.sparkContext.broadcast((table["label"].to_pylist(), to_matrix(table["vector"], dim)))
 
         def score(batches, shared=shared):
             names, matrix = shared.value
@@ -178,24 +170,64 @@ def scaled_scores(
             for batch in batches:
                 for start in range(0, batch.num_rows if names else 0, step):
                     part = batch.slice(start, step)
-                    values = scale * compare(to_matrix(part.column("vector"), matrix.shape[1]), matrix, 1e-6)
-                    item = part.column("item_id").take(pa.array(np.repeat(np.arange(part.num_rows), len(names))))
-                    columns = [item, pa.array(names * part.num_rows, pa.string()), pa.array(values.ravel())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["item_id", "label", "score"])
-
-        parts.append(rows.mapInArrow(score, "item_id string, label string, score double"))
-    scores = parts[0]
-    for part in parts[1:]:
+                    yield row(part.column("item_id"), to_matrix(part.column("vector"), dim), names, matrix)
+
+        parts.append(rows.mapInArrow(score, schema))
+    return parts
+
+
+def scaled_scores(
+    items: DataFrame,
+    labels: DataFrame,
+    scale: float = 10.0,
+    vector: str = "embedding",
+    similarity: str = "ip",
+    block_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """``(item_id, label, score)`` for every item and label: ``scale`` times the similarity."""
+    compare = SIMILARITIES[similarity]
+
+    def row(ids, vectors, names, matrix):
+        item = ids.take(pa.array(np.repeat(np.arange(len(ids)), len(names))))
+        values = scale * compare(vectors, matrix, 1e-6)
+        columns = [item, pa.array(names * len(ids), pa.string()), pa.array(values.ravel())]
+        return pa.RecordBatch.from_arrays(columns, names=["item_id", "label", "score"])
+
+    schema = "item_id string, label string, score double"
+    scores, *more = _over_labels(items, labels, vector, block_bytes, row, schema)
+    for part in more:
         scores = scores.unionByName(part)
     return scores
 
 
-def classify(items: DataFrame, labels: DataFrame, scale: float = 10.0, vector: str = "embedding") -> DataFrame:
-    """The most probable label of every item: ``(item_id, label, probability)``."""
-    scores = scaled_scores(items, labels, scale, vector)
-    # Softmax of the best label is 1 over the sum of exp(score - best): no sort, no window.
-    best = scores.groupBy("item_id").agg(
-        F.max(F.struct("score", F.col("label"))).alias("top"), F.collect_list("score").alias("scores")
-    )
-    total = F.aggregate("scores", F.lit(0.0), lambda t, s: t + F.exp(s - F.col("top.score")))
-    return best.select("item_id", F.col("top.label").alias("label"), (1 / total).alias("probability"))
+def classify(
+    items: DataFrame, labels: DataFrame, scale: float = 10.0, vector: str = "embedding", block_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """The most probable label of every item: ``(item_id, label, probability)``.
+
+    A task keeps the best label and the sum of exponentials per item, so scores are not
+    shuffled; only with several blocks of labels are those two numbers combined per item.
+    """
+
+    def row(ids, vectors, names, matrix):
+        scores = scale * (vectors @ matrix.T)
+        best = scores.argmax(axis=1)
+        top = scores[np.arange(len(ids)), best]
+        total = np.exp(scores - top[:, None]).sum(axis=1)
+        columns = [ids, pa.array([names[i] for i in best], pa.string()), pa.array(top), pa.array(total)]
+        return pa.RecordBatch.from_arrays(columns, names=["item_id", "label", "top", "total"])
+
+    schema = "item_id string, label string, top double, total double"
+    parts = _over_labels(items, labels, vector, block_bytes, row, schema)
+    best = parts[0]
+    if len(parts) > 1:
+        for part in parts[1:]:
+            best = best.unionByName(part)
+        best = best.groupBy("item_id").agg(
+            F.max_by("label", F.struct("top", "label")).alias("label"),
+            F.max("top").alias("top"),
+            F.collect_list(F.struct("top", "total")).alias("blocks"),
+        )
+        total = F.aggregate("blocks", F.lit(0.0), lambda t, b: t + b["total"] * F.exp(b["top"] - F.col("top")))
+        best = best.withColumn("total", total)
+    return best.select("item_id", "label", (1 / F.col("total")).alias("probability"))

@@ -48,7 +48,6 @@ def _pieces(spark: SparkSession, path: str, value_type: str) -> DataFrame:
             F.monotonically_increasing_id().alias("place"),
         )
     )
-    body = F.regexp_replace("value", r"\}\s*$", "")
     last = F.regexp_like("value", F.lit(r"\}\s*\}\s*$"))
     first = F.col("value").startswith('{"')
     whole = F.concat(
@@ -63,7 +62,7 @@ def _pieces(spark: SparkSession, path: str, value_type: str) -> DataFrame:
     return (
         text.where(~empty)
         .withColumn("entries", entries)
-        .withColumn("bad", F.coalesce((F.size("entries") != 1) | (braces != 1) | (body == F.col("value")) & last, F.lit(True)))
+        .withColumn("bad", F.coalesce((F.size("entries") != 1) | (braces != 1), F.lit(True)))
         .withColumn("key", F.try_element_at("entries", F.lit(1))["key"])
         .withColumn("value", F.try_element_at("entries", F.lit(1))["value"])
         .select("key", "value", "bad", "file", "start", "place")
@@ -105,16 +104,18 @@ def write_keyed_json(df: DataFrame, path: str, key: str, value: str):
     """
 
     def lines(batches):
-        opened = False
+        held = "{"
         for batch in batches:
             out = []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out.append((", " if opened else "{") + json.dumps(name) + ": " + text)
-                opened = True
+                if held != "{":
+                    out.append(held + ",")
+                    held = ""
+                held += json.dumps(name) + ": " + text
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-        yield pa.RecordBatch.from_arrays([pa.array(["}" if opened else "{}"])], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([held + "}"])], names=["value"])
 
-    df.select(key, value).mapInArrow(lines, "value string").write.option("lineSep", "\n").text(path)
+    df.select(key, value).mapInArrow(lines, "value string").write.option("lineSep", " ").text(path)
 
 
 def write_corpus_json(df: DataFrame, path: str, doc_id: str = "doc_id"):
