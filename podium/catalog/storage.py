@@ -159,13 +159,13 @@ def _metrics(spark, sf_dir):
     return evaluate(*stored_run_and_qrels(spark, sf_dir), KS)
 
 
-@query(f"WITH {METRICS_SQL} SELECT name, round(value, 4) + 0.0 AS value FROM metrics WHERE k IS NOT NULL")
+@query(f"WITH {METRICS_SQL} SELECT name, round_even(value::DECIMAL(18, 12), 5)::DOUBLE AS value FROM metrics WHERE k IS NOT NULL")
 def report_roundtrip(spark, sf_dir):
     """The nested report of one experiment, and its metrics as read for a leaderboard."""
     folder = new_folder(spark, "experiment")
     report.write_report_json(_metrics(spark, sf_dir), f"{folder}/output.json", top_k=HITS)
     metrics, _ = report.read_experiments(spark, [folder])
-    return metrics.select("name", rounded("value", 4).alias("value"))
+    return metrics.select("name", rounded("value", 5).alias("value"))
 
 
 @query(f"WITH {METRICS_SQL} SELECT name, metric, k, round(value, 6) + 0.0 AS value FROM metrics")
@@ -177,7 +177,7 @@ def report_long(spark, sf_dir):
 
 
 _SUMMARY_CSV = ", ".join(
-    f"round(max(value) FILTER (name = '{name}'), 4) + 0.0 AS \"{column}\"" for column, name in SUMMARY_COLUMNS.items()
+    f"round_even(max(value::DECIMAL(18, 12)) FILTER (name = '{name}'), 5)::DOUBLE AS \"{column}\"" for column, name in SUMMARY_COLUMNS.items()
 )
 
 
@@ -186,7 +186,7 @@ def summary_csv(spark, sf_dir):
     path = new_folder(spark, "summary")
     report.write_summary_csv(report.summary(_metrics(spark, sf_dir), HITS), path)
     row = spark.read.option("header", True).csv(path)
-    return row.select(*[rounded(F.col(c).cast("double"), 4).alias(c) for c in row.columns])
+    return row.select(*[F.bround(F.round(F.col(c).cast("double"), 12), 5).alias(c) for c in row.columns])
 
 
 @query(f"WITH {METRICS_SQL} SELECT name, round(value, 6) + 0.0 AS value FROM metrics")
@@ -228,7 +228,7 @@ def binary_images(spark, sf_dir):
     rows = pages.select("page_id", image.alias("image")).join(named.select("page_id", F.col("path").alias("image_local")), "page_id", "left")
     with_bytes = tables.attach_images(rows, files, "image_local", "image")
     # The text writer ends each file with a line break.
-    content = F.decode("image_bytes", F.lit("utf-8"))
+    content = F.decode("image_bytes", "utf-8")
     whole = F.when(F.col("image").isNull(), F.regexp_replace(content, r"\n\z", "")).otherwise(content)
     return with_bytes.select("page_id", F.md5(whole).alias("digest"))
 

@@ -38,13 +38,16 @@ def renormalize(weights) -> Column:
     return F.when(total > 0, F.transform(_doubles(weights), lambda w: w / total))
 
 
+def scaled(column, factor: Column) -> Column:
+    return F.transform(_doubles(column), lambda x: x * factor)
+
+
 def weighted_sum(columns: list[str], weights) -> Column:
     """Sum of weight times vector over the fields; a null vector must have weight 0."""
     weights = _doubles(weights)
     total = None
     for position, name in enumerate(columns, start=1):
-        weight = F.element_at(weights, position)
-        part = F.transform(_doubles(name), lambda x, weight=weight: x * weight)
+        part = scaled(name, F.element_at(weights, position))
         if total is None:
             total = part
         else:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from podium.config import FieldSpec
 from podium.functions.text import as_id, field_weights, is_missing, stringify, truncate_tokens
@@ -104,7 +105,7 @@ def embed(
         inputs.append(value.alias(f"_field_{position}"))
     rows = df.select(as_id(id_column).alias(id_column), *carry, field_weights(df, fields).alias("_weights"), *inputs)
     kept = [id_column, *carry]
-    schema = rows.select(*kept).schema.add(out, "array<float>")
+    schema = rows.select(*kept).schema.add(out, T.ArrayType(T.FloatType()))
     kinds = [field.kind for field in fields]
 
     def encode_rows(part: pa.RecordBatch) -> pa.RecordBatch:

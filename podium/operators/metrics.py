@@ -43,24 +43,34 @@ def query_stats(qrels: DataFrame, ks: list[int], by: tuple[str, ...] = ()) -> Da
     for rank in range(1, max(ks) + 1):
         discounts.append(discounts[-1] + 1 / log2(rank + 1))
     to_rank = F.split(F.lit(",".join(map(repr, discounts))), ",").cast("array<double>")
-    grades = F.sort_array(F.collect_list(F.struct("rel", "n")), asc=False)
-    stats = per_grade.groupBy(*keys).agg(
+    best_first = Window.partitionBy(*keys).orderBy(F.desc("rel"))
+    upto = best_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gain = f"greatest(rel, 0) * (to_rank[int(least(place, {max(ks)}))] - to_rank[int(least(place - n, {max(ks)}))])"
+    # In the best order a grade fills the places place - n + 1 to place. It settles the cutoffs
+    # that end there; the lowest grade settles all that are left.
+    settled = (
+        per_grade.withColumn("place", F.sum("n").over(upto))
+        .withColumn("next_start", F.when(F.lead("n").over(best_first).isNotNull(), F.col("place") + 1))
+        .withColumn("to_rank", to_rank)
+        .withColumn("gain", F.expr(gain))
+        .withColumn("gain_before", F.sum("gain").over(upto) - F.col("gain"))
+        .withColumn("first_cutoff", _interval("place - n + 1", ks))
+        .withColumn("end_cutoff", F.coalesce(F.when(F.col("next_start").isNotNull(), _interval("next_start", ks)), F.lit(len(ks))))
+        .withColumn(
+            "ideals",
+            F.expr(
+                f"""transform(slice(array({", ".join(map(str, ks))}), first_cutoff + 1, end_cutoff - first_cutoff),
+                    k -> struct(k, gain_before + greatest(rel, 0)
+                      * (to_rank[int(least(place, k))] - to_rank[int(place - n)]) AS ideal))"""
+            ),
+        )
+    )
+    ideals = F.array_sort(F.flatten(F.collect_list("ideals")))
+    return settled.groupBy(*keys).agg(
         F.max("rel").alias("max_rel"),
         F.sum(F.when(F.col("rel") > 0, F.col("n")).otherwise(0)).alias("n_relevant"),
-        grades.alias("grades"),
-    )
-    # Walk the grades from the highest down; each covers the places from p.place on.
-    ideals = F.expr(
-        f"""transform(array({", ".join(map(str, ks))}), k -> aggregate(
-            grades,
-            named_struct('place', 0L, 'gain', 0D),
-            (p, g) -> named_struct(
-                'place', p.place + g.n,
-                'gain', p.gain + greatest(g.rel, 0) * (
-                    to_rank[int(least(p.place + g.n, k))] - to_rank[int(least(p.place, k))])),
-            p -> p.gain))"""
+        F.transform(ideals, lambda at: at["ideal"]).alias("ideal"),
     )
-    return stats.withColumn("to_rank", to_rank).withColumn("ideal", ideals).drop("grades", "to_rank")
 
 
 def _places(ties: str, keys: list[str]) -> tuple[Window, Window]:
@@ -220,8 +230,9 @@ def mean_metrics(per_query: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     means = per_query.groupBy(*by, "metric", "k").agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("value"))
     whole = F.col("k").isNull()
     named = F.when(whole, F.concat(F.lit("m"), "metric")).otherwise(F.concat("metric", F.lit("@"), "k"))
-    # Cutoff metrics are reported with 5 decimals, list metrics in full.
-    reported = F.when(whole, F.col("value")).otherwise(F.bround("value", 5))
+    # Cutoff metrics are reported with 5 decimals, list metrics in full. The last digits of a sum
+    # depend on its order; they are cut first so that a report does not.
+    reported = F.when(whole, F.col("value")).otherwise(F.bround(F.round("value", 12), 5))
     return means.select(*by, named.alias("name"), "metric", "k", "value", reported.alias("reported"))
 
 

@@ -56,16 +56,21 @@ def position_in_group(
     The first order column (numeric or timestamp) is cut at approximate quantiles into
     ``buckets`` ranges. Rows are numbered within (group, range) and moved up by the number of
     rows in the group's earlier ranges, so a hot group is sorted by many tasks. The cut points
-    only steer the balance; positions are exact whatever they are. Rows without a key are in no
+    only steer the balance; positions are exact whatever they are; they are computed when this is called. Rows without a key are in no
     group and left out.
     """
     leading = order_by[0]
-    as_number = F.col(leading).cast("double")
+    as_number = F.col(leading)
+    if df.schema[leading].dataType.typeName() in ("timestamp_ntz", "date"):
+        as_number = as_number.cast("timestamp")
+    as_number = as_number.cast("double")
     shares = [i / buckets for i in range(1, buckets)]
     df = df.where(F.col(key).isNotNull())
-    cuts = df.select(F.percentile_approx(as_number, shares, 1000)).scalar()
-    below = F.size(F.filter("_cuts", lambda cut: cut < as_number))
-    ranged = df.withColumn("_cuts", cuts).withColumn("_range", F.coalesce(below, F.lit(0))).drop("_cuts")
+    cuts = df.select(F.percentile_approx(as_number, shares, 1000)).first()[0] or []
+    in_range = F.lit(0)
+    for number, cut in enumerate(sorted(set(cuts)), start=1):
+        in_range = F.when(as_number > cut, number).otherwise(in_range)
+    ranged = df.withColumn("_range", in_range)
     by_key = Window.partitionBy(key)
     earlier = by_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (
