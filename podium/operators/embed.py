@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from podium.config import FieldSpec
 from podium.functions.text import as_id, field_weights, is_missing, stringify, truncate_tokens
 from podium.operators.knn import BROADCAST_BYTES, SIMILARITIES, to_matrix
+from podium.session import ship_package
 
 
 class Encoder(Protocol):
@@ -90,6 +91,7 @@ def embed(
     weight 0 and is not encoded; a missing first text is encoded as ``nan``. A record with
     nothing to encode gets a null vector (``count_missing`` counts them).
     """
+    ship_package(df.sparkSession)
     dim = {encoders[field.kind].dim for field in fields}
     if len(dim) != 1:
         raise ValueError(f"encoders disagree on the vector size: {sorted(dim)}")
@@ -154,6 +156,7 @@ def _over_labels(items: DataFrame, labels: DataFrame, vector: str, block_bytes:
     Items stay where they are. Labels are broadcast in blocks of a bounded size: one block in
     almost every case; more blocks mean more scans of the items.
     """
+    ship_package(items.sparkSession)
     side = labels.where(F.col(vector).isNotNull()).select(as_id("label").alias("label"), F.col(vector).alias("vector"))
     n_labels, dim = side.agg(F.count("*"), F.max(F.size("vector"))).first()
     dim = dim or 0

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from podium.functions.text import as_id
 from podium.operators.topk import top_per_group
+from podium.session import ship_package
 
 BROADCAST_BYTES = 256 * 1024 * 1024
 BLOCK_BYTES = 128 * 1024 * 1024
@@ -226,6 +227,7 @@ def knn(
         raise ValueError(f"similarity must be one of {sorted(SIMILARITIES)}")
     if k < 1:
         raise ValueError("k must be positive")
+    ship_package(docs.sparkSession)
     by = list(by)
     query_side = queries.where(F.col(vector).isNotNull()).select(
         *by, as_id("query_id").alias("query_id"), F.col(vector).alias("vector")

@@ -103,7 +103,7 @@ def read_experiments(spark: SparkSession, paths: list[str]) -> tuple[DataFrame,
     Each path is an experiment folder with an ``output.json``; the folder names the experiment.
     """
     files = [f"{path.rstrip('/')}/output.json" for path in paths]
-    text = spark.read.option("wholetext", True).text(files)
+    text = spark.read.text(files, wholetext=True)
     name = F.element_at(F.split("_metadata.file_path", "/output.json"), 1)
     parsed = F.from_json("value", "map<string,map<string,string>>", {"mode": "FAILFAST"})
     sections = text.select(F.element_at(F.split(name, "/"), -1).alias("experiment"), F.explode(parsed).alias("section", "entries"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,6 +38,19 @@ def materialize(df, name: str = "stage"):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession):
+    """Give the Python workers of this application the package, wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = os.path.join(tempfile.mkdtemp(prefix="podium-package-"), "podium")
+        context.addPyFile(shutil.make_archive(archive, "zip", root, "podium"))
+        _SHIPPED.add(context.applicationId)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     conf = spark._jsc.hadoopConfiguration()

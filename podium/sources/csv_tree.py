@@ -14,9 +14,9 @@ from podium.sources.tables import read_csv_text
 TREE = {"recursiveFileLookup": True, "pathGlobFilter": "*.csv"}
 
 
-def list_csv_files(spark: SparkSession, root: str) -> DataFrame:
-    """``path`` and ``length`` of every CSV below a folder; contents are not read."""
-    return spark.read.format("binaryFile").options(**TREE).load(root).select("path", "length")
+def count_csv_files(spark: SparkSession, root: str) -> int:
+    """Number of CSVs below a folder, empty ones too; only the listing is read."""
+    return len(spark.read.options(**TREE).text(root).inputFiles())
 
 
 def read_headers(spark: SparkSession, root: str) -> DataFrame:
@@ -41,7 +41,7 @@ def rewrite_csv_tree(
     directory = posixpath.normpath(directory)
     headers = read_headers(spark, root)
     layouts = headers.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
-    total = list_csv_files(spark, root).count()
+    total = count_csv_files(spark, root)
     base = root.rstrip("/") + "/"
     updated = 0
     for layout in layouts:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from podium.operators.topk import first_per_group
+from podium.session import ship_package
 
 # Writers put this between two entries; it ends the value of one and opens the key of the next.
 ENTRY_BREAK = '}, "'
@@ -26,7 +27,7 @@ def read_keyed_json(spark: SparkSession, path: str, value_type: str, splittable:
         pieces = _pieces(spark, path, value_type)
         if pieces.where("bad").limit(1).isEmpty():
             return _last_entry(pieces.select("key", "value", "file", "start", "place"))
-    text = spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_path"))
+    text = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     entries = F.from_json("value", f"map<string,{value_type}>", {"mode": "FAILFAST"})
     rows = text.select("file", F.lit(0).cast("long").alias("start"), F.posexplode(entries).alias("place", "key", "value"))
     return _last_entry(rows.withColumn("place", F.col("place").cast("long")))
@@ -103,6 +104,8 @@ def write_keyed_json(df: DataFrame, path: str, key: str, value: str):
     Each task writes one file that is a complete object, so no task sees the whole table.
     """
 
+    ship_package(df.sparkSession)
+
     def lines(batches):
         held = "{"
         for batch in batches:
