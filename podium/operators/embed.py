@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from podium.config import FieldSpec
 from podium.functions.text import as_id, field_weights, is_missing, stringify, truncate_tokens
 from podium.operators.knn import BROADCAST_BYTES, SIMILARITIES, to_matrix
-from podium.session import ship_package
+from podium.session import ship_package, spread_small
 
 
 class Encoder(Protocol):
@@ -45,21 +45,25 @@ class HashedNgrams:
     def load(self):
         return self.encode
 
+    def place(self, gram: str) -> tuple[int, int]:
+        digest = hashlib.md5(gram.encode()).hexdigest()
+        return int(digest[:8], 16) % self.dim, 1 if int(digest[8], 16) < 8 else -1
+
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        places: dict[str, tuple[int, int]] = {}
-        for row, text in enumerate(texts):
-            words = [w for w in re.split("[ \t\r\n]+", text) if w]
-            for size in self.sizes:
-                for i in range(len(words) - size + 1):
-                    gram = " ".join(words[i : i + size])
-                    found = places.get(gram)
-                    if found is None:
-                        digest = hashlib.md5(gram.encode()).hexdigest()
-                        sign = 1 if int(digest[8], 16) < 8 else -1
-                        found = places[gram] = (int(digest[:8], 16) % self.dim, sign)
-                    out[row, found[0]] += found[1]
-        return out
+        lists = pc.split_pattern_regex(pa.array(texts, pa.string()), "[ \t\r\n]+")
+        row, words = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+        filled = pc.not_equal(words, "")
+        row, words = row[filled.to_numpy(zero_copy_only=False)], words.filter(filled)
+        cells = np.zeros(len(texts) * self.dim)
+        for size in self.sizes:
+            count = max(0, len(words) - size + 1)
+            starts = np.flatnonzero(row[:count] == row[size - 1 : size - 1 + count])
+            parts = [words.take(pa.array(starts + i)) for i in range(size)]
+            grams = pc.binary_join_element_wise(*parts, " ").dictionary_encode()
+            unique = np.array([self.place(gram) for gram in grams.dictionary.to_pylist()], dtype=np.int64).reshape(-1, 2)
+            places = unique[grams.indices.to_numpy()]
+            cells += np.bincount(row[starts] * self.dim + places[:, 0], weights=places[:, 1], minlength=len(cells))
+        return cells.reshape(len(texts), self.dim)
 
 
 _LOADED: dict = {}
@@ -106,6 +110,7 @@ def embed(
             value = F.when(~is_missing(df, field.name), value)
         inputs.append(value.alias(f"_field_{position}"))
     rows = df.select(as_id(id_column).alias(id_column), *carry, field_weights(df, fields).alias("_weights"), *inputs)
+    rows = spread_small(rows)
     kept = [id_column, *carry]
     schema = rows.select(*kept).schema.add(out, T.ArrayType(T.FloatType()))
     kinds = [field.kind for field in fields]
@@ -124,7 +129,7 @@ def embed(
                 seen[use] = True
         flat = pa.array(unit_rows(total).astype(np.float32).ravel())
         lists = pa.FixedSizeListArray.from_arrays(flat, dim).cast(pa.list_(pa.float32()))
-        vectors = pa.compute.if_else(pa.array(seen), lists, pa.scalar(None, lists.type))
+        vectors = pc.if_else(pa.array(seen), lists, pa.scalar(None, lists.type))
         return pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], vectors], names=[*kept, out])
 
     def encode(batches):

@@ -209,6 +209,7 @@ def knn(
     block_bytes: int = BLOCK_BYTES,
     merge_rows: int = MERGE_ROWS,
     floor_share: float = FLOOR_SHARE,
+    floor_docs: DataFrame | None = None,
 ) -> DataFrame:
     """The ``k`` most similar documents of every query: ``(*by, query_id, doc_id, score, rank)``.
 
@@ -218,8 +219,10 @@ def knn(
     must be unique.
 
     Each task may pass on ``k`` rows per query. When that could exceed ``merge_rows`` in all, a
-    share of the documents is searched first: its k-th best score is a lower bound of
-    the final k-th, and anything below it is dropped inside the tasks. The result is the same.
+    part of the documents is searched first: its k-th best score is a lower bound of the final
+    k-th, and anything below it is dropped inside the tasks. The result is the same. The part
+    is ``floor_docs``, any rows of ``docs`` that are cheap to read, such as some of their files
+    (``read_vectors_part``); left out, a hashed share is taken, which reads the vectors twice.
 
     Counting both sides, and collecting the bounded query side, run when this is called.
     """
@@ -232,10 +235,15 @@ def knn(
     query_side = queries.where(F.col(vector).isNotNull()).select(
         *by, as_id("query_id").alias("query_id"), F.col(vector).alias("vector")
     )
-    doc_side = docs.where(F.col(vector).isNotNull()).select(*by, as_id("doc_id").alias("doc_id"), F.col(vector).alias("vector"))
+
+    def vectors_of(rows):
+        return rows.where(F.col(vector).isNotNull()).select(*by, as_id("doc_id").alias("doc_id"), F.col(vector).alias("vector"))
+
+    doc_side = vectors_of(docs)
     schema = doc_side.select(*by, F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.0).alias("score")).schema
     query_size = query_side.agg(F.lit("queries").alias("side"), F.count("*").alias("n"), F.max(F.size("vector")).alias("dim"))
-    doc_size = doc_side.agg(F.lit("docs").alias("side"), F.count("*").alias("n"), F.lit(None).cast("int").alias("dim"))
+    # Rows are counted without the vector column: file footers hold the number.
+    doc_size = docs.agg(F.lit("docs").alias("side"), F.count("*").alias("n"), F.lit(None).cast("int").alias("dim"))
     measured = {row.side: row for row in query_size.unionByName(doc_size).collect()}
     n_queries, n_docs, dim = measured["queries"].n, measured["docs"].n, measured["queries"].dim
     if not n_queries or not n_docs:
@@ -259,7 +267,8 @@ def knn(
     tasks = ceil(sizes["doc_bytes"] / block_bytes)
     if n_queries * k * tasks > merge_rows:
         share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(floor_share * 1_000_000)
-        part = search(no_floor, doc_side.where(share), sizes["doc_bytes"] * floor_share)
+        first_docs = doc_side.where(share) if floor_docs is None else vectors_of(floor_docs)
+        part = search(no_floor, first_docs, sizes["doc_bytes"] * floor_share)
         slack = 2 * 10.0**-score_digits if score_digits is not None else 1e-9
         floors = part.where(F.col("rank") == k).select(*by, "query_id", (F.col("score") - slack).alias("floor"))
         return search(query_side.join(floors, [*by, "query_id"], "left"), doc_side, sizes["doc_bytes"])

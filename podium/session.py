@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +51,16 @@ def ship_package(spark: SparkSession):
         _SHIPPED.add(context.applicationId)
 
 
+def spread_small(df: DataFrame, bytes_per_task: int = 16 * 1024 * 1024) -> DataFrame:
+    """Over all cores, if the optimizer's size estimate is too small to fill them with splits.
+
+    For work that costs far more than the shuffle; large inputs stay where they are.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < cores * bytes_per_task else df
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     conf = spark._jsc.hadoopConfiguration()

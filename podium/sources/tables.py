@@ -88,6 +88,14 @@ def read_vectors(spark: SparkSession, path: str, dim: int, vector: str = "embedd
     return with_checked_size(spark.read.parquet(path), dim, vector)
 
 
+def read_vectors_part(spark: SparkSession, path: str, dim: int, share: float = 0.01, vector: str = "embedding") -> DataFrame:
+    """The vectors in some of the files, evenly chosen from all of them, without reading the rest."""
+    files = sorted(spark.read.parquet(path).inputFiles())
+    count = max(1, round(len(files) * share))
+    chosen = [files[i * len(files) // count] for i in range(count)]
+    return with_checked_size(spark.read.option("basePath", path).parquet(*chosen), dim, vector)
+
+
 def write_vectors(df: DataFrame, path: str, id_column: str = "id", vector: str = "embedding", mode: str = "errorifexists"):
     """Vectors travel with their id, never by position."""
     df.select(id_column, F.col(vector).cast("array<float>").alias(vector)).write.mode(mode).parquet(path)

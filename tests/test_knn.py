@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from podium.operators import knn as knn_module
 from podium.operators.knn import knn
+from podium.sources import tables
 from podium.operators.topk import position_in_group, top_per_group
 
 RNG = np.random.default_rng(7)
@@ -55,6 +56,22 @@ def test_equals_brute_force(spark, path, similarity, k):
     assert found(df) == expected(similarity, k)
 
 
+def test_floor_from_some_files(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    frame(spark, DOCS, "doc_id").write.parquet(path)
+    part = tables.read_vectors_part(spark, path, DIM, share=0.4)
+    assert 0 < part.count() < len(DOCS) and len(part.inputFiles()) == 2
+    docs = tables.read_vectors(spark, path, DIM)
+    df = knn(frame(spark, QUERIES, "query_id"), docs, 7, "ip", score_digits=6, merge_rows=0, floor_docs=part)
+    assert found(df) == expected("ip", 7)
+
+
+def test_counting_documents_reads_no_vectors(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+    plan = docs.agg(F.count("*"))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in plan
+
+
 def test_small_buffers_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(knn_module, "TILE_CELLS", 30)
     monkeypatch.setattr(knn_module, "HELD_ROWS", 20)
