@@ -8,6 +8,7 @@ from podium.catalog.registry import query, rounded, table
 from podium.catalog.relations import (
     HITS,
     INPUTS_SQL,
+    SPARSE_INPUTS_SQL,
     TRIPLETS_SQL,
     customer_qrels,
     customer_run,
@@ -17,6 +18,7 @@ from podium.catalog.relations import (
     qrels_sql,
     query_vectors,
     run_sql,
+    sparse_qrels,
     stored_run_and_qrels,
     supplier_triplets,
     unit_sql,
@@ -102,14 +104,14 @@ def relevant_hits(spark, sf_dir):
     return judge.relevant_hits(customer_run(spark, sf_dir), customer_qrels(spark, sf_dir))
 
 
-@query(_with(INPUTS_SQL, "SELECT query_id, doc_id, score, rank FROM run ANTI JOIN qrels USING (doc_id)"))
+@query(_with(SPARSE_INPUTS_SQL, "SELECT query_id, doc_id, score, rank FROM run ANTI JOIN qrels USING (doc_id)"))
 def unjudged_hits(spark, sf_dir):
-    return judge.unjudged_hits(customer_run(spark, sf_dir), customer_qrels(spark, sf_dir))
+    return judge.unjudged_hits(customer_run(spark, sf_dir), materialize(sparse_qrels(spark, sf_dir), "judgments"))
 
 
-@query(_with(INPUTS_SQL, "SELECT DISTINCT query_id FROM run ANTI JOIN qrels USING (query_id)"))
+@query(_with(SPARSE_INPUTS_SQL, "SELECT DISTINCT query_id FROM run ANTI JOIN qrels USING (query_id)"))
 def unjudged_queries(spark, sf_dir):
-    return judge.unjudged_queries(customer_run(spark, sf_dir), customer_qrels(spark, sf_dir))
+    return judge.unjudged_queries(customer_run(spark, sf_dir), materialize(sparse_qrels(spark, sf_dir), "judgments"))
 
 
 @query(
@@ -181,9 +183,17 @@ def mrr_at_k(spark, sf_dir):
     return _mean(spark, sf_dir, "MRR")
 
 
-@query(_mean_sql("Hole"))
+SPARSE_METRICS_SQL = f"{SPARSE_INPUTS_SQL}, {metrics_sql(KS)}"
+
+
+def _sparse_inputs(spark, sf_dir):
+    return materialize(customer_run(spark, sf_dir), "run"), materialize(sparse_qrels(spark, sf_dir), "judgments")
+
+
+@query(_with(SPARSE_METRICS_SQL, "SELECT k, round(value, 6) + 0.0 AS value FROM metrics WHERE metric = 'Hole'"))
 def hole_at_k(spark, sf_dir):
-    return _mean(spark, sf_dir, "Hole")
+    means = evaluate(*_sparse_inputs(spark, sf_dir), KS).where("metric = 'Hole'")
+    return means.select("k", rounded("value").alias("value"))
 
 
 @query(_mean_sql("Accuracy"))
@@ -231,6 +241,12 @@ def evaluate_all(spark, sf_dir):
     return _means(evaluate(*stored_run_and_qrels(spark, sf_dir), KS))
 
 
+@query(_with(SPARSE_METRICS_SQL, ALL_MEANS_SQL))
+def evaluate_sample(spark, sf_dir):
+    """One judgment for each of a sample of queries: queries with hits alone are left out."""
+    return _means(evaluate(*_sparse_inputs(spark, sf_dir), KS))
+
+
 TIED_INPUTS = f"{TRIPLETS_SQL}, {qrels_sql()}, {run_sql(1)}"
 
 

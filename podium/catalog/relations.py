@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from podium.catalog.registry import table
 from podium.operators.knn import knn
+from podium.operators.sampling import sample_queries
 from podium.operators.triplets import scale_weights
 from podium.operators.truth import build_qrels
 from podium.session import materialize
 
 HITS = 100
+SAMPLE = 500
 
 
 def customer_triplets(spark, sf_dir) -> DataFrame:
@@ -59,6 +61,12 @@ def customer_qrels(spark, sf_dir) -> DataFrame:
     return build_qrels(scale_weights(customer_triplets(spark, sf_dir), "l_quantity"))
 
 
+def sparse_qrels(spark, sf_dir) -> DataFrame:
+    """The heaviest judgment of a sample of customers: many hits and queries stay unjudged."""
+    scaled = scale_weights(customer_triplets(spark, sf_dir), "l_quantity")
+    return build_qrels(scaled, sample_queries(scaled, SAMPLE), top_k=1)
+
+
 def customer_run(spark, sf_dir, digits: int = 6) -> DataFrame:
     return knn(customer_vectors(spark, sf_dir), doc_vectors(spark, sf_dir), HITS, score_digits=digits)
 
@@ -95,6 +103,20 @@ qrels AS (
 )"""
 
 
+def unit_sql(text: str, seed) -> str:
+    """The hash of an id in (0, 1)."""
+    return f"((('0x' || substr(md5({text} || '|{seed}'), 1, 13))::BIGINT + 1) / 4503599627370497.0::DOUBLE)"
+
+
+SPARSE_QRELS_SQL = f"""
+drawn AS (
+  SELECT query_id, ln({unit_sql("query_id", 1)}) / sum(weight) AS draw FROM scaled
+  GROUP BY query_id ORDER BY draw DESC, query_id LIMIT {SAMPLE}
+),
+chosen AS (SELECT * FROM scaled SEMI JOIN drawn USING (query_id)),
+{qrels_sql("chosen", k=1)}"""
+
+
 SCORE_SQL = """list_dot_product(q.v, d.v) / greatest(
     sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v)), 1e-6)"""
 
@@ -114,11 +136,7 @@ run AS (SELECT * FROM placed_pairs WHERE rank <= {HITS})"""
 
 
 INPUTS_SQL = f"{TRIPLETS_SQL}, {qrels_sql()}, {run_sql()}"
-
-
-def unit_sql(text: str, seed) -> str:
-    """The hash of an id in (0, 1)."""
-    return f"((('0x' || substr(md5({text} || '|{seed}'), 1, 13))::BIGINT + 1) / 4503599627370497.0::DOUBLE)"
+SPARSE_INPUTS_SQL = f"{TRIPLETS_SQL}, {SPARSE_QRELS_SQL}, {run_sql()}"
 
 
 def metrics_sql(ks, by: tuple[str, ...] = (), ties: str = "reference") -> str:
