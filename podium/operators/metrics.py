@@ -19,6 +19,7 @@ from podium.operators.judge import judge_run, judged_docs
 
 MAX_GRADE = 1000
 EVALUATED_METRICS = ("NDCG", "MAP", "Recall", "P")
+CUTOFF_METRICS = (*EVALUATED_METRICS, "MRR", "Hole", "Accuracy")
 
 
 def rbp_name(p: float) -> str:
@@ -53,7 +54,9 @@ def query_stats(qrels: DataFrame, ks: list[int], by: tuple[str, ...] = ()) -> Da
         .withColumn("next_start", F.when(F.lead("n").over(best_first).isNotNull(), F.col("place") + 1))
         .withColumn("to_rank", to_rank)
         .withColumn("gain", F.expr(gain))
+        .drop("to_rank")  # a constant: not to be carried through the next window's sort
         .withColumn("gain_before", F.sum("gain").over(upto) - F.col("gain"))
+        .withColumn("to_rank", to_rank)
         .withColumn("first_cutoff", _interval("place - n + 1", ks))
         .withColumn("end_cutoff", F.coalesce(F.when(F.col("next_start").isNotNull(), _interval("next_start", ks)), F.lit(len(ks))))
         .withColumn(
@@ -65,6 +68,7 @@ def query_stats(qrels: DataFrame, ks: list[int], by: tuple[str, ...] = ()) -> Da
             ),
         )
     )
+    settled = settled.drop("to_rank")
     ideals = F.array_sort(F.flatten(F.collect_list("ideals")))
     return settled.groupBy(*keys).agg(
         F.max("rel").alias("max_rel"),
@@ -127,14 +131,17 @@ def _interval(place: str, ks: list[int]) -> Column:
     return F.expr(f"CASE {cases} ELSE {len(ks)} END")
 
 
-def _at_cutoffs(ks: list[int]) -> Column:
-    """Results of one query at every cutoff, from the sums of its intervals (``parts``)."""
+def _results(ks: list[int], whole: dict[str, str]) -> Column:
+    """One struct per cutoff, from the sums of the intervals (``parts``), and one for the whole list.
+
+    The latter has no ``k``. A struct leaves the metrics of the other kind null.
+    """
 
     def upto(name):
         return f"aggregate(filter(parts, p -> p.interval <= i), 0D, (total, p) -> total + p.{name})"
 
     first = "array_min(transform(filter(parts, p -> p.interval <= i), p -> p.first))"
-    formulas = {
+    at_k = {
         "NDCG": f"if(ideal[i] > 0, {upto('dcg')} / ideal[i], 0D)",
         "MAP": f"if(n_relevant > 0, {upto('precision')} / n_relevant, 0D)",
         "Recall": f"if(n_relevant > 0, {upto('found')} / n_relevant, 0D)",
@@ -143,29 +150,18 @@ def _at_cutoffs(ks: list[int]) -> Column:
         "Hole": f"{upto('hole')} / k",
         "Accuracy": f"double({first} IS NOT NULL)",
     }
-    results = [
-        f"named_struct('metric', '{name}', 'k', k, 'value', "
-        + (f"if(evaluated, {formula}, null))" if name in EVALUATED_METRICS else f"{formula})")
-        for name, formula in formulas.items()
-    ]
-    return F.expr(f"flatten(transform(array({', '.join(map(str, ks))}), (k, i) -> array({', '.join(results)})))")
+    at_k = {n: f"if(evaluated, {v}, double(null))" if n in EVALUATED_METRICS else v for n, v in at_k.items()}
 
+    def struct(k, values):
+        fields = [f"'{name}', {values.get(name, 'double(null)')}" for name in (*at_k, *whole)]
+        return f"named_struct('k', {k}, {', '.join(fields)})"
 
-def per_query_metrics(
-    run: DataFrame,
-    qrels: DataFrame,
-    ks: list[int] | None = None,
-    ps: tuple[float, ...] = RBP_PERSISTENCE,
-    ties: str = "reference",
-    by: tuple[str, ...] = (),
-) -> DataFrame:
-    """``(*by, query_id, metric, k, value)`` for every judged query.
+    cutoffs = f"transform(array({', '.join(map(str, ks))}), (k, i) -> {struct('k', at_k)})"
+    return F.expr(f"concat({cutoffs}, array({struct('int(null)', whole)}))")
 
-    ``k`` is null for ERR and RBP, which read the whole list. NDCG, MAP, Recall and P are
-    null for a judged query without hits; the other metrics are 0 for it. ``ties`` says how equal
-    scores are ordered: ``stable`` by stored rank, ``trec`` by document id descending,
-    ``reference`` the latter for NDCG, MAP, Recall and P and the former for the rest.
-    """
+
+def _wide_metrics(run: DataFrame, qrels: DataFrame, ks, ps, ties: str, by: tuple[str, ...]) -> DataFrame:
+    """``(*by, query_id, k, <one column per metric>)``: a row per cutoff and one for the whole list."""
     ks = sorted(ks or CUTOFFS)
     keys = [*by, "query_id"]
     qrels = checked_grades(qrels)
@@ -206,34 +202,42 @@ def per_query_metrics(
         *[F.sum(n).alias(n) for n in whole],
     )
 
-    names = {"err": ("ERR", 1.0), **{rbp_name(p): (rbp_name(p), 1 - p) for p in ps}}
-    results = [
-        f"named_struct('metric', '{name}', 'k', int(null), 'value', coalesce({column} * {scale!r}D, 0D))"
-        for column, (name, scale) in names.items()
-    ]
-    whole_list = F.expr(f"array({', '.join(results)})")
+    scale = {"err": ("ERR", 1.0), **{rbp_name(p): (rbp_name(p), 1 - p) for p in ps}}
+    lists = {name: f"coalesce({column} * {factor!r}D, 0D)" for column, (name, factor) in scale.items()}
     return (
         stats.join(parts, keys, "left")
         .withColumn("evaluated", F.col("parts").isNotNull())
         .withColumn("parts", F.coalesce("parts", F.array()))
-        .select(*keys, F.explode(F.concat(_at_cutoffs(ks), whole_list)).alias("result"))
+        .select(*keys, F.explode(_results(ks, lists)).alias("result"))
         .select(*keys, "result.*")
     )
 
 
-def mean_metrics(per_query: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """``(*by, metric, k, value)``: means over queries.
+def _by_metric(wide: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, metric, k, value)`` without the metrics that do not belong to the row's kind."""
+    metrics = [c for c in wide.columns if c not in (*keys, "k")]
+    of_list = F.col("metric").isin(*[m for m in metrics if m not in CUTOFF_METRICS])
+    long = wide.unpivot([*keys, "k"], metrics, "metric", "value")
+    return long.where(F.col("k").isNull() == of_list).select(*keys, "metric", "k", "value")
 
-    A null per-query value (a judged query that was not evaluated) stays out of the mean, so
-    NDCG, MAP, Recall and P divide by evaluated queries and the rest by judged ones.
+
+def per_query_metrics(
+    run: DataFrame,
+    qrels: DataFrame,
+    ks: list[int] | None = None,
+    ps: tuple[float, ...] = RBP_PERSISTENCE,
+    ties: str = "reference",
+    by: tuple[str, ...] = (),
+) -> DataFrame:
+    """``(*by, query_id, metric, k, value)`` for every judged query.
+
+    ``k`` is null for ERR and RBP, which read the whole list. NDCG, MAP, Recall and P are
+    null for a judged query without hits; the other metrics are 0 for it. ``ties`` says how equal
+    scores are ordered: ``stable`` by stored rank, ``trec`` by document id descending,
+    ``reference`` the latter for NDCG, MAP, Recall and P and the former for the rest.
     """
-    means = per_query.groupBy(*by, "metric", "k").agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("value"))
-    whole = F.col("k").isNull()
-    named = F.when(whole, F.concat(F.lit("m"), "metric")).otherwise(F.concat("metric", F.lit("@"), "k"))
-    # Cutoff metrics are reported with 5 decimals, list metrics in full. The last digits of a sum
-    # depend on its order; they are cut first so that a report does not.
-    reported = F.when(whole, F.col("value")).otherwise(F.bround(F.round("value", 12), 5))
-    return means.select(*by, named.alias("name"), "metric", "k", "value", reported.alias("reported"))
+    wide = _wide_metrics(run, qrels, ks or CUTOFFS, ps, ties, by)
+    return _by_metric(wide, [*by, "query_id"])
 
 
 def evaluate(
@@ -250,4 +254,15 @@ def evaluate(
     Both tables are read several times: pass stored tables, not long plans.
     """
     cutoffs = [k for k in (ks or CUTOFFS) if top_k is None or k <= top_k]
-    return mean_metrics(per_query_metrics(run, qrels, cutoffs, ps, ties, by), by)
+    wide = _wide_metrics(run, qrels, cutoffs, ps, ties, by)
+    # avg leaves nulls out: a judged query that was not evaluated does not count in NDCG, MAP,
+    # Recall and P, and as 0 in the rest.
+    metrics = [c for c in wide.columns if c not in (*by, "query_id", "k")]
+    averages = wide.groupBy(*by, "k").agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in metrics])
+    means = _by_metric(averages, list(by))
+    whole = F.col("k").isNull()
+    named = F.when(whole, F.concat(F.lit("m"), "metric")).otherwise(F.concat("metric", F.lit("@"), "k"))
+    # Cutoff metrics are reported with 5 decimals, list metrics in full. The last digits of a sum
+    # depend on its order; they are cut first so that a report does not.
+    reported = F.when(whole, F.col("value")).otherwise(F.bround(F.round("value", 12), 5))
+    return means.select(*by, named.alias("name"), "metric", "k", "value", reported.alias("reported"))
