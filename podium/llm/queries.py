@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import dac, langid
+from podium.llm import dac, exact_dedup, langid, warc
 from podium.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,26 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query(
+    r"""
+    with texts as (
+        select doc_id, length(coalesce(text, '')) as n,
+            regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as whole
+        from documents
+    ),
+    ranked as (
+        select *, first_value(doc_id) over (partition by whole order by n desc, doc_id) as keep_id,
+            count(*) over (partition by whole) as group_size
+        from texts
+    )
+    select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(whole) as text_sha256 from ranked
+    """
+)
+def op4_exact_dedup(spark, sf_dir):
+    """Exact duplicates among all documents, by streaming state."""
+    return exact_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
+
+
 @query()
 def op5_token_codes(spark, sf_dir):
     """Ids of every document, written as directly addressable codes and read back."""
@@ -45,3 +65,10 @@ def op7_language_id(spark, sf_dir):
     model = langid.train(langid.learning_rows(documents))
     found = langid.identify(documents, model)
     return found.withColumn("held_out", langid.held_out(F.col("doc_id")))
+
+
+@query()
+def op8_warc(spark, sf_dir):
+    """A record per page, written to archives and read back."""
+    files = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_archives(files)
