@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from podium.llm.common import blocks, group_rows, hashed_words, text_bytes
+from podium.llm.common import blocks, group_rows, hashed_words, spread, text_bytes
 from podium.llm.files import new_file, open_file
 from podium.session import new_folder, ship_package
 
@@ -292,4 +292,4 @@ def read_tokens(files: DataFrame, with_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     shape = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return files.select("folder", "file", "start").repartition("file").mapInArrow(read, shape)
+    return spread(files.select("folder", "file", "start"), "file").mapInArrow(read, shape)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import dac, exact_dedup, langid, warc
+from podium.llm import dac, exact_dedup, jaccard_join, langid, warc
 from podium.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query()
+def op1_ngram_jaccard(spark, sf_dir):
+    """Components of all documents that share four fifths of their five-word shingles."""
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 @query(
     r"""
     with texts as (

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import blocks
+from podium.llm.common import blocks, spread
 from podium.llm.files import new_file, open_file
 from podium.session import new_folder, ship_package
 
@@ -220,4 +220,4 @@ def read_archives(files: DataFrame, with_payload: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     shape = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return files.select("folder", "file").repartition("file").mapInArrow(read, shape + ", payload binary" * with_payload)
+    return spread(files.select("folder", "file"), "file").mapInArrow(read, shape + ", payload binary" * with_payload)
