@@ -21,6 +21,7 @@ _STATE = "spark.sql.streaming.stateStore."
 _SETTINGS = {
     f"{_STATE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STATE}rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STATE}rocksdb.allowFAllocate": "false",  # else each partition reserves some MB
     f"{_STATE}rocksdb.boundedMemoryUsage": "true",
     f"{_STATE}rocksdb.maxMemoryUsageMB": "300",
 }
