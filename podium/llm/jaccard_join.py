@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from podium.llm import tables
 from podium.llm.common import blocks, mix
 from podium.llm.components import components
 from podium.llm.shingles import set_class, shingle_sets
@@ -45,8 +46,6 @@ class JoinConfig:
     leaf: int = 32
 
 
-#: Entries of the count table in one row; the table is added up row by row.
-_SLICE = 4096
 #: Bits of the table that tells which documents are wanted, before a join makes sure.
 _WANTED_BITS = 22
 
@@ -109,43 +108,11 @@ class RTree:
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _added(partial: DataFrame) -> dict[int, np.ndarray]:
-    """The slices of the table of counts, added up from those (slice, part, counts) that tasks have made."""
-
-    def add(key, rows):
-        total = sum(np.frombuffer(c, "<i8") for c in rows.column("counts").to_pylist())
-        first = {name: [rows.column(name)[0].as_py()] for name in ("slice", "part")}
-        return pa.table(first | {"counts": pa.array([total.tobytes()], pa.binary())})
-
-    shape = "slice long, part long, counts binary"
-    some = partial.withColumn("part", F.col("part") % 64).groupBy("slice", "part").applyInArrow(add, shape)
-    rows = some.groupBy("slice").applyInArrow(add, shape).select("slice", "counts").collect()  # the table has a fixed size
-    return {r["slice"]: np.frombuffer(r["counts"], "<i8") for r in rows}
-
-
-def _slices(counts: np.ndarray, part: int) -> dict[str, pa.Array]:
-    cut = [c for c in enumerate(counts.reshape(-1, _SLICE)) if c[1].any()]
-    return {
-        "slice": pa.array([k for k, _ in cut], pa.int64()),
-        "part": pa.array([part] * len(cut), pa.int64()),
-        "counts": pa.array([c.astype("<i8").tobytes() for _, c in cut], pa.binary()),
-    }
-
-
-def _whole(slices: dict[int, np.ndarray], bits: int) -> np.ndarray:
-    table = np.zeros(1 << bits, np.int64)
-    for k, counts in slices.items():
-        table[k * _SLICE : (k + 1) * _SLICE] = counts
-    return table
-
-
 def describe(rows: DataFrame, config: JoinConfig) -> DataFrame:
     """Rows (doc_id, n, class, point) for each row (doc_id, text), and rows of the table of shingle counts."""
-    from pyspark import TaskContext
-
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("point", pa.binary())]
-        + [("slice", pa.int64()), ("part", pa.int64()), ("counts", pa.binary())]
+        + tables.FIELDS
     )
 
     def run(batches):
@@ -162,11 +129,11 @@ def describe(rows: DataFrame, config: JoinConfig) -> DataFrame:
             }
             none = {f.name: pa.nulls(len(sets), f.type) for f in list(schema)[4:]}
             yield pa.RecordBatch.from_pydict(columns | none, schema=schema)
-        last = _slices(counts, TaskContext.get().partitionId())
-        none = {f.name: pa.nulls(len(last["slice"]), f.type) for f in list(schema)[:4]}
-        yield pa.RecordBatch.from_pydict(none | last, schema=schema)
+        last = tables.partial(counts)
+        none = [pa.nulls(last.num_rows, f.type) for f in list(schema)[:4]]
+        yield pa.RecordBatch.from_arrays([*none, *last.columns], schema=schema)
 
-    return rows.mapInArrow(run, "doc_id long, n long, class long, point binary, slice long, part long, counts binary")
+    return rows.mapInArrow(run, f"doc_id long, n long, class long, point binary, {tables.SHAPE}")
 
 
 def _rarest(rows: DataFrame, table: np.ndarray, config: JoinConfig) -> DataFrame:
@@ -283,8 +250,6 @@ def _wanted_sets(rows: DataFrame, pairs: DataFrame, classes: DataFrame, config:
     A table of fixed size tells which documents may be wanted, so only their shingles are made again and
     moved; the join makes sure.
     """
-    from pyspark import TaskContext
-
     need = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc_id"), "class")
     need = materialize(need, "wanted")
     place = lambda ids: (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - _WANTED_BITS)).astype(np.int64)
@@ -293,10 +258,10 @@ def _wanted_sets(rows: DataFrame, pairs: DataFrame, classes: DataFrame, config:
         counts = np.zeros(1 << _WANTED_BITS, np.int64)
         for batch in batches:
             counts[place(batch.column("doc_id").fill_null(-1).to_numpy())] = 1
-        yield pa.RecordBatch.from_pydict(_slices(counts, TaskContext.get().partitionId()))
+        yield tables.partial(counts)
 
-    marked = need.select("doc_id").mapInArrow(mark, "slice long, part long, counts binary")
-    table = rows.sparkSession.sparkContext.broadcast(_whole(_added(marked), _WANTED_BITS) > 0)
+    marked = need.select("doc_id").mapInArrow(mark, tables.SHAPE)
+    table = rows.sparkSession.sparkContext.broadcast(tables.total(marked, 1 << _WANTED_BITS, "<i8") > 0)
 
     def run(batches):
         for batch in batches:
@@ -418,7 +383,7 @@ def similar_documents(
     ship_package(documents.sparkSession)
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     described = materialize(describe(rows, config), "described")
-    table = _whole(_added(described.where("slice is not null").select("slice", "part", "counts")), config.table_bits)
+    table = tables.total(described.where("slice is not null").select("slice", "part", "numbers"), 1 << config.table_bits, "<i8")
     described = described.where("slice is null").select("doc_id", "n", "class", "point")
     members = materialize(_blocks(_rarest(rows, table, config)), "blocks")
     classes = described.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import dac, exact_dedup, jaccard_join, langid, warc
+from podium.llm import dac, decontaminate, exact_dedup, jaccard_join, langid, mixing, warc
 from podium.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,19 @@ def op1_ngram_jaccard(spark, sf_dir):
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
+#: Shares of all tokens: no toxic text, and somewhat more of the rest.
+TARGETS = {"good": 0.8, "poor": 0.2, "toxic": 0.0}
+
+
+@query()
+def op3_source_mixing(spark, sf_dir):
+    """Posterior, rate and copies of every document for the target shares."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = mixing.labelled_domains(documents, table(spark, sf_dir, "labels"))
+    mixed = mixing.mix_sources(documents, labelled, TARGETS)
+    return mixed.select("row.doc_id", "n_tokens", "posterior", "rate", "copies")
+
+
 @query(
     r"""
     with texts as (
@@ -78,3 +91,11 @@ def op8_warc(spark, sf_dir):
     """A record per page, written to archives and read back."""
     files = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return warc.read_archives(files)
+
+
+@query()
+def op10_decontaminate(spark, sf_dir):
+    """Each benchmark passage that a document holds."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.screen(documents, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
