@@ -38,7 +38,7 @@ class LeakConfig:
     seed: int = 3
 
 
-_BYTES = 2_000_000
+_BYTES = 500_000
 
 
 def _buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
