@@ -1,7 +1,7 @@
 """Mixing documents to target weights of soft domains.
 
-A softmax classifier over hashed words, learned from a labelled table, gives each document a
-posterior over the domains. The expected tokens of a domain are the sum of rate x tokens x posterior over all
+A softmax classifier over hashed words and the style of the writing, learned from a labelled table,
+gives each document a posterior over the domains. The expected tokens of a domain are the sum of rate x tokens x posterior over all
 documents. Projected gradient descent finds rates of at least 0 that bring these sums to the
 targets, in weighted least squares. A document's rate follows from its posterior and the gradients
 of all steps, which are a few numbers each; a step is one aggregation over the stored posteriors, and
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import blocks, group_rows, sums_per_group
+from podium.llm.common import blocks, group_rows, sums_per_group, text_bytes
 from podium.llm.features import content_words, distinct_buckets
 from podium.session import materialize, ship_package
 
@@ -27,10 +27,9 @@ from podium.session import materialize, ship_package
 class MixConfig:
     sample: int = 8000  # labelled rows to learn from, at most
     bucket_bits: int = 15
-    epochs: int = 15
-    batch: int = 64
-    rate: float = 4.0
-    decay: float = 1e-5
+    chosen: int = 1000  # buckets that tell domains apart best
+    epochs: int = 300  # over the whole sample
+    decay: float = 1e-4
     steps: int = 40  # of projected gradient descent, at most
     tolerance: float = 1e-3  # of the total tokens, in every domain
     seed: int = 7
@@ -39,7 +38,8 @@ class MixConfig:
 @dataclass(frozen=True)
 class Domains:
     names: list[str]
-    layer: np.ndarray  # buckets x domains
+    rows: np.ndarray  # of the layer, for each bucket and style; -1 if it is not used
+    layer: np.ndarray  # rows x domains
     bias: np.ndarray
 
 
@@ -48,26 +48,47 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
+_STYLES = 16
+_KINDS = np.zeros((256, 2), np.int64)  # capital letters, punctuation
+_KINDS[range(65, 91), 0] = 1
+_KINDS[[c for c in range(33, 127) if not chr(c).isalnum()], 1] = 1
+
+
+def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text its number of words and of features, and all features.
+
+    Features are the buckets of its words, and after them, in 16 bins each, the share of capital
+    letters, of punctuation and of different words.
+    """
+    counts, hashes = content_words(texts)
+    sizes, keys = distinct_buckets(counts, (hashes >> np.uint64(64 - bits)).astype(np.int64), 1 << bits)
+    data, offsets = text_bytes(texts)
+    lengths = np.diff(offsets)
+    shares = np.column_stack([sums_per_group(_KINDS[data], lengths) / np.maximum(lengths, 1)[:, None], sizes / np.maximum(counts, 1)])
+    bins = np.minimum((_STYLES * np.sqrt(shares)).astype(np.int64), _STYLES - 1) + (1 << bits) + _STYLES * np.arange(3)
+    return counts, sizes + 3, np.insert(keys, np.repeat(np.cumsum(sizes), 3), bins.ravel())
+
+
 def learn_domains(labelled: DataFrame, config: MixConfig = MixConfig()) -> Domains:
     """Learn from rows (doc_id, text, domain); at most ``config.sample`` of them, drawn by a hash of doc_id.
 
-    Only the distinct buckets of the drawn rows reach the driver.
+    Only the distinct features of the drawn rows reach the driver. The buckets with the largest chi-square
+    against the domains are used, and all styles.
     """
     ship_package(labelled.sparkSession)
-    n = 1 << config.bucket_bits
+    bits, n = config.bucket_bits, (1 << config.bucket_bits) + 3 * _STYLES
     labelled = labelled.where("domain is not null")
     total = labelled.count()
     if not total:
         raise ValueError("no labelled document to learn from")
     # about twice the sample by a share of the hashes, then the sample by order
     draw = F.xxhash64("doc_id", F.lit(config.seed))
-    most = int(-(2**63) + 2**64 * min(1.0, 2 * config.sample / total) - 1) if total > 2 * config.sample else 2**63 - 1
+    most = int(-(2**63) + 2**64 * 2 * config.sample / total) if total > 2 * config.sample else 2**63 - 1
     drawn = labelled.select("doc_id", draw.alias("draw"), "text", "domain").where(F.col("draw") <= most)
 
     def count(batches):
         for batch in blocks(batches, "text"):
-            counts, hashes = content_words(batch.column("text"))
-            sizes, keys = distinct_buckets(counts, (hashes >> np.uint64(64 - config.bucket_bits)).astype(np.int64), n)
+            _, sizes, keys = features(batch.column("text"), bits)
             cuts = np.split(keys.astype("<u4"), np.cumsum(sizes)[:-1])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("draw"), batch.column("domain"), pa.array([c.tobytes() for c in cuts], pa.binary())],
@@ -76,28 +97,36 @@ def learn_domains(labelled: DataFrame, config: MixConfig = MixConfig()) -> Domai
 
     kind = dict(labelled.dtypes)["doc_id"]
     counted = drawn.mapInArrow(count, f"doc_id {kind}, draw long, domain string, keys binary")
-    rows = [(r["domain"], np.frombuffer(r["keys"], "<u4")) for r in counted.orderBy("draw", "doc_id", "keys").limit(config.sample).collect()]
-    names = sorted({d for d, _ in rows})
-    y = np.array([names.index(d) for d, _ in rows])
-    rng = np.random.default_rng(config.seed)
-    layer, bias = np.zeros((n, len(names)), np.float32), np.zeros(len(names), np.float32)
-    for epoch in range(config.epochs):
-        step = config.rate * (1 - epoch / config.epochs)
-        for some in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // config.batch)):
-            x = np.zeros((len(some), n), np.float32)
-            for i, j in enumerate(some):
-                x[i, rows[j][1]] = 1 / np.sqrt(max(len(rows[j][1]), 1))
-            error = _softmax(x @ layer + bias)
-            error[np.arange(len(some)), y[some]] -= 1
-            layer -= step * (x.T @ error / len(some) * 4 + config.decay * layer)
-            bias -= step * 0.1 * error.mean(axis=0)
-    return Domains(names, layer, bias)
+    sample = counted.orderBy("draw", "doc_id", "keys").limit(config.sample).select("domain", "keys").collect()
+    names = sorted({r["domain"] for r in sample})
+    y = np.array([names.index(r["domain"]) for r in sample])
+    sets = [np.frombuffer(r["keys"], "<u4") for r in sample]
+    with_it = np.stack([np.bincount(np.concatenate([s for s, d in zip(sets, y) if d == k]), minlength=n) for k in range(len(names))])
+    share = np.bincount(y) / len(y)
+    expected = share[:, None] * with_it.sum(axis=0)
+    chi = ((with_it - expected) ** 2 / np.maximum(expected, 1e-9)).sum(axis=0) / np.maximum(1 - with_it.sum(axis=0) / len(y), 1e-3)
+    chi[1 << bits :] = np.inf
+    rows = np.full(n, -1)
+    chosen = np.sort(np.argsort(-chi, kind="stable")[: config.chosen + 3 * _STYLES])
+    rows[chosen] = np.arange(len(chosen))
+    x = np.zeros((len(sets), len(chosen) + 1), np.float32)
+    x[:, -1] = 1
+    for i, s in enumerate(sets):
+        x[i, rows[s][rows[s] >= 0]] = 1
+    layer = np.zeros((x.shape[1], len(names)), np.float32)
+    first, second = np.zeros_like(layer), np.zeros_like(layer)
+    target = np.eye(len(names), dtype=np.float32)[y]
+    for epoch in range(1, config.epochs + 1):  # Adam over the whole sample
+        slope = x.T @ (_softmax(x @ layer) - target) / len(x) + config.decay * layer
+        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
+        layer -= 0.05 * first / (1 - 0.9**epoch) / (np.sqrt(second / (1 - 0.99**epoch)) + 1e-6)
+    return Domains(names, rows, layer[:-1], layer[-1])
 
 
 def posteriors(documents: DataFrame, domains: Domains, text_column: str = "text") -> DataFrame:
     """The documents in a struct ``row``, with n_tokens (their words) and posterior, an array in the order of the names."""
     ship_package(documents.sparkSession)
-    n, bits = len(domains.layer), int(len(domains.layer)).bit_length() - 1
+    bits = (len(domains.rows) - 3 * _STYLES).bit_length() - 1
     sent = documents.sparkSession.sparkContext.broadcast(domains)
     rows = documents.select(F.struct(*documents.columns).alias("row"))
     place = documents.columns.index(text_column)
@@ -108,9 +137,10 @@ def posteriors(documents: DataFrame, domains: Domains, text_column: str = "text"
             whole = batch.column("row")
             part = pa.RecordBatch.from_arrays([whole, whole.field(place)], ["row", "text"])
             for piece in blocks([part], "text"):
-                counts, hashes = content_words(piece.column("text"))
-                sizes, keys = distinct_buckets(counts, (hashes >> np.uint64(64 - bits)).astype(np.int64), n)
-                logits = sums_per_group(own.layer[keys], sizes) / np.sqrt(np.maximum(sizes, 1))[:, None] + own.bias
+                counts, sizes, keys = features(piece.column("text"), bits)
+                used = own.rows[keys]
+                sizes = np.bincount(group_rows(sizes)[used >= 0], minlength=len(sizes))
+                logits = sums_per_group(own.layer[used[used >= 0]], sizes) + own.bias
                 found = _softmax(logits).ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * len(own.names)), pa.array(found))
                 yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(counts), lists], ["row", "n_tokens", "posterior"])
