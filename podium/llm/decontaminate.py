@@ -191,17 +191,16 @@ def _items(benchmark: DataFrame, config: LeakConfig):
         yield held
 
 
-def screen(documents: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig(), text_column: str = "text") -> DataFrame:
-    """The documents, with one more column ``leaks``: an array of (item_id, share, answer_share, at).
+def screened(documents: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig(), text_column: str = "text") -> DataFrame:
+    """The documents in a struct ``row``, with ``leaks``: an array of (item_id, share, answer_share, at).
 
     ``share`` is the longest common word sequence over the words of the benchmark passage (or of a
     part of ``probe`` words), ``at`` the first word of the window. Case and punctuation do not
     matter. Null and empty texts have no leaks, and neither have tables whose benchmark is empty;
     benchmark rows without an id or with fewer than ``least_words`` words are not looked for.
-    Repeated rows are all kept. A column ``leaks`` of the documents is replaced.
+    Repeated rows are all kept.
     """
     ship_package(documents.sparkSession)
-    documents = documents.drop("leaks")
     texts = documents.select(F.col(text_column).alias("text"))
     weight = weights(texts, config)
     basis = latent_space(texts, weight, config)
@@ -228,4 +227,4 @@ def screen(documents: DataFrame, benchmark: DataFrame, config: LeakConfig = Leak
                     yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(found, kind)], ["row", "leaks"])
 
         out = out.mapInArrow(run, f"row {row}, leaks {shape}")
-    return out.select("row.*", "leaks")
+    return out

@@ -252,20 +252,11 @@ def _wanted_sets(rows: DataFrame, pairs: DataFrame, classes: DataFrame, config:
     """
     need = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc_id"), "class")
     need = materialize(need, "wanted")
-    place = lambda ids: (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - _WANTED_BITS)).astype(np.int64)
-
-    def mark(batches):
-        counts = np.zeros(1 << _WANTED_BITS, np.int64)
-        for batch in batches:
-            counts[place(batch.column("doc_id").fill_null(-1).to_numpy())] = 1
-        yield tables.partial(counts)
-
-    marked = need.select("doc_id").mapInArrow(mark, tables.SHAPE)
-    table = rows.sparkSession.sparkContext.broadcast(tables.total(marked, 1 << _WANTED_BITS, "<i8") > 0)
+    sent = rows.sparkSession.sparkContext.broadcast(tables.marked(need.select("doc_id"), _WANTED_BITS))
 
     def run(batches):
         for batch in batches:
-            hit = table.value[place(batch.column("doc_id").fill_null(-1).to_numpy())]
+            hit = sent.value[tables.place(batch.column("doc_id"), _WANTED_BITS)]
             for part in blocks([batch.filter(pa.array(hit))], "text"):
                 sets = shingle_sets(part.column("text"), config.words)
                 yield pa.RecordBatch.from_arrays(
@@ -374,7 +365,9 @@ def _tree_pairs(members: DataFrame, classes: DataFrame, config: JoinConfig) -> D
 def similar_documents(
     documents: DataFrame, config: JoinConfig = JoinConfig(), id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class, component_id (the smallest doc_id that links reach).
+    """One row per document: doc_id, n_shingles, class, label, component_id (the smallest doc_id that links reach).
+
+    ``class`` is the same for equal sets, ``label`` for all sets of a component.
 
     A null or empty text, or one of white space only, has no shingles and is a component of its own. Equal sets, such as those of
     repeated rows, are one class. A row without an id is linked like others; a component of such rows
@@ -403,6 +396,50 @@ def similar_documents(
     labels = components(links).select(F.col("node").alias("class"), "label")
     own = described.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     smallest = own.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    linked = own.where("n > 0").join(smallest, "label").select("doc_id", F.col("n").alias("n_shingles"), "class", "component_id")
-    alone = own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), "class", F.col("doc_id").alias("component_id"))
+    linked = own.where("n > 0").join(smallest, "label").select("doc_id", F.col("n").alias("n_shingles"), "class", "label", "component_id")
+    alone = own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), "class", "label", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
+
+
+def one_of_each(documents: DataFrame, config: JoinConfig = JoinConfig(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents without those that are linked with one of smaller id, directly or over others.
+
+    Documents without shingles all stay. Rows without an id go before those with one; of rows that
+    repeat an id and a set, one stays. Columns are those of ``documents``.
+    """
+    found = materialize(similar_documents(documents, config, id_column, text_column), "similar")
+    found = found.where("n_shingles > 0")
+    ordered = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")
+    groups = found.groupBy("label").agg(F.min(ordered).alias("stays"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    groups = materialize(groups, "groups")
+    members = found.join(groups.select("label"), "label", "left_semi").select("doc_id")
+    sent = documents.sparkSession.sparkContext.broadcast(tables.marked(members, _WANTED_BITS))
+    rows = documents.select(F.struct(*documents.columns).alias("row"))
+    id_place, text_place = documents.columns.index(id_column), documents.columns.index(text_column)
+
+    def part(member: bool):
+        """The rows whose id may be that of a member of a group, with their classes; or all others."""
+
+        def run(batches):
+            for batch in batches:
+                whole = batch.column("row")
+                ids = whole.field(id_place).cast(pa.int64())
+                some = pa.RecordBatch.from_arrays([whole, ids, whole.field(text_place)], ["row", "id", "text"])
+                some = some.filter(pa.array(sent.value[tables.place(ids, _WANTED_BITS)] == member))
+                for piece in blocks([some], "text"):
+                    sets = shingle_sets(piece.column("text"), config.words) if member else []
+                    classes = pa.array([set_class(s) if len(s) else None for s in sets] if member else [None] * piece.num_rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("id"), classes], ["row", "id", "class"])
+
+        return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, id long, class long")
+
+    maybe = part(True)
+    first = groups.select("stays.doc_id", F.col("stays.class").alias("of"), F.lit(True).alias("stays"))
+    # rows of no group: their class is in none
+    grouped = found.join(groups.select("label"), "label", "left_semi").select(F.col("class").alias("of")).distinct().withColumn("grouped", F.lit(True))
+    maybe = maybe.join(grouped, maybe["class"] == grouped["of"], "left").drop("of")
+    maybe = maybe.join(first, (maybe["class"] == first["of"]) & maybe["id"].eqNullSafe(first["doc_id"]), "left").drop("of", "doc_id")
+    alone = maybe.where("grouped is null").select("row")
+    order = Window.partitionBy("class", "id").orderBy(F.lit(1))
+    kept = maybe.where("stays").withColumn("turn", F.row_number().over(order)).where("turn = 1").select("row")
+    return part(False).select("row").union(alone).union(kept).select("row.*")

@@ -95,7 +95,7 @@ def mean_logits(texts: pa.Array, table: np.ndarray, bucket_bits: int) -> np.ndar
 
 
 def _counted(labelled: DataFrame, bucket_bits: int) -> DataFrame:
-    """For each row (lang, text), the buckets of its subwords and how often each occurs."""
+    """For each row (draw, doc_id, lang, text), the buckets of its subwords and how often each occurs."""
     n = 2**bucket_bits
 
     def count(batches):
@@ -104,14 +104,13 @@ def _counted(labelled: DataFrame, bucket_bits: int) -> DataFrame:
             keys, times = [], []
             for a, b in zip(offsets[:-1], offsets[1:]):
                 found = sum(np.bincount(x, minlength=n) for x in subwords(data[a:b], bucket_bits))
-                keys.append(np.flatnonzero(found))
-                times.append(found[keys[-1]])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), pa.array(keys, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))],
-                ["lang", "keys", "times"],
-            )
+                keys.append(np.flatnonzero(found).astype("<i4"))
+                times.append(found[keys[-1]].astype("<f4").tobytes())
+            columns = [pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(times, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["draw", "doc_id", "lang", "keys", "times"])
 
-    return labelled.mapInArrow(count, "lang string, keys array<int>, times array<int>")
+    kind = dict(labelled.dtypes)["doc_id"]
+    return labelled.mapInArrow(count, f"draw long, doc_id {kind}, lang string, keys binary, times binary")
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -123,17 +122,17 @@ def train(labelled: DataFrame, config: LanguageConfig = LanguageConfig()) -> Lan
     """Learn from rows (text, lang) with both; ``labelled`` also has a unique ``doc_id`` to draw by.
 
     The ``config.sample`` rows with the smallest hash of ``doc_id`` are taken; only their subword
-    counts, at most ``2 ** bucket_bits`` numbers each, reach the driver.
+    counts, at most ``2 ** bucket_bits`` pairs each, reach the driver.
     """
     ship_package(labelled.sparkSession)
-    drawn = (
-        labelled.where("lang is not null and text is not null")
-        .select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit(config.seed)).alias("draw"), "doc_id")
-        .orderBy("draw", "doc_id")
-        .limit(config.sample)
-        .select("lang", "text")
-    )
-    rows = [(r["lang"], np.array(r["keys"], np.int32), np.array(r["times"], np.float32)) for r in _counted(drawn, config.bucket_bits).toLocalIterator()]
+    labelled = labelled.where("lang is not null")
+    number = labelled.select("doc_id").count()
+    # about twice the sample by a share of the hashes, then the sample by order
+    most = int(-(2**63) + 2**64 * 2 * config.sample / number) if number > 2 * config.sample else 2**63 - 1
+    drawn = labelled.select(F.xxhash64(F.col("doc_id"), F.lit(config.seed)).alias("draw"), "doc_id", "lang", "text")
+    drawn = _counted(drawn.where(F.col("draw") <= most), config.bucket_bits)
+    drawn = drawn.orderBy("draw", "doc_id", "keys").limit(config.sample).select("lang", "keys", "times")
+    rows = [(r["lang"], np.frombuffer(r["keys"], "<i4"), np.frombuffer(r["times"], "<f4")) for r in drawn.collect()]
     rows = [r for r in rows if len(r[1])]
     languages = sorted({r[0] for r in rows})
     if not languages:
@@ -175,34 +174,43 @@ def train(labelled: DataFrame, config: LanguageConfig = LanguageConfig()) -> Lan
     return LanguageModel(languages, table.astype(np.float32), bias, float(temperature), threshold)
 
 
-def identify(documents: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: doc_id, lang_pred, score (0 to 1), rejected.
+def identified(documents: DataFrame, model: LanguageModel, text_column: str = "text") -> DataFrame:
+    """The documents in a struct ``row``, with lang_pred, score (0 to 1) and rejected.
 
-    A text that is null, empty or without letters is ``und`` with score 0 and rejected; so is, under its best
-    language, one whose calibrated score is below the model's threshold. Equal scores give the first
-    language by name. Texts of any length count whole; other columns are ignored.
+    A text that is null, empty or without letters is ``und`` with score 0 and rejected; so is, under its
+    best language, one whose calibrated score is below the model's threshold. Equal scores give the
+    first language by name. Texts of any length count whole, and repeated rows are all kept.
     """
     ship_package(documents.sparkSession)
-    bits = int(len(model.table)).bit_length() - 1
-    shape = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
+    bits, place = int(len(model.table)).bit_length() - 1, documents.columns.index(text_column)
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+    rows = documents.select(F.struct(*documents.columns).alias("row"))
 
     def predict(batches):
-        for batch in blocks(batches, "text", 2_000_000):
-            texts = pc.fill_null(batch.column("text"), "")
-            logits = (mean_logits(texts, model.table, bits) + model.bias) / model.temperature
-            chances = _softmax(logits)
-            best = chances.argmax(axis=1)
-            score = chances[np.arange(len(best)), best]
-            letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
-            score = np.where(letters, score, 0.0)
-            named = np.where(letters, np.array(model.languages, object)[best], "und")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(named, pa.string()), pa.array(score), pa.array(~letters | (score < model.reject_below))],
-                schema=shape,
-            )
+        own = sent.value
+        for batch in batches:
+            whole = batch.column("row")
+            part = pa.RecordBatch.from_arrays([whole, whole.field(place)], ["row", "text"])
+            for piece in blocks([part], "text", 2_000_000):
+                texts = pc.fill_null(piece.column("text"), "")
+                chances = _softmax((mean_logits(texts, own.table, bits) + own.bias) / own.temperature)
+                best = chances.argmax(axis=1)
+                letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
+                score = np.where(letters, chances[np.arange(len(best)), best], 0.0)
+                named = pa.array(np.where(letters, np.array(own.languages, object)[best], "und"), pa.string())
+                rejected = pa.array(~letters | (score < own.reject_below))
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("row"), named, pa.array(score), rejected], ["row", "lang_pred", "score", "rejected"]
+                )
+
+    shape = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, rejected boolean"
+    return rows.mapInArrow(predict, shape)
 
-    rows = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(predict, "id long, lang_pred string, score double, rejected boolean").withColumnRenamed("id", "doc_id")
+
+def identify(documents: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per document: doc_id, lang_pred, score, rejected, as in ``identified``; other columns are ignored."""
+    found = identified(documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), model)
+    return found.select("row.doc_id", "lang_pred", "score", "rejected")
 
 
 def learning_rows(documents: DataFrame) -> DataFrame:

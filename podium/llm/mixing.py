@@ -69,22 +69,22 @@ def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return counts, sizes + 3, np.insert(keys, np.repeat(np.cumsum(sizes), 3), bins.ravel())
 
 
-def learn_domains(labelled: DataFrame, config: MixConfig = MixConfig()) -> Domains:
-    """Learn from rows (doc_id, text, domain); at most ``config.sample`` of them, drawn by a hash of doc_id.
+def learn_domains(documents: DataFrame, known: DataFrame, config: MixConfig = MixConfig()) -> Domains:
+    """Learn from documents (doc_id, text) whose domain is in ``known`` (doc_id, domain).
 
-    Only the distinct features of the drawn rows reach the driver. The buckets with the largest chi-square
-    against the domains are used, and all styles.
+    At most ``config.sample`` rows of ``known`` are used, drawn by a hash of doc_id; documents that are
+    not there any more are not replaced. Only the distinct features of these documents reach the
+    driver. The buckets with the largest chi-square against the domains are used, and all styles.
     """
-    ship_package(labelled.sparkSession)
+    ship_package(documents.sparkSession)
     bits, n = config.bucket_bits, (1 << config.bucket_bits) + 3 * _STYLES
-    labelled = labelled.where("domain is not null")
-    total = labelled.count()
-    if not total:
-        raise ValueError("no labelled document to learn from")
+    known = known.where("domain is not null and doc_id is not null")
+    total = known.count()
     # about twice the sample by a share of the hashes, then the sample by order
-    draw = F.xxhash64("doc_id", F.lit(config.seed))
     most = int(-(2**63) + 2**64 * 2 * config.sample / total) if total > 2 * config.sample else 2**63 - 1
-    drawn = labelled.select("doc_id", draw.alias("draw"), "text", "domain").where(F.col("draw") <= most)
+    known = known.select("doc_id", F.xxhash64("doc_id", F.lit(config.seed)).alias("draw"), "domain").where(F.col("draw") <= most)
+    known = known.orderBy("draw", "doc_id", "domain").limit(config.sample)
+    labelled = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "draw", "text", "domain")
 
     def count(batches):
         for batch in blocks(batches, "text"):
@@ -96,8 +96,10 @@ def learn_domains(labelled: DataFrame, config: MixConfig = MixConfig()) -> Domai
             )
 
     kind = dict(labelled.dtypes)["doc_id"]
-    counted = drawn.mapInArrow(count, f"doc_id {kind}, draw long, domain string, keys binary")
+    counted = labelled.mapInArrow(count, f"doc_id {kind}, draw long, domain string, keys binary")
     sample = counted.orderBy("draw", "doc_id", "keys").limit(config.sample).select("domain", "keys").collect()
+    if not sample:
+        raise ValueError("no labelled document to learn from")
     names = sorted({r["domain"] for r in sample})
     y = np.array([names.index(r["domain"]) for r in sample])
     sets = [np.frombuffer(r["keys"], "<u4") for r in sample]
@@ -192,7 +194,7 @@ def fit_rates(weighed: DataFrame, targets: list[float], config: MixConfig = MixC
 
 def mix_sources(
     documents: DataFrame,
-    labelled: DataFrame,
+    known: DataFrame,
     targets: Mapping[str, float],
     config: MixConfig = MixConfig(),
     id_column: str = "doc_id",
@@ -200,12 +202,17 @@ def mix_sources(
 ) -> DataFrame:
     """The documents in a struct ``row``, with n_tokens, posterior, rate and copies.
 
-    ``targets`` gives each domain of ``labelled`` (doc_id, text, domain) its share of all tokens; a
-    domain that is not named has none. ``copies`` is the rate rounded up or down by a hash of the id, with the
+    ``targets`` gives each domain of ``known`` (doc_id, domain) its share of all tokens; a domain that
+    is not named has none. Without documents there are no rows; documents without any known domain are an error. ``copies`` is the rate rounded up or down by a hash of the id, with the
     rate as its mean. A null or empty text has no tokens and the classifier's prior; rows without an
-    id share one rounding, and so do rows that repeat an id. Empty tables give no rows.
+    id share one rounding, and so do rows that repeat an id.
     """
-    domains = learn_domains(labelled, config)
+    own = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    if documents.isEmpty():
+        return posteriors(documents, Domains([], np.zeros(0, int), np.zeros((0, 0)), np.zeros(0)), text_column).withColumns(
+            {"rate": F.lit(1.0), "copies": F.lit(1)}
+        )
+    domains = learn_domains(own, known, config)
     found = materialize(posteriors(documents, domains, text_column), "posteriors")
     steps = fit_rates(found.select("n_tokens", "posterior"), [targets.get(d, 0.0) for d in domains.names], config)
     rated = found.withColumn("rate", rate_of(F.col("posterior"), steps))
@@ -214,8 +221,7 @@ def mix_sources(
     return rated.withColumn("copies", copies)
 
 
-def labelled_domains(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, domain) for labelled documents: toxic, and else good or poor by quality."""
+def domains_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) for labels (doc_id, quality, toxic): toxic, and else good or poor by quality; null if neither is known."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
-    known = labels.select("doc_id", domain.alias("domain")).where("doc_id is not null and domain is not null")
-    return documents.select("doc_id", "text").join(known, "doc_id")
+    return labels.select("doc_id", domain.alias("domain"))

@@ -51,8 +51,7 @@ TARGETS = {"good": 0.88, "poor": 0.12, "toxic": 0.0}
 def op3_source_mixing(spark, sf_dir):
     """Posterior, rate and copies of every document for the target shares."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labelled = mixing.labelled_domains(documents, table(spark, sf_dir, "labels"))
-    mixed = mixing.mix_sources(documents, labelled, TARGETS)
+    mixed = mixing.mix_sources(documents, mixing.domains_of(table(spark, sf_dir, "labels")), TARGETS)
     return mixed.select("row.doc_id", "n_tokens", "posterior", "rate", "copies")
 
 
@@ -119,5 +118,5 @@ def op9_html_text(spark, sf_dir):
 def op10_decontaminate(spark, sf_dir):
     """Each benchmark passage that a document holds."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.screen(documents, table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+    found = decontaminate.screened(documents, table(spark, sf_dir, "benchmark"))
+    return found.select("row.doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")

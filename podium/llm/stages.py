@@ -1,19 +1,36 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline: each takes (spark, docs, sf_dir) and gives the next one's documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from podium.llm import dac, langid
-from podium.llm.queries import tokenizer_path
+from podium.llm import dac, decontaminate, jaccard_join, langid, mixing
+from podium.llm.common import table
+from podium.llm.queries import TARGETS, tokenizer_path
 
 
 def language(spark, docs, sf_dir):
-    """Drops the documents whose language is rejected."""
-    rows = docs.select("doc_id", "lang", "text")
-    found = langid.identify(docs, langid.train(langid.learning_rows(rows)))
-    kept = found.where(~F.col("rejected")).select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Documents whose language is rejected go."""
+    model = langid.train(langid.learning_rows(docs.select("doc_id", "lang", "text")))
+    return langid.identified(docs, model).where("not rejected").select("row.*")
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of similar ones stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def benchmark_free(spark, docs, sf_dir):
+    """Documents that hold a benchmark passage go."""
+    found = decontaminate.screened(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("leaks") == 0).select("row.*")
+
+
+def mixed(spark, docs, sf_dir):
+    """Each document as many times as its domains' target weights ask for."""
+    known = mixing.domains_of(table(spark, sf_dir, "labels"))
+    found = mixing.mix_sources(docs, known, TARGETS)
+    return found.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def token_codes(spark, docs, sf_dir):
@@ -21,4 +38,10 @@ def token_codes(spark, docs, sf_dir):
     return dac.read_tokens(dac.write_tokens(docs, tokenizer_path(), independent=True))
 
 
-STAGES = [("language id", language), ("token codes", token_codes)]
+STAGES = [
+    ("language id", language),
+    ("n-gram jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_free),
+    ("mixing to target weights", mixed),
+    ("token codes", token_codes),
+]

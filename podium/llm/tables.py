@@ -8,6 +8,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from podium.llm.common import mix
+
 #: Numbers in one row; the rows of a slice are added up in one place.
 _SLICE = 4096
 SHAPE = "slice long, part long, numbers binary"
@@ -38,3 +40,22 @@ def total(partials: DataFrame, size: int, kind: str) -> np.ndarray:
     for r in some.groupBy("slice").applyInArrow(add, SHAPE).select("slice", "numbers").collect():
         table[r["slice"] * _SLICE : (r["slice"] + 1) * _SLICE] = np.frombuffer(r["numbers"], kind)
     return table
+
+
+def marked(ids: DataFrame, bits: int) -> np.ndarray:
+    """A table of ``2 ** bits`` places that tells where the one column of ``ids``, whole numbers, has a value.
+
+    It answers whether a number may be among them: a yes can be wrong, the more so the more there are; a no cannot.
+    """
+
+    def mark(batches):
+        found = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            found[place(batch.column(0), bits)] = 1
+        yield partial(found)
+
+    return total(ids.mapInArrow(mark, SHAPE), 1 << bits, "<i8") > 0
+
+
+def place(ids: pa.Array, bits: int) -> np.ndarray:
+    return (mix(ids.fill_null(-1).to_numpy().astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
