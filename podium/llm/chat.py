@@ -79,7 +79,10 @@ class _Expression:
     def made(self, kind: str, *args):
         node = Op(kind, args)
         if all(isinstance(a, Const) or isinstance(a, str) for a in args) and kind != "name":
-            return Const(_closure(node, self.filters)({}))
+            try:
+                return Const(_closure(node, self.filters)({}))
+            except TypeError as wrong:
+                raise TemplateError(f"constants that do not go together: {wrong}") from wrong
         return node
 
     def either(self):
@@ -104,9 +107,15 @@ class _Expression:
         return node
 
     def joined(self):
+        node = self.added()
+        while self.accept("~"):
+            node = self.made("~", node, self.added())
+        return node
+
+    def added(self):
         node = self.filtered()
-        while word := self.accept("+", "~"):
-            node = self.made(word, node, self.filtered())
+        while self.accept("+"):
+            node = self.made("+", node, self.filtered())
         return node
 
     def filtered(self):
