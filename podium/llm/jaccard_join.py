@@ -20,6 +20,7 @@ Every link joins two classes that are in one component at the end, so the compon
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +40,8 @@ from podium.session import materialize, ship_package
 class JoinConfig:
     words: int = 5
     percent: int = 80  # 100 * shared >= percent * union
-    groups: int = 128
+    groups: int = 1024
+    coarse: int = 128  # groups that tree nodes compare, each of several of the others
     rounds: int = 2  # of pivots
     table_bits: int = 18  # of the table of shingle counts
     cell: int = 1024  # classes of one side of a cell
@@ -51,14 +53,16 @@ _WANTED_BITS = 22
 
 
 def point(shingles: np.ndarray, groups: int) -> bytes:
-    """Counts per group, in the narrowest of one, two or four bytes each."""
+    """Counts per group, in the narrowest of one, two or four bytes each, packed."""
     counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    return counts.astype("<u1" if counts.max() < 256 else "<u2" if counts.max() < 65536 else "<u4").tobytes()
+    narrow = counts.astype("<u1" if counts.max() < 256 else "<u2" if counts.max() < 65536 else "<u4")
+    return zlib.compress(narrow.tobytes(), 1)
 
 
 def points(packed: list[bytes], groups: int) -> np.ndarray:
     kinds = {groups: "<u1", 2 * groups: "<u2", 4 * groups: "<u4"}
-    return np.stack([np.frombuffer(p, kinds[len(p)]).astype(np.int64) for p in packed])
+    plain = [zlib.decompress(p) for p in packed]
+    return np.stack([np.frombuffer(p, kinds[len(p)]).astype(np.int32) for p in plain])
 
 
 def may_link(shared: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -67,12 +71,21 @@ def may_link(shared: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
 
 
 class RTree:
-    """Points with set sizes, packed by splitting at the median of the widest coordinate."""
+    """Points with set sizes, packed by splitting at the median of the widest coordinate.
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, leaf: int = 32):
-        self.points, self.sizes, self.leaf = points, sizes, leaf
+    Nodes and leaves compare coarse points, whose groups are each the sum of several; pairs that are
+    left are compared by all groups.
+    """
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, leaf: int = 32, coarse: int = 128):
+        self.fine, self.sizes, self.leaf = points, sizes, leaf
+        self.coarse = min(coarse, points.shape[1])
+        self.points = self._folded(points)
         self.root = self._node(np.arange(len(points)))
 
+    def _folded(self, points: np.ndarray) -> np.ndarray:
+        return points.reshape(len(points), -1, self.coarse).sum(axis=1)
+
     def _node(self, rows: np.ndarray) -> tuple:
         own = self.points[rows]
         corner, least, most = own.max(axis=0), self.sizes[rows].min(), self.sizes[rows].max()
@@ -85,6 +98,7 @@ class RTree:
 
     def search(self, points: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """All (query, row) whose bound allows a link."""
+        fine, points = points, self._folded(points)
         found, waiting = [], [(self.root, np.arange(len(points)))]
         while waiting:
             (corner, least, most, rows, children), some = waiting.pop()
@@ -102,6 +116,8 @@ class RTree:
                 n, m = sizes[some], self.sizes[row]
                 shared = np.minimum(points[some], self.points[row]).sum(axis=1)
                 good = some[may_link(shared, n + m, percent) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))]
+                shared = np.minimum(fine[good], self.fine[row]).sum(axis=1)
+                good = good[may_link(shared, sizes[good] + self.sizes[row], percent)]
                 found.append((good, np.full(len(good), row)))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -335,7 +351,7 @@ def _tree_pairs(members: DataFrame, classes: DataFrame, config: JoinConfig) -> D
         others = queries if cell.column("kind")[0].as_py() and cell.column("i")[0].as_py() == cell.column("j")[0].as_py() else np.flatnonzero(side == 1)
         a = b = np.zeros(0, np.int64)
         if len(queries) and len(others):
-            x, y = RTree(p[others], n[others], config.leaf).search(p[queries], n[queries], config.percent)
+            x, y = RTree(p[others], n[others], config.leaf, config.coarse).search(p[queries], n[queries], config.percent)
             a, b = queries[x], others[y]
             good = labels[a] != labels[b]
             a, b = ids[a[good]], ids[b[good]]
@@ -404,8 +420,8 @@ def similar_documents(
 def one_of_each(documents: DataFrame, config: JoinConfig = JoinConfig(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents without those that are linked with one of smaller id, directly or over others.
 
-    Documents without shingles all stay. Rows without an id go before those with one; of rows that
-    repeat an id and a set, one stays. Columns are those of ``documents``.
+    Documents without shingles all stay. Rows without an id stay only if their whole group has none; of
+    rows that repeat an id and a set, one stays. Columns are those of ``documents``.
     """
     found = materialize(similar_documents(documents, config, id_column, text_column), "similar")
     found = found.where("n_shingles > 0")
