@@ -2,7 +2,8 @@
 
 Words are hashed into buckets and weighted by how few documents have them. A randomised SVD of the
 TF-IDF matrix of all passages gives the latent space: tasks add up their part of A'(A R) for a random
-matrix R, which is a table of fixed size, and the driver makes it orthonormal. Every window of every
+matrix R, which is a table of fixed size, and the driver takes its singular vectors. They are divided by their
+singular values, so that what most passages share does not decide. A word counts once where it is repeated. Every window of every
 document, and every benchmark passage, is projected; windows whose cosine with a passage reaches
 ``cosine`` are candidates. A candidate counts if its longest common word sequence with the passage
 covers ``share`` of it, and ``answer_share`` of its last quarter, where the answer is.
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm import tables
-from podium.llm.common import blocks, group_rows
-from podium.llm.features import content_words, distinct_buckets
+from podium.llm.common import blocks
+from podium.llm.features import content_words, distinct_buckets, newly
 from podium.session import ship_package
 
 
@@ -28,8 +29,9 @@ class LeakConfig:
     bucket_bits: int = 13
     rank: int = 128
     passes: int = 1  # over the corpus, for the SVD; more sharpen it
-    passage: int = 64  # words of the passages that the SVD sees
-    cosine: float = 0.4
+    passage: int = 256  # words of the passages that the SVD sees
+    gap: int = 100  # words within which a repeated word does not count again
+    cosine: float = 0.3
     share: float = 0.6
     answer_share: float = 0.5
     probe: int = 96  # longer benchmark passages are cut into parts of so many words
@@ -67,7 +69,7 @@ def weights(texts: DataFrame, config: LeakConfig) -> np.ndarray:
 
 
 def latent_space(texts: DataFrame, weight: np.ndarray, config: LeakConfig) -> np.ndarray:
-    """Right singular vectors (buckets x rank) of the weighted passages, by a randomised SVD."""
+    """Right singular vectors (buckets x rank) of the weighted passages by a randomised SVD, over their squared singular values."""
     n = len(weight)
     basis = np.random.default_rng(config.seed).normal(size=(n, config.rank)).astype(np.float32)
     for _ in range(config.passes):
@@ -79,21 +81,22 @@ def latent_space(texts: DataFrame, weight: np.ndarray, config: LeakConfig) -> np
                 counts, hashes = content_words(batch.column("text"))
                 if not len(hashes):
                     continue
-                bucket = _buckets(hashes, config.bucket_bits)
                 per_text = -(-counts // config.passage)
-                last = counts - (per_text - 1) * config.passage
-                sizes = np.full(int(per_text.sum()), config.passage)
-                sizes[np.cumsum(per_text)[counts > 0] - 1] = last[counts > 0]
-                image = np.add.reduceat(sent.value[bucket], np.cumsum(sizes) - sizes)
-                order = np.argsort(bucket.astype(np.uint16) if n <= 65536 else bucket, kind="stable")
-                starts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0]))
-                out[bucket[order][starts]] += np.add.reduceat(image[group_rows(sizes)[order]], starts)
+                places = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+                passage = np.repeat(np.cumsum(per_text) - per_text, counts) + places // config.passage
+                keys = np.unique(passage * n + _buckets(hashes, config.bucket_bits))
+                for first in range(0, int(per_text.sum()), 512):
+                    low, high = np.searchsorted(keys, [first * n, (first + 512) * n])
+                    rows = np.zeros((512, n), np.float32)
+                    rows.ravel()[keys[low:high] - first * n] = 1
+                    out += rows.T @ (rows @ sent.value)
             yield tables.partial((weight[:, None] * out).ravel())
 
         table = tables.total(_few_tasks(texts).mapInArrow(run, tables.SHAPE), n * config.rank, "<f4")
         left, size, _ = np.linalg.svd(table.reshape(n, config.rank).astype(np.float64), full_matrices=False)
-        basis = (left * (size > size.max(initial=0) * 1e-9)).astype(np.float32)
-    return basis
+        good = size > size.max(initial=0) * 1e-6
+        basis = (left * good).astype(np.float32)
+    return (basis / np.where(good, size / max(size.max(initial=0), 1e-30), 1)).astype(np.float32)
 
 
 def longest_common(masks: dict[int, int], length: int, words: list[int]) -> int:
@@ -118,7 +121,7 @@ class Probes:
 
     def __init__(self, items: list[tuple[int, str | None]], weight: np.ndarray, basis: np.ndarray, config: LeakConfig):
         self.config, self.bits = config, config.bucket_bits
-        self.table = weight[:, None] * basis
+        self.table = np.concatenate([weight[:, None] * basis, np.zeros((1, basis.shape[1]), np.float32)])
         counts, hashes = content_words(pa.array([t for _, t in items], pa.string()))
         self.parts, ends = [], np.cumsum(counts)
         for (item, _), begin, end in zip(items, ends - counts, ends):
@@ -146,37 +149,54 @@ class Probes:
         return vectors / np.maximum(np.sqrt(np.einsum("ij,ij->i", vectors, vectors)), 1e-12)[:, None]
 
     def _sum(self, words: list[int]) -> np.ndarray:
-        return self.table[_buckets(np.array(words, np.uint64), self.bits)].sum(axis=0)
+        return self.table[_buckets(np.unique(np.array(words, np.uint64)), self.bits)].sum(axis=0)
 
-    def search(self, hashes: np.ndarray) -> dict[int, tuple[float, float, int]]:
-        """For the words of one text: the items in it, with share, answer share and first word of the best window."""
-        found: dict[int, tuple[float, float, int]] = {}
-        if len(hashes) < self.config.least_words * self.config.share:
+    def search(self, counts: np.ndarray, hashes: np.ndarray) -> list[dict[int, tuple[float, float, int]]]:
+        """For each text of ``counts`` words: the items in it, with share, answer share and first word of the best window.
+
+        A window is three steps of half the probe length, so one of them holds the whole passage wherever it begins.
+        """
+        found: list[dict[int, tuple[float, float, int]]] = [{} for _ in counts]
+        if not len(hashes):
             return found
-        sums = np.zeros((len(hashes) + 1, self.config.rank), np.float32)
-        np.cumsum(self.table[_buckets(hashes, self.bits)], axis=0, out=sums[1:])
+        buckets = _buckets(hashes, self.bits)
+        buckets[~newly(counts, hashes, self.config.gap)] = len(self.table) - 1  # a row of zeros
+        buckets = np.append(buckets, len(self.table) - 1)
+        ends = np.cumsum(counts)
         for length, some in self.by_length.items():
-            step, window = max(length // 2, 1), length + max(length // 2, 1)
-            starts = np.arange(0, max(len(hashes) - window, 0) + step, step)
-            stops = np.minimum(starts + window, len(hashes))
+            step = max(length // 2, 1)
+            units = -(-counts // step)
+            text = np.repeat(np.arange(len(counts)), units)
+            begins = (ends - counts)[text]
+            starts = begins + step * (np.arange(len(text)) - np.repeat(np.cumsum(units) - units, units))
+            places = starts[:, None] + np.arange(step)
+            places[places >= ends[text][:, None]] = len(hashes)  # past the end of the text
+            vectors = np.concatenate([self.table[buckets[some_places]].sum(axis=1) for some_places in np.array_split(places, len(places) // 2000 + 1)])
+            single = vectors.copy()
+            for shift in (1, 2):
+                vectors[:-shift] += single[shift:] * (text[shift:] == text[:-shift])[:, None]
+            size = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+            size[size <= 1e-12 * size.max()] = np.inf  # nothing in it counts
+            stops = np.minimum(starts + 3 * step, ends[text])
             for at in range(0, len(starts), 20_000):
-                vectors = sums[stops[at : at + 20_000]] - sums[starts[at : at + 20_000]]
-                size = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-                near = vectors @ self.vectors[length].T >= self.config.cosine * size[:, None]
-                for w, p in np.argwhere(near):
-                    item, words = self.parts[some[p]]
-                    masks, answers = self.masks[some[p]]
-                    begin = int(starts[at + w])
-                    seen = hashes[begin : int(stops[at + w])].tolist()
-                    share = longest_common(masks, len(words), seen) / len(words)
-                    if share < self.config.share:
-                        continue
-                    answer = self.answer(words)
-                    known = longest_common(answers, len(answer), seen) / len(answer)
-                    if known >= self.config.answer_share:
-                        found[item] = max(found.get(item, (0.0, 0.0, 0)), (share, known, begin))
+                near = vectors[at : at + 20_000] @ self.vectors[length].T >= self.config.cosine * size[at : at + 20_000, None]
+                for w, p in np.argwhere(near).tolist():
+                    self._look(found[text[at + w]], some[p], hashes, starts[at + w], stops[at + w], begins[at + w])
         return found
 
+    def _look(self, found: dict, number: int, hashes: np.ndarray, start: int, stop: int, begin: int):
+        """Compare the words of a window with those of a probe."""
+        (item, words), (every, last) = self.parts[number], self.masks[number]
+        seen = hashes[start:stop].tolist()
+        if sum(map(every.__contains__, seen)) < self.config.share * len(words):
+            return  # no common sequence can be long enough
+        share = longest_common(every, len(words), seen) / len(words)
+        if share >= self.config.share:
+            answer = len(self.answer(words))
+            known = longest_common(last, answer, seen) / answer
+            if known >= self.config.answer_share:
+                found[item] = max(found.get(item, (0.0, 0.0, 0)), (share, known, int(start - begin)))
+
 
 def _items(benchmark: DataFrame, config: LeakConfig):
     """The benchmark in blocks of bounded size, so that any benchmark fits the tasks."""
@@ -220,10 +240,9 @@ def screened(documents: DataFrame, benchmark: DataFrame, config: LeakConfig = Le
                 part = pa.RecordBatch.from_arrays([whole, texts, batch.column("leaks")], ["row", "text", "leaks"])
                 for piece in blocks([part], "text", _BYTES):
                     counts, hashes = content_words(piece.column("text"))
-                    ends, found = np.cumsum(counts), []
-                    for begin, end, before in zip(ends - counts, ends, piece.column("leaks").to_pylist()):
-                        hits = sorted(probes.value.search(hashes[begin:end]).items())
-                        found.append(before + [dict(item_id=i, share=s, answer_share=a, at=w) for i, (s, a, w) in hits])
+                    found = []
+                    for hits, before in zip(probes.value.search(counts, hashes), piece.column("leaks").to_pylist()):
+                        found.append(before + [dict(item_id=i, share=s, answer_share=a, at=w) for i, (s, a, w) in sorted(hits.items())])
                     yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(found, kind)], ["row", "leaks"])
 
         out = out.mapInArrow(run, f"row {row}, leaks {shape}")

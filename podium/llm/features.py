@@ -25,6 +25,16 @@ def content_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(group_rows(counts)[word], minlength=len(texts)).astype(np.int64), hashes[word]
 
 
+def newly(counts: np.ndarray, hashes: np.ndarray, gap: int) -> np.ndarray:
+    """For each word, whether it does not stand among the ``gap`` words before it in its text."""
+    rows = group_rows(counts)
+    order = np.lexsort((hashes, rows))
+    again = (hashes[order][1:] == hashes[order][:-1]) & (rows[order][1:] == rows[order][:-1]) & (np.diff(order) <= gap)
+    out = np.ones(len(hashes), bool)
+    out[order[1:][again]] = False
+    return out
+
+
 def distinct_buckets(counts: np.ndarray, buckets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """For each text the number of its distinct buckets (0 to n - 1), and all of these, sorted by text."""
     pairs = np.unique(group_rows(counts) * np.int64(n) + buckets)
