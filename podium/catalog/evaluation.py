@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from podium.catalog.registry import query, rounded, table
 from podium.catalog.relations import (
     HITS,
+    EVERY_CUSTOMER_SQL,
     INPUTS_SQL,
     SPARSE_INPUTS_SQL,
     TRIPLETS_SQL,
     customer_qrels,
     customer_run,
     customer_triplets,
+    customer_vectors,
     doc_vectors,
+    every_customer_vector,
     metrics_sql,
     qrels_sql,
     query_vectors,
@@ -23,7 +26,7 @@ from podium.catalog.relations import (
     supplier_triplets,
     unit_sql,
 )
-from podium.config import CUTOFFS, EvalConfig
+from podium.config import CUTOFFS, EvalConfig, FieldSpec, TripletConfig
 from podium.functions.text import round_relevance
 from podium.operators import judge
 from podium.operators.knn import knn
@@ -32,6 +35,7 @@ from podium.operators.splits import split_two_way
 from podium.operators.truth import build_qrels, max_grade
 from podium.plans import report
 from podium.plans.evaluation import evaluate_splits as evaluate_all_splits
+from podium.plans.evaluation import evaluate_vectors
 from podium.session import materialize
 
 KS = [k for k in CUTOFFS if k <= HITS]
@@ -75,6 +79,18 @@ def knn_floor_topk(spark, sf_dir):
     return _all_by_all(spark, sf_dir, merge_rows=0, floor_share=0.2)
 
 
+UNROUNDED_SQL = INNER_SQL.replace("round(list_dot_product(q.v, d.v), 6) + 0.0", "list_dot_product(q.v, d.v)").replace(
+    "doc_id, score, rank", "doc_id, rank"
+)
+
+
+@query(UNROUNDED_SQL)
+def knn_unrounded_floor(spark, sf_dir):
+    """Scores in full, with lower bounds: nothing may be lost to rounding."""
+    found = knn(query_vectors(spark, sf_dir), doc_vectors(spark, sf_dir), 10, "ip", merge_rows=0, floor_share=0.5)
+    return found.select("query_id", "doc_id", "rank")
+
+
 def _with(inputs: str, select: str) -> str:
     return f"WITH {inputs} {select}"
 
@@ -241,6 +257,31 @@ def evaluate_all(spark, sf_dir):
     return _means(evaluate(*stored_run_and_qrels(spark, sf_dir), KS))
 
 
+DEEP = 1000
+
+
+@query(_with(f"{TRIPLETS_SQL}, {qrels_sql()}, {run_sql(hits=DEEP)}, {metrics_sql(CUTOFFS)}", ALL_MEANS_SQL))
+def evaluate_full_depth(spark, sf_dir):
+    """A thousand hits per query, at every cutoff."""
+    hits = knn(customer_vectors(spark, sf_dir), doc_vectors(spark, sf_dir), DEEP, score_digits=6)
+    return _means(evaluate(materialize(hits, "run"), materialize(customer_qrels(spark, sf_dir), "judgments"), list(CUTOFFS)))
+
+
+VECTORS_CONFIG = EvalConfig(top_q=-1, sampling="all", top_k=HITS, score_digits=6)
+
+
+@query(
+    _with(f"{TRIPLETS_SQL}, {qrels_sql(k=HITS)}, {run_sql(queries=EVERY_CUSTOMER_SQL)}, {metrics_sql(KS)}", ALL_MEANS_SQL)
+)
+def evaluate_from_vectors(spark, sf_dir):
+    """Triplets and stored vectors of all customers and documents, to metrics."""
+    roles = TripletConfig(
+        left=(FieldSpec("query_id"),), right=(FieldSpec("doc_id"),), weight_key="l_quantity", doc_id_key="doc_id", query_id_key="query_id"
+    )
+    triplets, vectors = customer_triplets(spark, sf_dir), every_customer_vector(spark, sf_dir)
+    return _means(evaluate_vectors(triplets, vectors, doc_vectors(spark, sf_dir), roles, VECTORS_CONFIG).metrics)
+
+
 @query(_with(SPARSE_METRICS_SQL, ALL_MEANS_SQL))
 def evaluate_sample(spark, sf_dir):
     """One judgment for each of a sample of queries: queries with hits alone are left out."""

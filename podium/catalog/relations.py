@@ -57,6 +57,16 @@ def customer_vectors(spark, sf_dir) -> DataFrame:
     return query_vectors(spark, sf_dir).join(customers, "query_id", "left_semi")
 
 
+def every_customer_vector(spark, sf_dir) -> DataFrame:
+    """A vector for each customer: that of the customer's number modulo the number of vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    number = vectors.agg(F.count(F.lit(1))).scalar()
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("query_id"), (F.col("c_custkey") % number).alias("_vec")
+    )
+    return customers.join(vectors, F.col("_vec") == F.col("vec_id")).select("query_id", "embedding")
+
+
 def customer_qrels(spark, sf_dir) -> DataFrame:
     return build_qrels(scale_weights(customer_triplets(spark, sf_dir), "l_quantity"))
 
@@ -121,18 +131,24 @@ SCORE_SQL = """list_dot_product(q.v, d.v) / greatest(
     sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v)), 1e-6)"""
 
 
-def run_sql(digits: int = 6) -> str:
-    return f"""
-q AS (
+KNOWN_CUSTOMERS_SQL = """
   SELECT cast(vec_id AS varchar) AS query_id, embedding::DOUBLE[] AS v
-  FROM embeddings WHERE vec_id IN (SELECT c_custkey FROM customer)
+  FROM embeddings WHERE vec_id IN (SELECT c_custkey FROM customer)"""
+EVERY_CUSTOMER_SQL = """
+  SELECT cast(c_custkey AS varchar) AS query_id, embedding::DOUBLE[] AS v
+  FROM customer JOIN embeddings ON vec_id = c_custkey % (SELECT count(*) FROM embeddings)"""
+
+
+def run_sql(digits: int = 6, hits: int = HITS, queries: str = KNOWN_CUSTOMERS_SQL) -> str:
+    return f"""
+q AS ({queries}
 ),
 d AS (SELECT cast(vec_id AS varchar) AS doc_id, embedding::DOUBLE[] AS v FROM embeddings),
 pairs AS (SELECT query_id, doc_id, round({SCORE_SQL}, {digits}) AS score FROM q, d),
 placed_pairs AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM pairs
 ),
-run AS (SELECT * FROM placed_pairs WHERE rank <= {HITS})"""
+run AS (SELECT * FROM placed_pairs WHERE rank <= {hits})"""
 
 
 INPUTS_SQL = f"{TRIPLETS_SQL}, {qrels_sql()}, {run_sql()}"

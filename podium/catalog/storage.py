@@ -25,7 +25,7 @@ from podium.operators.metrics import evaluate
 from podium.operators.splits import side_of, split_two_way
 from podium.plans import report
 from podium.plans.evaluation import metric_only as evaluate_stored
-from podium.session import new_folder
+from podium.session import materialize, new_folder
 from podium.sources import csv_tree, keyed_json, stages, tables
 
 PART_FIELDS = "p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
@@ -143,14 +143,14 @@ FROM lines JOIN part ON cast(p_partkey AS varchar) = doc_id"""
 def load_splits(spark, sf_dir):
     """Four triplet files and two corpora, written and read as a split dataset."""
     root = new_folder(spark, "splits")
-    triplets = split_two_way(supplier_triplets(spark, sf_dir).select("query_id", "doc_id", "l_quantity")).persist()
+    triplets = split_two_way(supplier_triplets(spark, sf_dir).select("query_id", "doc_id", "l_quantity"))
+    triplets = materialize(triplets, "split")
     corpus = _part_corpus(spark, sf_dir).select("doc_id", "p_name").withColumn("d_split", side_of("doc_id", 0.5, "1d"))
     for d in (0, 1):
         keyed_json.write_corpus_json(corpus.where(F.col("d_split") == d).drop("d_split"), f"{root}/corpus_{d + 1}.json")
         for q in (0, 1):
             part = triplets.where((F.col("q_split") == q) & (F.col("d_split") == d)).drop("q_split", "d_split")
             part.write.option("header", True).csv(f"{root}/query_{q}_product_id_{d}.csv")
-    triplets.unpersist()
     read, corpora = tables.load_all_splits(spark, root, "query_id string, doc_id string, l_quantity double", ["p_name"])
     return read.join(corpora, ["doc_id", "d_split"]).select("q_split", "d_split", "query_id", "doc_id", "l_quantity", "p_name")
 

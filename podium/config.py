@@ -7,7 +7,6 @@ from dataclasses import dataclass
 # Results and stored keys depend on them.
 CUTOFFS = (1, 2, 3, 4, 5, 6, 8, 10, 12, 20, 30, 40, 50, 60, 70, 80, 90, 100, 200, 500, 1000)
 KEY_SEPARATOR = "_{!@#~}_"
-MAX_TEST_QUERIES = 20_000
 DEFAULT_MAX_TOKENS = 77
 RBP_PERSISTENCE = (0.7, 0.8, 0.9)
 LEADERBOARD_METRICS = ("MAP@1000", "P@10", "Recall@10", "MRR@1000", "NDCG@10", "mERR")
@@ -34,6 +33,7 @@ class TripletConfig:
     """Column roles of a triplet table."""
 
     left: tuple[FieldSpec, ...] = (FieldSpec("text"),)
+    # Default roles and their weights.
     right: tuple[FieldSpec, ...] = (FieldSpec("image_local", "img", 0.9), FieldSpec("title", "txt", 0.1))
     weight_key: str | None = None
     doc_id_key: str = "product_id"
@@ -52,6 +52,7 @@ class EvalConfig:
     top_k: int = 1000
     sampling: str = "weighted"
     seed: int = 1
+    max_queries: int | None = None
     similarity: str = "cosine"
     score_digits: int | None = None
     ties: str = "reference"

@@ -38,7 +38,10 @@ def to_matrix(column: pa.Array, dim: int) -> np.ndarray:
     widths = pc.list_value_length(column)
     if column.null_count or pc.min(widths).as_py() != dim or pc.max(widths).as_py() != dim:
         raise ValueError(f"vectors must all have {dim} numbers")
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    matrix = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    if np.isnan(matrix).any():
+        raise ValueError("a vector holds NaN, which has no similarity to anything")
+    return matrix
 
 
 def cosine(queries: np.ndarray, docs: np.ndarray, eps: float) -> np.ndarray:
@@ -127,12 +130,19 @@ def _with_group(table: pa.Table, group: tuple, by: list[str], schema: pa.Schema)
 
 def _groups(table, by: list[str]):
     """Rows of an Arrow table or batch by the values of ``by``."""
-    if not by:
-        yield (), table
+    if not by or not table.num_rows:
+        if not by:
+            yield (), table
         return
-    keys = list(zip(*[table.column(name).to_pylist() for name in by]))
-    for group in sorted(set(keys), key=repr):
-        yield group, table.filter(pa.array([key == group for key in keys]))
+    codes = np.zeros(table.num_rows, np.int64)
+    for name in by:
+        column = table.column(name)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        coded = column.dictionary_encode(null_encoding="encode")
+        codes = codes * len(coded.dictionary) + coded.indices.to_numpy()
+    _, first, codes = np.unique(codes, return_index=True, return_inverse=True)
+    for number, row in enumerate(first.tolist()):
+        yield tuple(table.column(name)[row].as_py() for name in by), table.filter(pa.array(codes == number))
 
 
 def _search_broadcast(queries: DataFrame, docs: DataFrame, by: list[str], settings: dict, schema) -> DataFrame:
@@ -195,6 +205,11 @@ def _search_blocks(queries: DataFrame, docs: DataFrame, by: list[str], settings:
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
 
 
+def _length(vector: str):
+    squares = F.transform(vector, lambda x: x.cast("double") * x.cast("double"))
+    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, b: a + b))
+
+
 def knn(
     queries: DataFrame,
     docs: DataFrame,
@@ -215,7 +230,7 @@ def knn(
 
     Every query is compared with every document, or with those of its own ``by`` group. Equal
     scores rank by document id; ``score_digits`` rounds scores before they are ranked. Rows with a null
-    vector take no part; a query gets fewer rows when there are fewer documents. Document ids
+    vector take no part, NaN in a vector is an error; a query gets fewer rows when there are fewer documents. Document ids
     must be unique.
 
     Each task may pass on ``k`` rows per query. When that could exceed ``merge_rows`` in all, a
@@ -269,7 +284,16 @@ def knn(
         share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(floor_share * 1_000_000)
         first_docs = doc_side.where(share) if floor_docs is None else vectors_of(floor_docs)
         part = search(no_floor, first_docs, sizes["doc_bytes"] * floor_share)
-        slack = 2 * 10.0**-score_digits if score_digits is not None else 1e-9
+        # The same product may differ between two passes by the rounding of its sum: by this share of both lengths.
+        share_lost = 4 * (dim + 2) * float(np.finfo(np.float64).eps)
+        slack = F.lit(2 * 10.0**-score_digits if score_digits is not None else 0.0)
+        if similarity == "ip":
+            longest = first_docs.agg(F.max(_length("vector"))).first()[0] or 0.0
+            lengths = query_side.select(*by, "query_id", _length("vector").alias("_length"))
+            part = part.where(F.col("rank") == k).join(lengths, [*by, "query_id"])
+            slack = slack + F.col("_length") * longest * share_lost
+        else:
+            slack = slack + share_lost
         floors = part.where(F.col("rank") == k).select(*by, "query_id", (F.col("score") - slack).alias("floor"))
         return search(query_side.join(floors, [*by, "query_id"], "left"), doc_side, sizes["doc_bytes"])
     return search(no_floor, doc_side, sizes["doc_bytes"])

@@ -1,6 +1,7 @@
 """Rank metrics for all cutoffs in one pass over the judged hits.
 
-A judged hit list is shuffled by query once. Running windows give each hit its share of every
+Hits meet the judgments by (query, document) and the judged documents by document, and are then
+shuffled by query once for all windows and sums; Spark broadcasts a judgment side that it knows to be small. Running windows give each hit its share of every
 metric; shares are summed per (query, cutoff interval), at most 22 rows a query, and the
 cutoffs are cumulative sums over those intervals. The judgments enter through three joins that
 are all aggregated or keyed by (query, document) first, so a query with very many judgments
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 from podium.config import CUTOFFS, RBP_PERSISTENCE
 from podium.operators.judge import judge_run, judged_docs
 
-MAX_GRADE = 1000
 EVALUATED_METRICS = ("NDCG", "MAP", "Recall", "P")
 CUTOFF_METRICS = (*EVALUATED_METRICS, "MRR", "Hole", "Accuracy")
 
@@ -27,9 +27,8 @@ def rbp_name(p: float) -> str:
 
 
 def checked_grades(qrels: DataFrame) -> DataFrame:
-    """Grades above 1000 overflow the powers of two that ERR takes; they are an error."""
-    too_high = F.raise_error(F.lit(f"grade above {MAX_GRADE}")).cast("int")
-    return qrels.withColumn("rel", F.when(F.col("rel") > MAX_GRADE, too_high).otherwise(F.col("rel").cast("int")))
+    """Grades as integers."""
+    return qrels.withColumn("rel", F.col("rel").cast("int"))
 
 
 def query_stats(qrels: DataFrame, ks: list[int], by: tuple[str, ...] = ()) -> DataFrame:
@@ -114,7 +113,8 @@ def _running(graded: DataFrame, stats: DataFrame, ties: str, keys: list[str]) ->
     hits = (
         graded.join(stats, keys)
         .withColumn("relevant", relevant)
-        .withColumn("stop", (F.pow(F.lit(2.0), "rel") - 1) / F.pow(F.lit(2.0), "max_rel"))
+        # (2^rel - 1) / 2^max, in a form that no grade overflows
+        .withColumn("stop", F.pow(F.lit(2.0), F.col("rel") - F.col("max_rel")) - F.pow(F.lit(2.0), -F.col("max_rel")))
         .withColumn("place", F.row_number().over(read_order))
         .withColumn("reach", F.coalesce(F.product(1 - F.col("stop")).over(before), F.lit(1.0)))
     )

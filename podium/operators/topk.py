@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from podium.session import materialize
+
 GROUP_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
@@ -20,11 +22,14 @@ def top_per_group(
     """The first ``k`` rows of each group by ``order``, numbered from 1.
 
     Spark cuts every map task's share of a group to ``k`` rows before the shuffle
-    (``WindowGroupLimit``) while ``k`` is within its threshold. ``spread_by`` names a column
+    (``WindowGroupLimit``); for a ``k`` above the session's threshold of it, the threshold is raised to ``k``. ``spread_by`` names a column
     whose hash first splits each group into ``spread`` parts, for groups that may hold a large
     share of all rows: no task then sorts more than one part of a group, and the last step
     merges ``spread * k`` rows at most. ``order`` must be total for a repeatable result.
     """
+    conf = df.sparkSession.conf
+    if k > int(conf.get(GROUP_LIMIT_SETTING)):
+        conf.set(GROUP_LIMIT_SETTING, str(k))
     if spread_by is not None:
         part = F.pmod(F.xxhash64(spread_by), F.lit(spread)).cast("int")
         by_part = Window.partitionBy(*keys, "_part").orderBy(*order)
@@ -43,52 +48,41 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column], spread_
     return top_per_group(df, keys, order, 1, rank="_first", spread_by=spread_by).drop("_first")
 
 
+def numbered(df: DataFrame, order: list[Column], position: str = "position") -> DataFrame:
+    """1-based position of every row in the order of the whole table, without one task for all.
+
+    Rows are dealt out in ranges of the whole order, sorted and numbered within each range, and moved up
+    by the number of rows in earlier ranges (one row per range). The numbered ranges are stored, as
+    ranges of a second run could be others. ``order`` must be total for a repeatable result.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the number of a row in its partition fills the lower 33 bits
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = materialize(ranged.withColumn("_range", F.spark_partition_id()).withColumn("_local", local), "ranges")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    placed = ranged.join(before, "_range").withColumn(position, F.col("_before") + F.col("_local") + 1)
+    return placed.drop("_range", "_local", "_before")
+
+
 def position_in_group(
-    df: DataFrame,
-    key: str,
-    order_by: list[str],
-    buckets: int = 64,
-    position: str = "position",
-    count: str | None = None,
+    df: DataFrame, key: str | list[str], order_by: list[str | Column], position: str = "position", count: str | None = None
 ) -> DataFrame:
     """1-based position of every row within its group, also for groups of any size.
 
-    The first order column (numeric or timestamp) is cut at approximate quantiles into
-    ``buckets`` ranges. Rows are numbered within (group, range) and moved up by the number of
-    rows in the group's earlier ranges, so a hot group is sorted by many tasks. The cut points
-    only steer the balance; positions are exact whatever they are; they are computed when this is called. Rows without a key are in no
-    group and left out.
+    Rows are numbered in the order of group and ``order_by`` over the whole table, see ``numbered``; a
+    group's positions begin at its first row, so a hot group is sorted by many tasks, whatever its
+    values. Rows without a key are in no group and left out. The ranges are stored when this is called.
     """
-    leading = order_by[0]
-    as_number = F.col(leading)
-    if df.schema[leading].dataType.typeName() in ("timestamp_ntz", "date"):
-        as_number = as_number.cast("timestamp")
-    as_number = as_number.cast("double")
-    shares = [i / buckets for i in range(1, buckets)]
-    df = df.where(F.col(key).isNotNull())
-    cuts = df.select(F.percentile_approx(as_number, shares, 1000)).first()[0] or []
-    in_range = F.lit(0)
-    for number, cut in enumerate(sorted(set(cuts)), start=1):
-        in_range = F.when(as_number > cut, number).otherwise(in_range)
-    ranged = df.withColumn("_range", in_range)
-    by_key = Window.partitionBy(key)
-    earlier = by_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        ranged.groupBy(key, "_range")
-        .agg(F.count("*").alias("_size"))
-        .select(
-            key,
-            "_range",
-            F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
-            F.sum("_size").over(by_key).alias("_total"),
-        )
-    )
-    local = F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order_by))
-    numbered = (
-        ranged.withColumn("_local", local)
-        .join(sizes, [key, "_range"])
-        .withColumn(position, (F.col("_local") + F.col("_before")).cast("long"))
-    )
+    keys = [key] if isinstance(key, str) else list(key)
+    order = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    known = df
+    for name in keys:
+        known = known.where(F.col(name).isNotNull())
+    placed = numbered(known, [*[F.col(name) for name in keys], *order], "_place")
+    groups = placed.groupBy(*keys).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_total"))
+    placed = placed.join(groups, keys).withColumn(position, F.col("_place") - F.col("_first") + 1)
     if count is not None:
-        numbered = numbered.withColumn(count, F.col("_total"))
-    return numbered.drop("_range", "_local", "_before", "_total")
+        placed = placed.withColumn(count, F.col("_total"))
+    return placed.drop("_place", "_first", "_total")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,7 @@ def scale_weights(
 
     Without a weight column, or when all its values are equal, every grade is 1. A weight column
     with some values missing is an error, as is a named column that does not exist. ``by``
-    scales each group on its own (one row of extremes per group).
+    scales each group on its own (one row of extremes per group); rows whose group is null are a group.
     """
     if weight_key is None:
         return df.withColumn(out, F.lit(1))
@@ -41,8 +44,9 @@ def scale_weights(
         raise ValueError(f"weight column {weight_key!r} is not among {df.columns}")
     value = F.nanvl(F.col(weight_key).cast("double"), F.lit(None).cast("double"))
     if by:
-        extremes = df.groupBy(*by).agg(*_weight_stats(value))
-        ranged = df.join(extremes, list(by))
+        extremes = df.groupBy(*by).agg(*_weight_stats(value)).withColumnsRenamed({c: f"_by_{c}" for c in by})
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+        ranged = df.join(extremes, same).drop(*[f"_by_{c}" for c in by])
         low, high, rows, known = (F.col(c) for c in ("_lo", "_hi", "_rows", "_known"))
     else:
         extremes = df.agg(F.struct(*_weight_stats(value)).alias("stats")).scalar()

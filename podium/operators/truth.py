@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 from podium.functions.text import as_id, round_relevance
 from podium.operators.topk import top_per_group
 
+#: Query ids of this number are broadcast.
+BROADCAST_QUERIES = 100_000
+
 
 def docs_for_queries(triplets: DataFrame, queries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """All triplet rows of the given queries."""
-    return triplets.join(queries.select(*by, "query_id"), [*by, "query_id"], "left_semi")
+    """All triplet rows of the given queries.
+
+    The queries are counted when this is called, and broadcast up to ``BROADCAST_QUERIES``: triplets of
+    a frequent query are then not brought together.
+    """
+    chosen = queries.select(*by, "query_id")
+    if chosen.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        chosen = F.broadcast(chosen)
+    return triplets.join(chosen, [*by, "query_id"], "left_semi")
 
 
 def top_judgments(triplets: DataFrame, k: int = 1000, weight: str = "weight", by: tuple[str, ...] = ()) -> DataFrame:

@@ -48,12 +48,12 @@ def merge_metrics(metrics: DataFrame, summaries: DataFrame) -> DataFrame:
 
 def leaderboard(merged: DataFrame, wanted: tuple[str, ...] = LEADERBOARD_METRICS) -> DataFrame:
     """Experiments by metrics. A wanted metric that an experiment lacks is an error."""
-    board = select_metrics(merged, wanted).groupBy("experiment").pivot("name", list(wanted)).agg(F.first("value"))
-    every = merged.select("experiment").distinct().join(board, "experiment", "left")
+    picked = [F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in wanted]
+    every = merged.groupBy("experiment").agg(*picked)
 
     def required(name):
         message = F.concat(F.lit(f"no {name} for experiment "), F.col("experiment"))
-        return F.coalesce(F.col(name), F.raise_error(message).cast("double")).alias(name)
+        return F.coalesce(F.col(f"`{name}`"), F.raise_error(message).cast("double")).alias(name)
 
     return every.select("experiment", *[required(name) for name in wanted])
 

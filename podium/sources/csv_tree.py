@@ -20,12 +20,25 @@ def count_csv_files(spark: SparkSession, root: str) -> int:
 
 
 def read_headers(spark: SparkSession, root: str) -> DataFrame:
-    """First line of every CSV that has one."""
+    """First line of every CSV that has one and can be read to its end.
+
+    A file whose lines, with one or two bytes for each line end, are not as many bytes as it has
+    was not read to its end and is left out.
+    """
     lines = spark.read.options(ignoreCorruptFiles=True, **TREE).text(root)
-    at_start = lines.where("_metadata.file_block_start = 0").select(
-        F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("_line"), "value"
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_size").alias("_size"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("_at"),
+        "value",
+    )
+    per_file = lines.groupBy("path").agg(
+        F.min_by("value", "_at").alias("header"),
+        F.sum(F.octet_length("value").cast("long")).alias("_bytes"),
+        F.count(F.lit(1)).alias("_lines"),
+        F.max("_size").alias("_size"),
     )
-    return at_start.groupBy("path").agg(F.min_by("value", "_line").alias("header"))
+    return per_file.where(F.col("_bytes") + 2 * F.col("_lines") + 3 >= F.col("_size")).select("path", "header")
 
 
 def rewrite_csv_tree(
@@ -35,7 +48,7 @@ def rewrite_csv_tree(
 
     Files that have the column are written, all values quoted, to
     ``new_root/source_file=<relative path>``; the originals are left alone. Files with the same
-    header are read in one job; a file that cannot be read is skipped. Returns one row
+    header are read in one job; a file that cannot be read to its end is left out whole, and not counted as updated. Returns one row
     ``(total_files, updated_files)``.
     """
     directory = posixpath.normpath(directory)
@@ -45,7 +58,7 @@ def rewrite_csv_tree(
     base = root.rstrip("/") + "/"
     updated = 0
     for layout in layouts:
-        rows = read_csv_text(spark, layout.paths, multi_line, ignoreCorruptFiles=True)
+        rows = read_csv_text(spark, layout.paths, multi_line)  # a file that breaks now is an error
         if column not in rows.columns:
             continue
         relative = F.substring_index(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), base, -1)
@@ -62,7 +75,7 @@ def rewrite_corpus_paths(
     directory: str,
     fields: list[str] | str,
     column: str = "image_local",
-    splittable: bool = False,
+    splittable: bool = True,
 ):
     """The same for a keyed corpus, written as keyed JSON to a new place."""
     corpus = read_keyed_corpus(spark, path, fields, splittable)

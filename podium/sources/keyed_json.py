@@ -15,11 +15,11 @@ from podium.session import ship_package
 ENTRY_BREAK = '}, "'
 
 
-def read_keyed_json(spark: SparkSession, path: str, value_type: str, splittable: bool = False) -> DataFrame:
+def read_keyed_json(spark: SparkSession, path: str, value_type: str, splittable: bool = True) -> DataFrame:
     """``(key, value)`` of every entry of the object; of a repeated key the last counts.
 
-    A file is one line, so by default one task parses it. ``splittable`` cuts the text at the
-    usual break between two entries and parses the pieces in parallel. The pieces are
+    A file is one line. Unless ``splittable`` is false, the text is cut at the
+    usual break between two entries and the pieces are parsed in parallel. The pieces are
     checked first, when this is called; if any is not exactly one entry (a text value that
     contains the break, another spacing, nested objects), the file is parsed as a whole.
     """
@@ -70,7 +70,7 @@ def _pieces(spark: SparkSession, path: str, value_type: str) -> DataFrame:
     )
 
 
-def read_keyed_corpus(spark: SparkSession, path: str, fields: list[str] | str, splittable: bool = False) -> DataFrame:
+def read_keyed_corpus(spark: SparkSession, path: str, fields: list[str] | str, splittable: bool = True) -> DataFrame:
     """``doc_id`` and typed field columns from ``{doc_id: {field: value}}``.
 
     ``fields`` is a list of text fields or a DDL list such as ``title string, price double``.
@@ -81,7 +81,7 @@ def read_keyed_corpus(spark: SparkSession, path: str, fields: list[str] | str, s
     return read_keyed_json(spark, path, value_type, splittable).select(F.col("key").alias("doc_id"), "value.*")
 
 
-def read_qrels_json(spark: SparkSession, path: str, splittable: bool = False) -> DataFrame:
+def read_qrels_json(spark: SparkSession, path: str, splittable: bool = True) -> DataFrame:
     """Judgments from ``{query_id: {doc_id: grade}}``."""
     entries = read_keyed_json(spark, path, "map<string,int>", splittable)
     rows = entries.select(F.col("key").alias("query_id"), F.posexplode("value").alias("place", "doc_id", "rel"))
@@ -89,7 +89,7 @@ def read_qrels_json(spark: SparkSession, path: str, splittable: bool = False) ->
     return last.select("query_id", "doc_id", "rel")
 
 
-def read_run_json(spark: SparkSession, path: str, splittable: bool = False) -> DataFrame:
+def read_run_json(spark: SparkSession, path: str, splittable: bool = True) -> DataFrame:
     """A ranking from ``{query_id: {doc_id: score}}``; equal scores keep their stored order."""
     entries = read_keyed_json(spark, path, "map<string,double>", splittable)
     rows = entries.select(F.col("key").alias("query_id"), F.posexplode("value").alias("place", "doc_id", "score"))

@@ -114,11 +114,19 @@ def attach_images(
     inside: Column = F.col(f"{embedded}.bytes") if embedded else F.lit(None).cast("binary")
     if files is None:
         return df.withColumn(out, inside)
-    without_scheme = F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?(?=/)", "")
-    content = files.select(without_scheme.alias("_path"), F.col("content").alias("_content"))
-    rows = df.withColumn("_key", F.regexp_replace(path, "^[a-z0-9]+:(//[^/]*)?(?=/)", ""))
-    joined = rows.join(content, rows["_key"] == content["_path"], "left")
-    return joined.withColumn(out, F.coalesce(inside, "_content")).drop("_key", "_path", "_content")
+    # Local files have no host: file:/a, file:///a and /a are the same. Other URIs keep scheme and bucket.
+    canonical = lambda c: F.regexp_replace(c, "^file:(//(localhost)?)?(?=/)", "")
+    bare = lambda c: F.regexp_replace(c, "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?(?=/)", "")
+    names = files.select(canonical("path").alias("_target")).distinct()
+    # A path without scheme may also mean a file of another store; the exact name goes first.
+    known = names.select(F.col("_target").alias("_key"), F.lit(0).alias("_rank"), "_target").union(
+        names.select(bare("_target"), F.lit(1), "_target")
+    )
+    known = known.groupBy("_key").agg(F.min(F.struct("_rank", "_target"))["_target"].alias("_target"))
+    rows = df.withColumn("_key", canonical(F.col(path))).join(known, "_key", "left")
+    content = files.groupBy(canonical("path").alias("_target")).agg(F.first("content").alias("_content"))
+    joined = rows.join(content, "_target", "left")
+    return joined.withColumn(out, F.coalesce(inside, "_content")).drop("_key", "_target", "_content")
 
 
 def load_split(spark: SparkSession, root: str, q: int, d: int, schema=None, corpus_fields=None, with_judgments: bool = False):

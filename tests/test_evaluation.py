@@ -45,6 +45,22 @@ def test_evaluate_fields(spark, triplets, corpus, tmp_path):
     assert named(metric_only(first.run, first.qrels, CONFIG)) == values
 
 
+def test_other_judgments_are_another_run(spark, triplets, corpus, tmp_path):
+    """The stored run belongs to the judgments, and to the order that chooses a query's fields."""
+    encoder, stages = {"txt": HashedNgrams(256)}, Stages(str(tmp_path), "v1")
+    key = "red running shoe_{!@#~}_", "green hat_{!@#~}_"
+    for name, doc in zip(key, ("1", "3")):
+        qrels = spark.createDataFrame([(name, doc, 1)], "query_id string, doc_id string, rel int")
+        found = evaluate_fields(triplets, corpus, ROLES, encoder, ["product_id"], CONFIG, qrels=qrels, stages=stages)
+        assert {r.query_id for r in found.run.select("query_id").distinct().collect()} == {name}
+        assert named(found.metrics)["MRR@1"] == 1
+    twice = triplets.union(triplets.where("product_id = '1'").selectExpr("query", "'9'", "score_linear"))
+    evaluate_fields(twice, corpus, ROLES, encoder, ["product_id"], CONFIG, stages=stages)
+    before = len(list((tmp_path / "run").iterdir()))
+    evaluate_fields(twice, corpus, ROLES, encoder, ["score_linear", "product_id"], CONFIG, stages=stages)
+    assert len(list((tmp_path / "run").iterdir())) == before + 1
+
+
 def test_evaluate_vectors(spark, triplets):
     queries = {q: i for i, q in enumerate(sorted({s[0] for s in SEARCHES}))}
     vector = lambda i: [1.0 if j == i else 0.1 for j in range(3)]

@@ -150,8 +150,11 @@ def test_no_queries(spark):
     assert values == {}
 
 
-def test_grade_limit(spark, fails):
-    assert "grade above" in fails(evaluate(*tables(spark, RUN, [("q1", "a", 1001)]), [1]))
+def test_grades_of_any_size(spark):
+    """2^rel over 2^max, which floating point cannot hold one by one."""
+    run, qrels = tables(spark, [("q", "a", 2.0, 1), ("q", "b", 1.0, 2)], [("q", "a", 5000), ("q", "b", 4999)])
+    found = {r.name: r.value for r in evaluate(run, qrels, [1]).collect()}
+    assert abs(found["mERR"] - (1 + 0 * 0.5)) < 1e-12
 
 
 def test_repartitioning_changes_nothing(spark):

@@ -129,7 +129,7 @@ def test_samples(spark, fails):
     assert "fewer than 100" in fails(sample_queries(df, 100, "uniform"))
     assert "more than 30 test queries" in fails(sample_queries(df, -1, max_queries=30))
     with pytest.raises(ValueError):
-        sample_queries(df, 20_001)
+        sample_queries(df, 20_001, max_queries=20_000)
 
 
 def test_sample_order_and_weights(spark):
@@ -186,3 +186,28 @@ def test_configuration_is_checked():
     with pytest.raises(ValueError):
         TripletConfig(left=())
     assert EvalConfig(top_k=10).usable_cutoffs() == [1, 2, 3, 4, 5, 6, 8, 10]
+
+
+def test_many_queries_are_ranked_without_a_limit(spark):
+    df = spark.range(50_000).selectExpr("cast(id as string) AS query_id", "cast(id % 100 + 1 AS int) AS weight")
+    rows = sample_queries(df, -1).collect()
+    want = sorted(((i % 100 + 1, str(i)) for i in range(50_000)), key=lambda r: (-r[0], r[1]))
+    assert [r.query_id for r in sorted(rows, key=lambda r: r.query_rank)] == [q for _, q in want]
+    assert sorted(r.query_rank for r in rows) == list(range(1, 50_001))
+
+
+def test_a_hot_group_is_sorted_by_several_tasks(spark):
+    from podium.operators.topk import numbered, position_in_group
+
+    df = spark.range(20_000).selectExpr("'k' AS key", "1 AS at", "id").repartition(4)
+    assert numbered(df.select("key", "at", "id"), ["key", "at", "id"]).count() == 20_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as the rows are few here
+    ranges = df.repartitionByRange("key", "at", "id").selectExpr("spark_partition_id() AS p").distinct().count()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ranges > 1
+    assert all(r.position == r.id + 1 for r in position_in_group(df, "key", ["at", "id"]).collect())
+
+
+def test_rows_of_a_null_group_are_scaled(spark):
+    df = spark.createDataFrame([(None, 2.0), (None, 4.0), ("g", 1.0)], "g string, w double")
+    assert sorted(r.weight for r in scale_weights(df, "w", by=("g",)).collect()) == [1, 1, 100]

@@ -150,6 +150,18 @@ def test_images(spark, tmp_path):
     assert got == {"a": bytearray(b"\x01\x02"), "b": bytearray(b"\x09"), "c": None}
 
 
+def test_images_of_two_stores(spark):
+    """Equal paths in two buckets are two files; a record stays one row."""
+    files = spark.createDataFrame(
+        [("s3a://one/a/1.jpg", bytearray(b"1")), ("s3a://two/a/1.jpg", bytearray(b"2")), ("file:/b/2.jpg", bytearray(b"3")), ("file:/b/2.jpg", bytearray(b"3"))],
+        "path string, content binary",
+    )
+    rows = [("a", "s3a://two/a/1.jpg"), ("b", "/a/1.jpg"), ("c", "file:///b/2.jpg"), ("d", "/b/2.jpg"), ("e", "s3a://three/a/1.jpg"), ("f", None)]
+    df = spark.createDataFrame(rows, "id string, image_local string")
+    got = [(r.id, r.image_bytes) for r in tables.attach_images(df, files).collect()]
+    assert sorted(got) == [("a", b"2"), ("b", b"1"), ("c", b"3"), ("d", b"3"), ("e", None), ("f", None)]
+
+
 def test_cached_stage(spark, tmp_path):
     source, root = tmp_path / "src", str(tmp_path / "stages")
     write(source / "a.txt", "one")
