@@ -33,7 +33,7 @@ from podium.session import new_folder, ship_package
 MAGIC = b"PDAC0001"
 RANK_BITS = 512
 #: Ids in a file before it is closed; a task holds one file at a time.
-FILE_TOKENS = 4_000_000
+FILE_TOKENS = 2_000_000
 #: Distinct pieces of text whose ids a Python worker keeps.
 KEPT_PIECES = 1_000_000
 

@@ -26,7 +26,7 @@ SIZES = (2, 3, 4)
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    sample: int = 4000  # labelled rows to learn from, at most
+    sample: int = 3000  # labelled rows to learn from, at most
     calibrate: int = 4  # every fourth of them sets temperature and threshold instead
     bucket_bits: int = 14
     width: int = 16
@@ -104,8 +104,8 @@ def _counted(labelled: DataFrame, bucket_bits: int) -> DataFrame:
             keys, times = [], []
             for a, b in zip(offsets[:-1], offsets[1:]):
                 found = sum(np.bincount(x, minlength=n) for x in subwords(data[a:b], bucket_bits))
-                keys.append(np.flatnonzero(found).astype("<i4"))
-                times.append(found[keys[-1]].astype("<f4").tobytes())
+                keys.append(np.flatnonzero(found).astype("<u4" if n > 65536 else "<u2"))
+                times.append(np.minimum(found[keys[-1]], 65535).astype("<u2").tobytes())
             columns = [pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(times, pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["draw", "doc_id", "lang", "keys", "times"])
 
@@ -132,7 +132,8 @@ def train(labelled: DataFrame, config: LanguageConfig = LanguageConfig()) -> Lan
     drawn = labelled.select(F.xxhash64(F.col("doc_id"), F.lit(config.seed)).alias("draw"), "doc_id", "lang", "text")
     drawn = _counted(drawn.where(F.col("draw") <= most), config.bucket_bits)
     drawn = drawn.orderBy("draw", "doc_id", "keys").limit(config.sample).select("lang", "keys", "times")
-    rows = [(r["lang"], np.frombuffer(r["keys"], "<i4"), np.frombuffer(r["times"], "<f4")) for r in drawn.collect()]
+    kind = "<u4" if config.bucket_bits > 16 else "<u2"
+    rows = [(r["lang"], np.frombuffer(r["keys"], kind), np.frombuffer(r["times"], "<u2")) for r in drawn.collect()]
     rows = [r for r in rows if len(r[1])]
     languages = sorted({r[0] for r in rows})
     if not languages:

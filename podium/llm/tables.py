@@ -25,13 +25,13 @@ def partial(numbers: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def total(partials: DataFrame, size: int, kind: str) -> np.ndarray:
+def total(partials: DataFrame, size: int, kind: str, combine=np.add) -> np.ndarray:
     """The table that the partial ones (slice, part, numbers) add up to; its fixed size is what reaches the driver."""
 
     def add(key, rows):
         summed = np.zeros(_SLICE, kind)
         for c in rows.column("numbers").to_pylist():
-            summed += np.frombuffer(c, kind)
+            combine(summed, np.frombuffer(c, kind), out=summed)
         first = {name: [rows.column(name)[0].as_py()] for name in ("slice", "part")}
         return pa.table(first | {"numbers": pa.array([summed.tobytes()], pa.binary())})
 
@@ -49,12 +49,12 @@ def marked(ids: DataFrame, bits: int) -> np.ndarray:
     """
 
     def mark(batches):
-        found = np.zeros(1 << bits, np.int64)
+        found = np.zeros(1 << bits, np.uint8)
         for batch in batches:
             found[place(batch.column(0), bits)] = 1
         yield partial(found)
 
-    return total(ids.mapInArrow(mark, SHAPE), 1 << bits, "<i8") > 0
+    return total(ids.mapInArrow(mark, SHAPE), 1 << bits, "u1", np.maximum) > 0
 
 
 def place(ids: pa.Array, bits: int) -> np.ndarray:
