@@ -49,11 +49,11 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 _RANDOM = np.random.default_rng(5)
 _BYTE_VALUES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE, _INVERSE = 0x2545F4914F6CDD1D, pow(0x2545F4914F6CDD1D, -1, 2**64)
+BASE, INVERSE = 0x2545F4914F6CDD1D, pow(0x2545F4914F6CDD1D, -1, 2**64)
 _POWERS = {}
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     """``base`` to the powers 0 to n - 1, modulo 2^64; kept for the next call."""
     kept = _POWERS.get(base, np.ones(1, np.uint64))
     while len(kept) < n:
@@ -93,8 +93,8 @@ def hashed_words(
         ends[cuts - 1] = True
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * _powers(_BASE, n), out=sums[1:])
-    hashes = mix((sums[stops] - sums[starts]) * _powers(_INVERSE, n)[starts])
+    np.cumsum(_BYTE_VALUES[data] * powers(BASE, n), out=sums[1:])
+    hashes = mix((sums[stops] - sums[starts]) * powers(INVERSE, n)[starts])
     return np.diff(np.searchsorted(starts, offsets)), hashes, starts, stops
 
 

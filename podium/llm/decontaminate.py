@@ -3,9 +3,9 @@
 Words are hashed into buckets and weighted by how few documents have them. A randomised SVD of the
 TF-IDF matrix of all passages gives the latent space: tasks add up their part of A'(A R) for a random
 matrix R, which is a table of fixed size, and the driver takes its singular vectors. They are divided by their
-singular values, so that what most passages share does not decide. A word counts once where it is repeated. Every window of every
-document, and every benchmark passage, is projected; windows whose cosine with a passage reaches
-``cosine`` are candidates. A candidate counts if its longest common word sequence with the passage
+singular values, so that what most passages share does not decide. Every window of every document, and every
+benchmark passage, is projected, with each of its words once however often it is repeated there; windows whose cosine with a
+passage reaches ``cosine`` are candidates, and so are those that hold a passage word by word, whatever their cosine. A candidate counts if its longest common word sequence with the passage
 covers ``share`` of it, and ``answer_share`` of its last quarter, where the answer is.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from podium.llm import tables
 from podium.llm.common import blocks
-from podium.llm.features import content_words, distinct_buckets, newly
+from podium.llm.features import content_words, distinct_buckets, previous, sequences
 from podium.session import ship_package
 
 
@@ -30,7 +30,6 @@ class LeakConfig:
     rank: int = 128
     passes: int = 1  # over the corpus, for the SVD; more sharpen it
     passage: int = 256  # words of the passages that the SVD sees
-    gap: int = 100  # words within which a repeated word does not count again
     cosine: float = 0.3
     share: float = 0.6
     answer_share: float = 0.5
@@ -139,6 +138,43 @@ class Probes:
             self.by_length.setdefault(next(b for b in bounds if b >= len(words)), []).append(i)
         self.vectors = {k: self._unit(np.stack([self._sum(self.parts[i][1]) for i in some])) for k, some in self.by_length.items()}
         self.masks = [(_masks(w), _masks(self.answer(w))) for _, w in self.parts]
+        self.anchors = {k: self._anchors(some, weight) for k, some in self.by_length.items()}
+
+    def _anchors(self, some: list[int], weight: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each of these parts its rarest ``least_words`` words in a row, as a hash; sorted, with their place, the number of words and the hash of all."""
+        n, found = self.config.least_words, []
+        for i in some:
+            words = np.array(self.parts[i][1], np.uint64)
+            rare = np.convolve(weight[_buckets(words, self.bits)], np.ones(n), "valid")
+            at, whole = np.array([rare.argmax()]), np.array([len(words)])
+            found.append((sequences(words, at, np.array([n]))[0], at[0], len(words), sequences(words, np.array([0]), whole)[0], i))
+        found.sort(key=lambda f: f[0])
+        return tuple(np.array(column, kind) for column, kind in zip(zip(*found), (np.uint64, np.int64, np.int64, np.uint64, np.int64)))
+
+    def _exact(self, length: int, counts: np.ndarray, hashes: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First words and numbers of the parts that stand in the texts word by word; ``anchors``: hashes of ``least_words`` words in a row."""
+        known, shift, size, whole, number = self.anchors[length]
+        low, high = np.searchsorted(known, anchors), np.searchsorted(known, anchors, "right")
+        hits, ends, found = np.flatnonzero(high > low), np.cumsum(counts), []
+        for hit in np.array_split(hits, (high - low).sum() // 1_000_000 + 1):
+            each = (high - low)[hit]
+            place = np.repeat(hit, each)
+            which = np.repeat(low[hit] - np.cumsum(each) + each, each) + np.arange(len(place))
+            text = np.searchsorted(ends, place, "right")
+            starts = place - shift[which]
+            inside = (starts >= (ends - counts)[text]) & (starts + size[which] <= ends[text])
+            starts, which = starts[inside], which[inside]
+            same = sequences(hashes, starts, size[which]) == whole[which]
+            found.append((starts[same], number[which[same]]))
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def _sums(self, buckets: np.ndarray, units: np.ndarray, n: int) -> np.ndarray:
+        """Sums of the vectors of words over their units, of which there are n."""
+        out = np.zeros((n, self.table.shape[1]), np.float32)
+        for at in range(0, len(units), 50_000):
+            unit, first = np.unique(units[at : at + 50_000], return_index=True)
+            out[unit] += np.add.reduceat(self.table[buckets[at : at + 50_000]], first, axis=0)
+        return out
 
     @staticmethod
     def answer(words: list[int]) -> list[int]:
@@ -151,33 +187,54 @@ class Probes:
     def _sum(self, words: list[int]) -> np.ndarray:
         return self.table[_buckets(np.unique(np.array(words, np.uint64)), self.bits)].sum(axis=0)
 
+    def _windows(self, counts: np.ndarray, hashes: np.ndarray, before: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows that begin at every step of each text: first word, text, and the sum of the vectors of its different words."""
+        zeros = len(self.table) - 1  # a row of zeros
+        buckets, ends = np.append(_buckets(hashes, self.bits), zeros), np.cumsum(counts)
+        units = -(-counts // step)
+        text = np.repeat(np.arange(len(counts)), units)
+        starts = (ends - counts)[text] + step * (np.arange(len(text)) - np.repeat(np.cumsum(units) - units, units))
+        places = starts[:, None] + np.arange(step)
+        places[places >= ends[text][:, None]] = len(hashes)  # past the end of the text
+        last, first = np.append(before, -1), []
+        for k in np.array_split(np.arange(len(starts)), len(starts) // 2000 + 1):
+            fresh = last[places[k]] < starts[k][:, None]  # new in the unit
+            first.append(self.table[np.where(fresh, buckets[places[k]], zeros)].sum(axis=1))
+        vectors = np.concatenate(first)
+        again = np.flatnonzero(before >= 0)
+        unit = np.searchsorted(starts, again, "right") - 1
+        back = unit - np.searchsorted(starts, before[again], "right") + 1  # units since the same word
+        single = vectors.copy()
+        for shift in (1, 2):  # without the words that the units before it in the window have
+            some = back == shift
+            single -= self._sums(buckets[again[some]], unit[some], len(starts))
+            vectors[:-shift] += single[shift:] * (text[shift:] == text[:-shift])[:, None]
+        return starts, text, vectors
+
     def search(self, counts: np.ndarray, hashes: np.ndarray) -> list[dict[int, tuple[float, float, int]]]:
         """For each text of ``counts`` words: the items in it, with share, answer share and first word of the best window.
 
-        A window is three steps of half the probe length, so one of them holds the whole passage wherever it begins.
+        A window is three steps of half the probe length, so one of them holds the whole passage wherever it begins. A word
+        counts once in it, whatever stands before the window.
         """
         found: list[dict[int, tuple[float, float, int]]] = [{} for _ in counts]
         if not len(hashes):
             return found
-        buckets = _buckets(hashes, self.bits)
-        buckets[~newly(counts, hashes, self.config.gap)] = len(self.table) - 1  # a row of zeros
-        buckets = np.append(buckets, len(self.table) - 1)
-        ends = np.cumsum(counts)
+        before = previous(counts, hashes)
+        ends, n = np.cumsum(counts), self.config.least_words
+        anchors = np.arange(max(len(hashes) - n + 1, 0))
+        anchors = sequences(hashes, anchors, np.full(len(anchors), n))
         for length, some in self.by_length.items():
             step = max(length // 2, 1)
-            units = -(-counts // step)
-            text = np.repeat(np.arange(len(counts)), units)
+            starts, text, vectors = self._windows(counts, hashes, before, step)
             begins = (ends - counts)[text]
-            starts = begins + step * (np.arange(len(text)) - np.repeat(np.cumsum(units) - units, units))
-            places = starts[:, None] + np.arange(step)
-            places[places >= ends[text][:, None]] = len(hashes)  # past the end of the text
-            vectors = np.concatenate([self.table[buckets[some_places]].sum(axis=1) for some_places in np.array_split(places, len(places) // 2000 + 1)])
-            single = vectors.copy()
-            for shift in (1, 2):
-                vectors[:-shift] += single[shift:] * (text[shift:] == text[:-shift])[:, None]
             size = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
             size[size <= 1e-12 * size.max()] = np.inf  # nothing in it counts
             stops = np.minimum(starts + 3 * step, ends[text])
+            at, numbers = self._exact(length, counts, hashes, anchors)
+            exact = np.unique(np.column_stack([np.searchsorted(starts, at, "right") - 1, numbers]), axis=0)
+            for w, number in exact.tolist():
+                self._look(found[text[w]], number, hashes, starts[w], stops[w], begins[w])
             for at in range(0, len(starts), 20_000):
                 near = vectors[at : at + 20_000] @ self.vectors[length].T >= self.config.cosine * size[at : at + 20_000, None]
                 for w, p in np.argwhere(near).tolist():

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from podium.llm.common import group_rows, hashed_words, text_bytes
+from podium.llm.common import BASE, INVERSE, group_rows, hashed_words, mix, powers, text_bytes
 
 _PUNCTUATION = [c for c in range(33, 127) if not chr(c).isalnum()]
 _CLASSES = np.ones(256, np.uint8)
@@ -25,16 +25,23 @@ def content_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(group_rows(counts)[word], minlength=len(texts)).astype(np.int64), hashes[word]
 
 
-def newly(counts: np.ndarray, hashes: np.ndarray, gap: int) -> np.ndarray:
-    """For each word, whether it does not stand among the ``gap`` words before it in its text."""
+def previous(counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each word, the place of the same word before it in its text; -1 if there is none."""
     rows = group_rows(counts)
     order = np.lexsort((hashes, rows))
-    again = (hashes[order][1:] == hashes[order][:-1]) & (rows[order][1:] == rows[order][:-1]) & (np.diff(order) <= gap)
-    out = np.ones(len(hashes), bool)
-    out[order[1:][again]] = False
+    again = (hashes[order][1:] == hashes[order][:-1]) & (rows[order][1:] == rows[order][:-1])
+    out = np.full(len(hashes), -1)
+    out[order[1:][again]] = order[:-1][again]
     return out
 
 
+def sequences(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of the sequences of ``lengths`` words that begin at ``starts``; the same wherever the same words stand."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * powers(BASE, len(hashes)), out=sums[1:])
+    return mix((sums[starts + lengths] - sums[starts]) * powers(INVERSE, len(hashes) + 1)[starts] + lengths.astype(np.uint64))
+
+
 def distinct_buckets(counts: np.ndarray, buckets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """For each text the number of its distinct buckets (0 to n - 1), and all of these, sorted by text."""
     pairs = np.unique(group_rows(counts) * np.int64(n) + buckets)

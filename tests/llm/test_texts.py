@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from podium.llm import decontaminate, langid, licenses, mixing
@@ -147,6 +148,39 @@ def test_leaks(leak_case, changes):
     assert leaks(frame, benchmark, **changes) == want
 
 
+@pytest.mark.parametrize("around", ["its words before", "twice before", "few words", "corrupted copy"])
+def test_leaks_among_repeated_words(spark, words, around):
+    """Passages whose words also stand shortly before them, or among few very frequent words."""
+    dice = random.Random(9)
+    items = [(i, " ".join(dice.choices(words, k=dice.randint(8, 90)))) for i in range(25)]
+    few, docs = words[:12], []
+    for i, text in items:
+        own = text.split()
+        mixed = dice.sample(own, len(own))
+        before = {
+            "its words before": mixed + dice.choices(words, k=45), "twice before": mixed + dice.choices(words, k=60) + mixed + dice.choices(words, k=30),
+            "few words": dice.choices(few, k=300), "corrupted copy": [w for w in own if dice.random() < 0.4] + dice.choices(words, k=20),
+        }[around]
+        docs.append((i, " ".join(before + own + dice.choices(few if around == "few words" else words, k=100))))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert leaks(frame, benchmark) == {(i, i) for i, _ in items}
+    assert leaks(frame, benchmark, cosine=2.0) == {(i, i) for i, _ in items}  # word by word, whatever the cosine
+
+
+def test_a_window_counts_each_word_once():
+    rng = np.random.default_rng(4)
+    config = decontaminate.LeakConfig(bucket_bits=8, rank=5)
+    weight, basis = np.ones(256, np.float32), rng.normal(size=(256, 5)).astype(np.float32)
+    probes = decontaminate.Probes([(1, "a passage of the benchmark")], weight, basis, config)
+    counts, hashes = decontaminate.content_words(pa.array([" ".join(f"w{k}" for k in rng.integers(0, 15, n)) for n in (70, 3, 0, 41)]))
+    starts, text, vectors = probes._windows(counts, hashes, decontaminate.previous(counts, hashes), 6)
+    ends = np.cumsum(counts)
+    assert starts.tolist() == [at for end, n in zip(ends, counts) for at in range(end - n, end, 6)]
+    want = [probes._sum(hashes[at : min(at + 18, ends[k])].tolist()) for at, k in zip(starts, text)]
+    assert np.allclose(vectors, want, atol=1e-4)
+
+
 def test_every_exact_passage_is_found(spark, sf_dir):
     plain = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
     docs = [(r.doc_id, f" {plain(r.text)} ") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
