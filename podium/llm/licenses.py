@@ -1,8 +1,9 @@
 """Licence scan: known licence sentences, and ordered rules over them.
 
-A text is cut into sentences at line breaks and after full stops that end a word. A sentence is normalised: lower case,
-everything but letters, digits and dots inside numbers becomes one space. A map gives each known sentence its identifier; a run of
-identifiers of a text, with unknown sentences in between left out, is matched against rules, which
+A text is cut into pieces at line breaks and after . ! ? ; : before white space. Pieces are normalised: lower case,
+everything but letters, digits and dots inside numbers becomes one space, so comment marks and quotes do not matter. A known
+sentence begins and ends where pieces do, and may go over any number of them: it can be wrapped at any of its words. A map
+gives it its identifier; a run of identifiers of a text, with unknown sentences in between left out, is matched against rules, which
 are sequences of identifiers that must occur in this order. All of it is expressions on one row: no
 shuffle, and no Python.
 """
@@ -26,20 +27,37 @@ SENTENCES = {
     "mit-condition": [
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     ],
-    "mit-warranty": ['THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.'],
+    "mit-warranty": [
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.',
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF'
+        " MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    ],
     "apache-notice": [
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License");',
         "This project is licensed under the Apache License, Version 2.0.",
     ],
     "apache-compliance": ["you may not use this file except in compliance with the License."],
-    "apache-copy": ["You may obtain a copy of the License at", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "apache-copy": [
+        "You may obtain a copy of the License at",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
+    ],
     "gpl3-notice": [
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU General Public License, version 3.",
         "This program is licensed under the GNU General Public License, version 3.",
     ],
-    "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License."],
+    "gpl-free": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License" + end
+        for end in (
+            ".",
+            " as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+            " as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+            " as published by the Free Software Foundation, version 3 of the License.",
+            " as published by the Free Software Foundation, version 3.",
+        )
+    ],
     "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."],
     "cc-by-nc-notice": ["Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0."],
     "cc-by-notice": ["Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0."],
@@ -70,21 +88,30 @@ RULES = [
 ]
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower case; dots only inside numbers; anything else that is no letter or digit is one space."""
-    kept = F.regexp_replace(F.lower(sentence), r"(?<![0-9])\.|\.(?![0-9])", " ")
-    return F.trim(F.regexp_replace(kept, r"[^\p{L}\p{N}.]+", " "))
+_CUTS = r"[\n\r\u2028\u2029]+|(?<=[.!?;:])\s+"
+
+
+def normalised(text: Column) -> Column:
+    """The pieces of a text with a line break before, between and after them: lower case; dots only inside numbers; anything
+    else that is no letter or digit is one space. Comment marks that are words, at the beginning of a line, are left out."""
+    cut = F.concat(F.lit("\n"), F.regexp_replace(F.lower(text), _CUTS, "\n"), F.lit("\n"))
+    kept = F.regexp_replace(F.regexp_replace(cut, r"\n[ \t]*@?(?:dnl|rem)(?=[ \t\n])", "\n"), r"(?<![0-9])\.|\.(?![0-9])", " ")
+    return F.regexp_replace(F.regexp_replace(kept, r"[^\p{L}\p{N}.\n]+", " "), r" *\n[ \n]*", "\n")
 
 
 def sentences(text: Column) -> Column:
-    """The sentences of a text: cut at line breaks and after . ! ? ; : before white space."""
-    return F.split(text, r"[\n\r  ]+|(?<=[.!?;:])\s+")
+    """The pieces of a text: cut at line breaks and after . ! ? ; : before white space."""
+    return F.split(text, _CUTS)
+
+
+def _joined(pieces: Column) -> Column:
+    return F.trim(F.translate(pieces, "\n", " "))
 
 
 def known_sentences(spark, table: Mapping[str, Sequence[str]]) -> dict[str, str]:
     """The normalised forms of the sentences, with their identifiers. Two identifiers of one sentence are an error."""
     given = [(text, name) for name, texts in table.items() for text in texts]
-    cut = spark.createDataFrame(given, "text string, name string").select(normalised(F.col("text")).alias("text"), "name").collect()
+    cut = spark.createDataFrame(given, "text string, name string").select(_joined(normalised(F.col("text"))).alias("text"), "name").collect()
     known: dict[str, str] = {}
     for row in cut:
         if known.setdefault(row["text"], row["name"]) != row["name"]:
@@ -104,19 +131,20 @@ def scan(
     ``sentence_ids`` are the identifiers of the known sentences of the whole text, in order and with
     repeats. ``rules`` are the names of the rules whose sequence occurs in them in order, without those that
     another found rule of the same licence includes; ``licenses`` are their licences. Both are sorted and
-    without repeats. A null or empty text has no sentences and empty arrays. Sentences longer than
-    the longest known one are not compared. Other columns are ignored, repeated rows kept.
+    without repeats. A null or empty text has no sentences and empty arrays; ``n_sentences`` counts the pieces of a text.
+    Other columns are ignored, repeated rows kept.
     """
     known = known_sentences(documents.sparkSession, table)
-    longest = 2 * max(map(len, known), default=0) + 20  # punctuation and spaces that normalising takes away
     names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair)) if known else F.create_map().cast("map<string,string>")
-    first = sorted({text.split(" ")[0] for text in known if text})
-    rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.filter(sentences(F.coalesce(text_column, F.lit(""))), lambda s: F.trim(s) != "").alias("cut"))
-    # a known sentence begins with one of a few words; the others are left out before they are normalised
-    starts = r"(?i)^[^\p{L}\p{N}]*(" + "|".join(first) + r")(?![\p{L}\p{N}])"
-    maybe = F.filter("cut", lambda s: (F.length(s) <= longest) & s.rlike(starts)) if first else F.filter("cut", lambda s: F.lit(False))
-    found = F.filter(F.transform(maybe, lambda s: names[normalised(s)]), lambda i: i.isNotNull())
-    rows = rows.select("doc_id", F.size("cut").cast("long").alias("n_sentences"), found.alias("sentence_ids"))
+    text = F.coalesce(text_column, F.lit(""))
+    # the longest of those that begin at a place; a space of a known sentence may be the end of a piece
+    words = sorted((k.replace(".", r"\.").replace(" ", r"[ \n]") for k in known if k), key=lambda k: (-len(k), k))
+    hits = F.regexp_extract_all(normalised(text), F.lit(r"\n(" + "|".join(words) + r")(?=\n)"), F.lit(1)) if words else F.array().cast("array<string>")
+    rows = documents.select(
+        F.col(id_column).cast("long").alias("doc_id"),
+        F.size(F.filter(sentences(text), lambda s: F.trim(s) != "")).cast("long").alias("n_sentences"),
+        F.transform(hits, lambda s: names[_joined(s)]).alias("sentence_ids"),
+    )
     line = F.concat(F.lit(" "), F.array_join("sentence_ids", " "), F.lit(" "))
     pattern = lambda ids: " " + " (?:.* )?".join(i.replace(".", r"\.") for i in ids) + " "
     includes = lambda big, small: len(big) > len(small) and list(small) == [i for i in big if i in small]

@@ -73,6 +73,54 @@ def test_licenses(spark, odd_documents, odd_rows, no_documents):
     assert licenses.scan(odd_documents).count() == len(odd_rows) and licenses.scan(no_documents).collect() == []
 
 
+MIT = '''Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.'''
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_wrapped_licences(spark):
+    whole = {"mit-text": MIT, "bsd-text": BSD, "apache-header": APACHE, "gpl3-header": GPL}
+    ways = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: "\n\n".join(" ".join(p.split()) for p in t.split("\n\n")), lambda t: "\n".join(t.split())]
+    ways += [lambda t, m=m: f"code();\n/*\n{m}" + t.replace("\n", "\n" + m) + "\n*/\nmore();" for m in ("# ", "// ", " * ", "    ", "dnl ", "REM ", "-- ", ";; ")]
+    rows = [(k, way(text), rule) for rule, text in whole.items() for k, way in enumerate(ways)]
+    rows += [(90, GPL.replace("version 3", "version 2"), None), (91, MIT.replace("free of charge", "for a charge"), None)]
+    found = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.rules for r in found} == {i: [rule] if rule else [] for i, (_, _, rule) in enumerate(rows)}
+
+
 def test_an_ambiguous_sentence_is_an_error(spark):
     with pytest.raises(ValueError, match="two identifiers"):
         licenses.known_sentences(spark, {"a": ["Same text."], "b": ["same  TEXT"]})
