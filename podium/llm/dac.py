@@ -83,6 +83,21 @@ class Encoder:
         self.size += len(flat)
         return True
 
+    def _known(self, hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each of at most ``KEPT_PIECES`` pieces, and all ids; new pieces are learned."""
+        distinct, first, slots = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
+        new = np.ones(len(distinct), bool) if not len(self.hashes) else self.hashes[at] != distinct
+        piece = lambda rows: [data[begins[i] : ends[i]].tobytes().decode() for i in first[rows]]
+        if new.any() and not self._learn(distinct[new], piece(new)):
+            self._forget()
+            self._learn(distinct, piece(np.ones(len(distinct), bool)))
+        at = np.searchsorted(self.hashes, distinct)
+        starts, counts = self.starts[at][slots], self.counts[at][slots]
+        total = int(counts.sum())
+        within = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+        return counts, self.ids[0][np.repeat(starts, counts) + within]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, and all ids; a null text has none."""
         texts = pc.fill_null(texts, "")
@@ -97,19 +112,10 @@ class Encoder:
         if odd.any():
             lower = pc.if_else(pa.array(odd), "", lower)
         per_text, hashes, begins, ends = hashed_words(lower, _CLASSES)
-        distinct, first, slots = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
-        new = np.ones(len(distinct), bool) if not len(self.hashes) else self.hashes[at] != distinct
         data = text_bytes(lower)[0]
-        piece = lambda rows: [data[begins[i] : ends[i]].tobytes().decode() for i in first[rows]]
-        if new.any() and not self._learn(distinct[new], piece(new)):
-            self._forget()
-            self._learn(distinct, piece(np.ones(len(distinct), bool)))
-        at = np.searchsorted(self.hashes, distinct)
-        starts, counts = self.starts[at][slots], self.counts[at][slots]
-        total = int(counts.sum())
-        within = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-        ids = self.ids[0][np.repeat(starts, counts) + within]
+        found = [self._known(hashes[at : at + KEPT_PIECES], begins[at:], ends[at:], data) for at in range(0, len(hashes), KEPT_PIECES)]
+        counts = np.concatenate([np.zeros(0, np.int64), *(c for c, _ in found)])
+        ids = np.concatenate([np.zeros(0, np.uint32), *(i for _, i in found)])
         lengths = np.bincount(group_rows(per_text), counts, len(texts)).astype(np.int64)
         if not odd.any():
             return lengths, ids

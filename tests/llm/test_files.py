@@ -70,6 +70,20 @@ def test_pieces_have_the_ids_of_the_text(tokenizer, texts):
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+@pytest.mark.parametrize("kept", [1, 7, 1000])
+def test_a_text_of_more_pieces_than_are_kept(tokenizer, monkeypatch, kept):
+    import pyarrow as pa
+
+    monkeypatch.setattr(dac, "KEPT_PIECES", kept)
+    texts = [" ".join(f"{k * 7919}x{k}" for k in range(1500)), None, "a b", "c " * 50, "<|endoftext|> d"]
+    own = dac.Encoder(tokenizer_path(), independent=True)
+    for _ in range(2):
+        counts, ids = own.encode(pa.array(texts, pa.string()))
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert len(own.hashes) <= kept
+
+
 def archive_brute(pages, least=0):
     first = {}
     for i, _, h in pages:
