@@ -109,10 +109,10 @@ class Encoder:
         odd = np.zeros(len(texts), bool)
         for token in self.special:
             odd |= pc.match_substring(lower, token.lower()).to_numpy(zero_copy_only=False)
-        if odd.any():
-            lower = pc.if_else(pa.array(odd), "", lower)
-        per_text, hashes, begins, ends = hashed_words(lower, _CLASSES)
-        data = text_bytes(lower)[0]
+        # pieces as they are written: some letters and marks compose only if they are lower-cased before
+        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        per_text, hashes, begins, ends = hashed_words(plain, _CLASSES)
+        data = text_bytes(plain)[0]
         found = [self._known(hashes[at : at + KEPT_PIECES], begins[at:], ends[at:], data) for at in range(0, len(hashes), KEPT_PIECES)]
         counts = np.concatenate([np.zeros(0, np.int64), *(c for c, _ in found)])
         ids = np.concatenate([np.zeros(0, np.uint32), *(i for _, i in found)])

@@ -70,6 +70,17 @@ def test_pieces_have_the_ids_of_the_text(tokenizer, texts):
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("HJTWYAhjtwy\u0331\u030c\u0308\u0344\u030a\u0301 .'1"), max_size=20), max_size=6))
+def test_capitals_and_marks_have_the_ids_of_the_text(tokenizer, texts):
+    import pyarrow as pa
+
+    texts = [*texts, *(f"{a}{b} x{a}{b}y" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "\u0331\u030c\u0308\u0344\u030a")]
+    counts, ids = dac.Encoder(tokenizer_path(), independent=True).encode(pa.array(texts, pa.string()))
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 @pytest.mark.parametrize("kept", [1, 7, 1000])
 def test_a_text_of_more_pieces_than_are_kept(tokenizer, monkeypatch, kept):
     import pyarrow as pa
