@@ -9,7 +9,7 @@ import numpy as np
 
 #: Element kinds of HTML, and words in class and id attributes that tell what an element is for.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style noscript template head title svg math iframe object canvas audio video select datalist".split())
+HIDDEN = set("script style noscript template head title svg iframe canvas audio video select datalist".split())
 BLOCKS = set(
     "html body p div section article main nav header footer aside form fieldset ul ol li dl dt dd table thead tbody tfoot tr td th caption"
     " h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary dialog hgroup menu center button label legend textarea".split()
@@ -31,6 +31,9 @@ BAD_WORDS = {
     "share": "share sharing social follow like bookmark print author meta byline",
 }
 BAD = {word: i for i, words in enumerate(BAD_WORDS.values()) for word in words.split()}
+#: What a head may hold; anything else ends it. What ends a drawing that was not closed, besides block elements.
+IN_HEAD = set("script style noscript template title base basefont bgsound link meta noframes".split())
+AFTER_SVG = set("b big br code em embed hr i img nobr ruby s small span strong strike sub sup tt u var".split())
 #: Elements that an opening tag closes if they are open, up to the elements that shield them.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"})}
 _CLOSES |= {"tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -50,6 +53,7 @@ class Page(HTMLParser):
         self.runs: list[list] = []
         self.open: list[tuple[str, int]] = [("html", 0)]  # elements, with the block each is in
         self.hidden = self.links = 0
+        self.body = False  # whether its tag has been seen
         self.fresh = True
         self.feed(html)
         self.close()
@@ -61,9 +65,28 @@ class Page(HTMLParser):
             self.fresh |= tag in BLOCKS
         del self.open[place:]
 
+    def _end_hidden(self, tag):
+        """Close a head or a drawing whose end tag is left out, where ``tag`` or text (None) cannot be in it."""
+        for place in range(len(self.open) - 1, 0, -1):
+            name = self.open[place][0]
+            if name == "head" and tag not in IN_HEAD or name == "svg" and (tag in BLOCKS or tag in AFTER_SVG):
+                return self._pop(place)
+            if name in HIDDEN and not (name == "title" and tag in BLOCKS) or name in ("foreignobject", "desc"):
+                return None
+
+    def _end_all_hidden(self):
+        for place in range(1, len(self.open)):
+            if self.open[place][0] in HIDDEN:
+                return self._pop(place)
+
     def handle_starttag(self, tag, attrs):
+        if tag == "body" and not self.body:
+            self.body = True
+            self._end_all_hidden()
         if tag in ("html", "body"):
             return
+        if self.hidden:
+            self._end_hidden(tag)
         if tag in BLOCKS and not self.hidden:
             if tag in _CLOSES:
                 self._close_open(*_CLOSES[tag])
@@ -95,7 +118,7 @@ class Page(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag in ("html", "body"):
-            return
+            return self._end_all_hidden()
         for place in range(len(self.open) - 1, 0, -1):
             if self.open[place][0] == tag:
                 return self._pop(place)
@@ -106,6 +129,8 @@ class Page(HTMLParser):
             self._pop(len(self.open) - 1)
 
     def handle_data(self, data):
+        if self.hidden and data.strip() and self.open[-1][0] == "head":
+            self._end_hidden(None)
         if self.hidden or not data:
             return
         if self.fresh:

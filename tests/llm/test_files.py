@@ -253,6 +253,28 @@ def test_main_text(spark, trees, home):
     assert found.text == "\n".join(["A & B", *PROSE])
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<head><title>T</title><meta name=a><body><p>a</p><p>b</p>", ["a", "b"]), ("<head><title>T</title><p>a<p>b", ["a", "b"]),
+        ("<html><head><title>T</title>plain <b>text</b>", ["plain text"]), ("<head><script>no</script><link><span>a</span>", ["a"]),
+        ("<head><noscript><p>no</p></noscript><title>T</title></head><body>a", ["a"]), ("<head><template><p>no</p></template><body>a", ["a"]),
+        ("<body><svg><path><text>no</text><p>a</p>", ["a"]), ("<svg><title>no</title><text>no</text></svg><p>a</p>", ["a"]),
+        ("<svg><foreignObject><p>no</p></foreignObject></svg>a", ["a"]), ("<section><video>no</section><p>a</p>", ["a"]),
+        ("<body><audio>no</body>a", ["a"]), ("<p>x <math><mi>y</mi></math> z</p>", ["x y z"]), ("<p><object>a</object> b</p>", ["a b"]),
+    ],
+)
+def test_omitted_end_tags(html, want):
+    assert [text for _, text, _ in Page(html).texts()] == want
+
+
+def test_main_text_without_end_of_head(spark, trees):
+    body = "".join(f"<p>{t}" for t in PROSE)
+    html = f"<html><head><title>T</title><meta charset=utf-8><body>{AROUND}<article><h1>A &amp; B</h1>{body}</article>{AFTER}"
+    found = html_text.extract(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"), trees).first()
+    assert found.text == "\n".join(["A & B", *PROSE])
+
+
 def test_odd_pages(spark, trees):
     long = "<article>" + "".join(f"<p>Sentence {k} of a long story, with words.</p>" for k in range(5000)) + "</article>"
     pages = [(1, "u", None), (2, None, ""), (3, "u", "<<<>>& &#0; <p"), (4, "u", long), (4, "u", long), (None, "u", "<article><p>a&nbsp;b\n c<br>d"), (5, "u", "<div>" * 3000 + "deep")]
