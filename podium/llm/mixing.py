@@ -5,11 +5,13 @@ gives each document a posterior over the domains. The expected tokens of a domai
 documents. Projected gradient descent finds rates of at least 0 that bring these sums to the
 targets, in weighted least squares. A document's rate follows from its posterior and the gradients
 of all steps, which are a few numbers each; a step is one aggregation over the stored posteriors, and
-no rates are moved.
+no rates are moved. Where the descent does not come within the tolerance, one more step of the same form is solved for by Newton's
+method: of the rates that do, about those that are closest to what the descent reached. Targets that no rates come to are reported.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -192,6 +194,76 @@ def fit_rates(weighed: DataFrame, targets: list[float], config: MixConfig = MixC
     return steps
 
 
+def finish_rates(weighed: DataFrame, targets: list[float], steps: list[list[float]], config: MixConfig = MixConfig()) -> list[list[float]]:
+    """The steps, and one more if they miss the tolerance: from their rates r it leads to max(0, r - posterior x step).
+
+    The step minimises the squared changes of the rates, over the tokens, and 1 / weight times the squared differences of
+    reached and wanted shares over those at rate 1. The weight is lowered until the tolerance is met, or until the
+    differences, which are then the least there are, do not get smaller; that is a warning with what is reached.
+    """
+    k, wanted = len(targets), np.array(targets, float) / sum(targets)
+    names = [f"p{d}" for d in range(k)]
+    rows = weighed.where("n_tokens > 0").select("n_tokens", rate_of(F.col("posterior"), steps).alias("rate"), *(F.col("posterior")[d].alias(names[d]) for d in range(k)))
+    total = weighed.agg(F.sum("n_tokens")).first()[0]
+    if not total:
+        return steps
+    rows = materialize(rows, "rates")
+    usual = np.array(rows.agg(*(F.sum(F.col(n) * F.col("n_tokens")) for n in names)).first(), float) / total
+    usual = np.maximum(usual, 1e-9)
+
+    def at(step: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The sum of the squared rates, the shares, and how shares answer to the step, with what it leads to."""
+        moved = F.col("rate") - sum((F.col(n) * float(x) for n, x in zip(names, step)), F.lit(0.0))
+        now = rows.withColumn("now", F.greatest(F.lit(0.0), moved)).withColumn("t", F.col("n_tokens") * F.col("now"))
+        live = F.when(F.col("now") > 0, F.col("n_tokens")).otherwise(0)
+        pairs = [(d, e) for d in range(k) for e in range(d + 1)]
+        found = np.array(
+            now.agg(
+                F.sum(F.col("t") * F.col("now")), *(F.sum(F.col(n) * F.col("t")) for n in names),
+                *(F.sum(F.col(names[d]) * F.col(names[e]) * live) for d, e in pairs),
+            ).first(), float,
+        ) / total
+        answer = np.zeros((k, k))
+        for (d, e), x in zip(pairs, found[1 + k :]):
+            answer[d, e] = answer[e, d] = x
+        return found[0], found[1 : 1 + k], answer
+
+    def missed(reached: np.ndarray) -> float:
+        return np.abs(reached - wanted).max()
+
+    step, weight = np.zeros(k), 1.0
+    squares, reached, answer = at(step)
+    best = missed(reached)
+    if best <= config.tolerance:
+        return steps
+    while True:
+        weight /= 10
+        value = lambda q, x: q / 2 + wanted @ x + weight / 2 * (usual * x) @ x
+        while True:  # Newton's method: value is convex, and quadratic as long as the same rates are above 0
+            slope = wanted - reached + weight * usual * step
+            if np.abs(slope).max() <= config.tolerance / 100:
+                break
+            way, length = -np.linalg.solve(answer + weight * np.diag(usual), slope), 1.0
+            here = value(squares, step)
+            while True:
+                tried = at(step + length * way)
+                if value(tried[0], step + length * way) <= here + 1e-4 * length * (slope @ way):
+                    break
+                length /= 2
+                if length < 1e-9:
+                    break  # as exact as the numbers are
+            if length < 1e-9:
+                break
+            step, (squares, reached, answer) = step + length * way, tried
+        if missed(reached) <= config.tolerance:
+            break
+        if missed(reached) > 0.99 * best and weight < 1e-3:
+            warnings.warn(f"no rates bring the shares of tokens to {wanted.tolist()}; reached: {reached.tolist()}", stacklevel=2)
+            break
+        best = missed(reached)
+    return [*steps, step.tolist()]
+
+
 def mix_sources(
     documents: DataFrame,
     known: DataFrame,
@@ -214,7 +286,9 @@ def mix_sources(
         )
     domains = learn_domains(own, known, config)
     found = materialize(posteriors(documents, domains, text_column), "posteriors")
-    steps = fit_rates(found.select("n_tokens", "posterior"), [targets.get(d, 0.0) for d in domains.names], config)
+    goal = [targets.get(d, 0.0) for d in domains.names]
+    steps = fit_rates(found.select("n_tokens", "posterior"), goal, config)
+    steps = finish_rates(found.select("n_tokens", "posterior"), goal, steps, config)
     rated = found.withColumn("rate", rate_of(F.col("posterior"), steps))
     draw = F.pmod(F.xxhash64(F.col("row")[id_column], F.lit(config.seed)), F.lit(1_000_003)) / F.lit(1_000_003)
     copies = (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")

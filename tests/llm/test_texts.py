@@ -136,6 +136,42 @@ def test_mixing_reaches_targets(spark, sf_dir):
     assert all(abs(x.copies - x.rate) < 1 for x in rows)
 
 
+def reached_shares(rows, steps):
+    some = rows.withColumn("r", mixing.rate_of(rows.posterior, steps)).collect()
+    p, t, r = np.array([x.posterior for x in some]), np.array([x.n_tokens for x in some]), np.array([x.r for x in some])
+    assert (r >= 0).all()
+    return (p * (r * t)[:, None]).sum(axis=0) / t.sum()
+
+
+@pytest.mark.parametrize("domains, goal", [(3, [0.4, 0.3, 0.3]), (3, [0.6, 0.1, 0.3]), (10, [0.19] + [0.09] * 9)])
+def test_rates_of_soft_posteriors_meet_the_tolerance(spark, domains, goal):
+    rng = np.random.default_rng(5)
+    p, t = rng.dirichlet(9 * np.array(([5, 3, 2] if domains == 3 else [1] * 10)) / 10, 400), rng.integers(0, 500, 400)
+    rows = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p)], "n_tokens long, posterior array<double>").coalesce(2).cache()
+    steps = mixing.fit_rates(rows, goal, mixing.MixConfig(steps=4))
+    assert np.abs(reached_shares(rows, steps) - goal).max() > 2e-3
+    finished = mixing.finish_rates(rows, goal, steps)
+    assert len(finished) == len(steps) + 1 and np.abs(reached_shares(rows, finished) - goal).max() <= 1e-3
+    assert mixing.finish_rates(rows, goal, finished) == finished
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    rows = spark.createDataFrame([(10, [0.5, 0.5]), (20, [0.6, 0.4])], "n_tokens long, posterior array<double>").coalesce(1)
+    with pytest.warns(UserWarning, match="no rates"):
+        finished = mixing.finish_rates(rows, [1.0, 0.0], [])
+    # the least of the weighted squares: all from the second row
+    usual, (a, b) = np.array([17 / 30, 13 / 30]), (0.6, 0.4)
+    scale = a / usual[0] / (a * a / usual[0] + b * b / usual[1])
+    assert np.allclose(reached_shares(rows, finished), [a * scale, b * scale], atol=2e-3)
+
+
+def test_registered_mixing_meets_the_tolerance(spark, sf_dir):
+    rows = QUERIES["op3_source_mixing"](spark, sf_dir).collect()
+    p, t, r = np.array([x.posterior for x in rows]), np.array([x.n_tokens for x in rows]), np.array([x.rate for x in rows])
+    goal = np.array([TARGETS[d] for d in ("good", "poor", "toxic")])
+    assert np.abs((p * (r * t)[:, None]).sum(axis=0) / t.sum() - goal).max() <= mixing.MixConfig().tolerance
+
+
 def test_rates_equal_descent_on_one_machine(spark):
     rng = np.random.default_rng(3)
     p = rng.dirichlet([0.3, 0.5, 0.2], 200)
