@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import chat, dac, decontaminate, exact_dedup, html_text, jaccard_join, langid, licenses, mixing, warc
+from podium.llm import (
+    centroids,
+    chat,
+    dac,
+    decontaminate,
+    exact_dedup,
+    html_text,
+    importance,
+    jaccard_join,
+    langid,
+    licenses,
+    mixing,
+    personal_data,
+    sql,
+    warc,
+)
 from podium.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +135,28 @@ def op10_decontaminate(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.screened(documents, table(spark, sf_dir, "benchmark"))
     return found.select("row.doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+@query(sql.RESAMPLING)
+def op11_importance_resampling(spark, sf_dir):
+    """The documents most like the benchmark, drawn with noise and ranked."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(sql.clustering())
+def op12_centroid_clustering(spark, sf_dir):
+    """Every vector's cluster after five rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query(sql.personal_data())
+def op13_personal_data(spark, sf_dir):
+    """Spans of personal data in every document."""
+    found = personal_data.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, added = F.col("base_spans"), F.col("added_spans")
+    return found.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        *(personal_data.count_of(base, kind.name).alias(f"n_{kind.name}") for kind in personal_data.BASE),
+        F.sha2(personal_data.listed(base).cast("binary"), 256).alias("base_sha256"),
+        personal_data.listed(F.concat(base, added)).alias("spans"),
+    )

@@ -47,4 +47,4 @@ def test_run(spark, sf_dir):
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
