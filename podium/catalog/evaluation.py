@@ -248,13 +248,13 @@ def metrics_per_query(spark, sf_dir):
 ALL_MEANS_SQL = "SELECT name, metric, k, round(value, 6) + 0.0 AS value FROM metrics"
 
 
-def _means(metrics):
+def means(metrics):
     return metrics.select("name", F.regexp_replace("metric", "^m", "").alias("metric"), "k", rounded("value").alias("value"))
 
 
 @query(_with(METRICS_SQL, ALL_MEANS_SQL))
 def evaluate_all(spark, sf_dir):
-    return _means(evaluate(*stored_run_and_qrels(spark, sf_dir), KS))
+    return means(evaluate(*stored_run_and_qrels(spark, sf_dir), KS))
 
 
 DEEP = 1000
@@ -264,7 +264,7 @@ DEEP = 1000
 def evaluate_full_depth(spark, sf_dir):
     """A thousand hits per query, at every cutoff."""
     hits = knn(customer_vectors(spark, sf_dir), doc_vectors(spark, sf_dir), DEEP, score_digits=6)
-    return _means(evaluate(materialize(hits, "run"), materialize(customer_qrels(spark, sf_dir), "judgments"), list(CUTOFFS)))
+    return means(evaluate(materialize(hits, "run"), materialize(customer_qrels(spark, sf_dir), "judgments"), list(CUTOFFS)))
 
 
 VECTORS_CONFIG = EvalConfig(top_q=-1, sampling="all", top_k=HITS, score_digits=6)
@@ -279,13 +279,13 @@ def evaluate_from_vectors(spark, sf_dir):
         left=(FieldSpec("query_id"),), right=(FieldSpec("doc_id"),), weight_key="l_quantity", doc_id_key="doc_id", query_id_key="query_id"
     )
     triplets, vectors = customer_triplets(spark, sf_dir), every_customer_vector(spark, sf_dir)
-    return _means(evaluate_vectors(triplets, vectors, doc_vectors(spark, sf_dir), roles, VECTORS_CONFIG).metrics)
+    return means(evaluate_vectors(triplets, vectors, doc_vectors(spark, sf_dir), roles, VECTORS_CONFIG).metrics)
 
 
 @query(_with(SPARSE_METRICS_SQL, ALL_MEANS_SQL))
 def evaluate_sample(spark, sf_dir):
     """One judgment for each of a sample of queries: queries with hits alone are left out."""
-    return _means(evaluate(*_sparse_inputs(spark, sf_dir), KS))
+    return means(evaluate(*_sparse_inputs(spark, sf_dir), KS))
 
 
 TIED_INPUTS = f"{TRIPLETS_SQL}, {qrels_sql()}, {run_sql(1)}"
@@ -294,17 +294,17 @@ TIED_INPUTS = f"{TRIPLETS_SQL}, {qrels_sql()}, {run_sql(1)}"
 @query(_with(f"{TIED_INPUTS}, {metrics_sql(KS)}", ALL_MEANS_SQL))
 def ties_reference(spark, sf_dir):
     """Scores with one digit tie often: by document id for one family, by stored rank for the other."""
-    return _means(evaluate(*stored_run_and_qrels(spark, sf_dir, 1), KS, ties="reference"))
+    return means(evaluate(*stored_run_and_qrels(spark, sf_dir, 1), KS, ties="reference"))
 
 
 @query(_with(f"{TIED_INPUTS}, {metrics_sql(KS, ties='stable')}", ALL_MEANS_SQL))
 def ties_stable(spark, sf_dir):
-    return _means(evaluate(*stored_run_and_qrels(spark, sf_dir, 1), KS, ties="stable"))
+    return means(evaluate(*stored_run_and_qrels(spark, sf_dir, 1), KS, ties="stable"))
 
 
 @query(_with(f"{TIED_INPUTS}, {metrics_sql(KS, ties='trec')}", ALL_MEANS_SQL))
 def ties_trec(spark, sf_dir):
-    return _means(evaluate(*stored_run_and_qrels(spark, sf_dir, 1), KS, ties="trec"))
+    return means(evaluate(*stored_run_and_qrels(spark, sf_dir, 1), KS, ties="trec"))
 
 
 ZERO_GRADES = f"{TRIPLETS_SQL}, {qrels_sql('triplets', 'round_even(l_discount * 100, 0)')}, {run_sql()}, {metrics_sql(KS)}"
@@ -315,7 +315,7 @@ def evaluate_zero_grades(spark, sf_dir):
     """Imported weights from 0 to 10: grades of 0, and queries with no relevant document."""
     weighted = customer_triplets(spark, sf_dir).withColumn("weight", F.bround(F.col("l_discount") * 100, 0))
     qrels = materialize(build_qrels(weighted), "judgments")
-    return _means(evaluate(materialize(customer_run(spark, sf_dir), "run"), qrels, KS))
+    return means(evaluate(materialize(customer_run(spark, sf_dir), "run"), qrels, KS))
 
 
 SUMMARY_COLUMNS = report.summary_names(HITS)
