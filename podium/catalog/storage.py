@@ -97,6 +97,25 @@ def triplets_roundtrip(spark, sf_dir):
     return tables.read_triplets(spark, path, "product_id string, score double")
 
 
+@query("SELECT cast(doc_id AS varchar) AS product_id, nullif(text, '') AS title, lang FROM documents")
+def triplets_line_breaks(spark, sf_dir):
+    """A CSV whose texts hold quotes, separators and line breaks, read in many tasks."""
+    path = new_folder(spark, "triplets")
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("product_id"), F.col("text").alias("title"), "lang")
+    documents.write.options(header=True, escape='"', quoteAll=True).csv(path)
+    return tables.read_triplets(spark, path)
+
+
+@query("SELECT cast(doc_id AS varchar) AS doc_id, text, lang, n_chars FROM documents")
+def keyed_json_nested(spark, sf_dir):
+    """A corpus of nested values, with texts of any characters."""
+    path = new_folder(spark, "corpus")
+    about = F.struct("lang", F.array("n_chars").alias("sizes")).alias("about")
+    keyed_json.write_corpus_json(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", about), path)
+    read = keyed_json.read_keyed_corpus(spark, path, "text string, about struct<lang:string,sizes:array<bigint>>")
+    return read.select("doc_id", "text", "about.lang", F.col("about.sizes")[0].alias("n_chars"))
+
+
 REPATHED_SQL = "SELECT cast(page_id AS varchar) AS page_id, '/images/' || regexp_extract(url, '[^/]*$') AS image_local, md5(html) AS digest FROM pages"
 
 

@@ -10,23 +10,22 @@ from pyspark.sql import functions as F
 
 from podium.operators.topk import first_per_group
 from podium.session import ship_package
-
-# Writers put this between two entries; it ends the value of one and opens the key of the next.
-ENTRY_BREAK = '}, "'
-
+from podium.sources.records import OBJECT_ENTRIES, read_records
 
 def read_keyed_json(spark: SparkSession, path: str, value_type: str, splittable: bool = True) -> DataFrame:
     """``(key, value)`` of every entry of the object; of a repeated key the last counts.
 
-    A file is one line. Unless ``splittable`` is false, the text is cut at the
-    usual break between two entries and the pieces are parsed in parallel. The pieces are
-    checked first, when this is called; if any is not exactly one entry (a text value that
-    contains the break, another spacing, nested objects), the file is parsed as a whole.
+    A file of any size, spacing and nesting is cut into its entries in parallel, see ``records``; the files are scanned
+    for that when this is called. With ``splittable=False`` each file is parsed by one task. An entry that is no JSON is an error.
     """
     if splittable:
-        pieces = _pieces(spark, path, value_type)
-        if pieces.where("bad").limit(1).isEmpty():
-            return _last_entry(pieces.select("key", "value", "file", "start", "place"))
+        rows = read_records(spark, path, OBJECT_ENTRIES)
+        inner = F.when(F.col("first"), F.regexp_replace("text", r"^\s*\{", "")).otherwise(F.col("text"))
+        rows = rows.withColumn("inner", F.when(F.col("last"), F.regexp_replace(inner, r"\}\s*$", "")).otherwise(inner))
+        text = F.concat(F.lit("{"), "inner", F.lit("}"))
+        entries = F.from_json(text, f"map<string,{value_type}>", {"mode": "FAILFAST"})
+        rows = rows.where(F.col("inner").rlike(r"\S")).select("file", "start", "place", F.explode(entries))
+        return _last_entry(rows)
     text = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     entries = F.from_json("value", f"map<string,{value_type}>", {"mode": "FAILFAST"})
     rows = text.select("file", F.lit(0).cast("long").alias("start"), F.posexplode(entries).alias("place", "key", "value"))
@@ -38,38 +37,6 @@ def _last_entry(rows: DataFrame) -> DataFrame:
     return first_per_group(rows, ["key"], order).select("key", "value")
 
 
-def _pieces(spark: SparkSession, path: str, value_type: str) -> DataFrame:
-    text = (
-        spark.read.option("lineSep", ENTRY_BREAK)
-        .text(path)
-        .select(
-            "value",
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("place"),
-        )
-    )
-    last = F.regexp_like("value", F.lit(r"\}\s*\}\s*$"))
-    first = F.col("value").startswith('{"')
-    whole = F.concat(
-        F.when(first, F.col("value")).otherwise(F.concat(F.lit('{"'), F.col("value"))), F.when(last, "").otherwise("}}")
-    )
-    # A sound piece has a single '": {' after its key, no other brace, and parses to one entry.
-    inner = F.regexp_replace(F.regexp_replace(whole, r'^\{"', ""), r"\}\s*\}\s*$", "")
-    braces = F.length(inner) - F.length(F.translate(inner, "{}", ""))
-    parsed = F.from_json(whole, f"map<string,{value_type}>", {"mode": "PERMISSIVE"})
-    entries = F.map_entries(parsed)
-    empty = F.trim("value") == "{}"
-    return (
-        text.where(~empty)
-        .withColumn("entries", entries)
-        .withColumn("bad", F.coalesce((F.size("entries") != 1) | (braces != 1), F.lit(True)))
-        .withColumn("key", F.try_element_at("entries", F.lit(1))["key"])
-        .withColumn("value", F.try_element_at("entries", F.lit(1))["value"])
-        .select("key", "value", "bad", "file", "start", "place")
-    )
-
-
 def read_keyed_corpus(spark: SparkSession, path: str, fields: list[str] | str, splittable: bool = True) -> DataFrame:
     """``doc_id`` and typed field columns from ``{doc_id: {field: value}}``.
 

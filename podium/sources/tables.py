@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from podium.sources.records import QUOTED_LINES, read_records
+
 # The texts that a CSV reader of the pandas family takes for a missing value.
 NA_VALUES = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -23,15 +27,24 @@ def has_multiline_fields(spark: SparkSession, path: str | list[str], **options)
 def read_csv_text(spark: SparkSession, path: str | list[str], multi_line: bool | None = None, **options) -> DataFrame:
     """CSV with a header and doubled quotes, all columns as text.
 
-    ``multi_line`` reads a quoted line break as part of a field, but then no file can be split
-    between tasks. Left open, the files are checked first and split whenever possible.
+    A quoted line break is part of a field. The files are checked for them first; where there are any, lines are put
+    together to records in parallel, see ``records``. ``multi_line=False`` says that there are none, ``True`` reads
+    each file in one task. Several files have the columns of the first one.
     """
-    if multi_line is None:
-        multi_line = has_multiline_fields(spark, path, **options)
-    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line, **options)
+    if multi_line is None and has_multiline_fields(spark, path, **options):
+        return _read_csv_records(spark, path, options)
+    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=bool(multi_line), **options)
     return reader.csv(path)
 
 
+def _read_csv_records(spark: SparkSession, path: str | list[str], options: dict) -> DataFrame:
+    rows = read_records(spark, path, QUOTED_LINES, **options).withColumn("text", F.regexp_replace("text", r"\r\z", ""))
+    header = rows.where("first").orderBy("file").limit(1).collect()[0]["text"]
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in next(csv.reader([header], strict=True))])
+    fields = F.from_csv("text", schema.toDDL(), {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"})
+    return rows.where(~F.col("first") & (F.col("text") != "")).select(fields.alias("fields")).select("fields.*")
+
+
 def read_triplets(
     spark: SparkSession,
     path: str | list[str],

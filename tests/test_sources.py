@@ -127,12 +127,29 @@ def test_rewrite_csv_tree(spark, tmp_path):
     write(root / "ignored.txt", "image_local\n/x/9.jpg\n")
     counts = csv_tree.rewrite_csv_tree(spark, str(root), str(new_root), "/img//")
     assert tuple(counts.first()) == (4, 2)
-    written = {p.parent.name: p.read_text() for p in new_root.rglob("part-*.csv")}
+    written = {p.parent.name: p.read_text() for p in new_root.rglob("part-*")}
     assert written["source_file=a%2Fone.csv"] == '"id","image_local"\n"1","/img/1.jpg"\n"2","/img/2.jpg"\n'
     assert '"/img/3.jpg","two\nlines"' in next(t for name, t in written.items() if "two" in name)
     assert len(written) == 2
 
 
+def test_tree_of_many_layouts(spark, tmp_path):
+    """One pass for all: quotes, missing and surplus fields, Windows line ends; a file that ends inside quotes is left out."""
+    for k in range(8):
+        names = [f"c{j}" for j in range(k)] + ["image_local"]
+        row = ['"a ""b"", c"'] * k + ["/x/y.jpg"]
+        write(tmp_path / "in" / f"f{k}.csv", ",".join(names) + "\r\n" + ",".join(row) + "\r\n" + ",".join(row) + ",more\r\n,\r\n")
+    write(tmp_path / "in" / "bad.csv", 'image_local\n"/x/y.jpg\n')
+    counts = csv_tree.rewrite_csv_tree(spark, str(tmp_path / "in"), str(tmp_path / "out"), "/img")
+    assert tuple(counts.first()) == (9, 8)
+    written = {p.parent.name: p.read_text() for p in (tmp_path / "out").rglob("part-*")}
+    for k in range(8):
+        line = ",".join(['"a ""b"", c"'] * k + ['"/img/y.jpg"']) + "\n"
+        header = ",".join([f'"c{j}"' for j in range(k)] + ['"image_local"']) + "\n"
+        empty = ",".join(['""'] * (k + 1)) + "\n"
+        assert written[f"source_file=f{k}.csv"] == header + line * 2 + empty
+
+
 def test_rewrite_corpus_paths(spark, tmp_path):
     path = write(tmp_path / "c.json", json.dumps(CORPUS))
     csv_tree.rewrite_corpus_paths(spark, path, str(tmp_path / "new"), "/img", ["title", "image_local"])
