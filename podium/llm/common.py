@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+
+
+def _return_memory():
+    """Have this process give freed blocks back to the system at once, as its workers live on from stage to stage.
+
+    The C library otherwise raises the size from which it does so with every large block that is freed, and Arrow's own pool
+    keeps what it has. Where the C library has no such setting, nothing is changed.
+    """
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError):
+        return
+    for setting, value in ((-3, 4 << 20), (-1, 8 << 20), (-8, 2)):  # mmap threshold, trim threshold, arenas
+        mallopt(setting, value)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_return_memory()
+
 #: Bytes of text that a task holds as words and hashes at a time. A longer text is a block of its own.
 BLOCK_BYTES = 1_000_000
 
@@ -50,16 +70,16 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _RANDOM = np.random.default_rng(5)
 _BYTE_VALUES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE, INVERSE = 0x2545F4914F6CDD1D, pow(0x2545F4914F6CDD1D, -1, 2**64)
-_POWERS = {}
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """``base`` to the powers 0 to n - 1, modulo 2^64; kept for the next call."""
+    """``base`` to the powers 0 to n - 1, modulo 2^64; as many as a block of text needs are kept for the next call."""
     kept = _POWERS.get(base, np.ones(1, np.uint64))
     while len(kept) < n:
         step = pow(base, len(kept), 2**64)
         kept = np.concatenate([kept, kept * np.uint64(step)])
-    _POWERS[base] = kept if len(kept) <= 4 * BLOCK_BYTES else kept[: 4 * BLOCK_BYTES]
+    _POWERS[base] = kept if len(kept) <= BLOCK_BYTES else kept[:BLOCK_BYTES].copy()
     return kept[:n]
 
 

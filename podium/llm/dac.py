@@ -15,6 +15,7 @@ One file holds whole documents, one after the other, up to about ``file_tokens``
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,9 +34,9 @@ from podium.session import new_folder, ship_package
 MAGIC = b"PDAC0001"
 RANK_BITS = 512
 #: Ids in a file before it is closed; a task holds one file at a time.
-FILE_TOKENS = 2_000_000
-#: Distinct pieces of text whose ids a Python worker keeps.
-KEPT_PIECES = 1_000_000
+FILE_TOKENS = 1_000_000
+#: Distinct pieces of text whose ids a Python worker keeps, some 30 bytes each, and those that are encoded at a time.
+KEPT_PIECES, PORTION = 1_000_000, 4_000
 
 _CLASSES = np.zeros(256, np.uint8)
 _CLASSES[[*range(65, 91), *range(97, 123)]] = 1
@@ -60,43 +61,59 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
-    def _forget(self):
-        self.hashes = np.zeros(0, np.uint64)
-        self.starts = self.counts = np.zeros(0, np.int64)
-        self.ids = [np.zeros(0, np.uint32)]
-        self.size = 0
+    def _forget(self, keep: np.ndarray | None = None):
+        """Keep the pieces that are marked only."""
+        keep = np.zeros(0, np.int64) if keep is None else np.flatnonzero(keep)
+        hashes, counts, uses = (getattr(self, n)[keep] if len(keep) else np.zeros(0, k) for n, k in self.ARRAYS)
+        ids = self._ids(keep) if len(keep) else np.zeros(0, np.uint32)
+        self.hashes, self.counts, self.uses, self.ids = hashes, counts, uses // 2, ids
+        self.starts = (np.cumsum(counts) - counts).astype(np.int32)
+
+    ARRAYS = (("hashes", np.uint64), ("counts", np.int32), ("uses", np.int32))
+
+    def _ids(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the pieces at these places, one after the other."""
+        starts, counts = self.starts[at], self.counts[at]
+        within = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        return self.ids[np.repeat(starts, counts) + within]
 
     def direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]):
-        if len(self.hashes) + len(hashes) > KEPT_PIECES:
-            return False
-        found = self.direct(pieces)
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum()))
+    def _learn(self, hashes: np.ndarray, piece):
+        """Add pieces whose hashes are new and sorted; before there are too many, those that few blocks of text use go."""
+        if len(self.hashes) and len(self.hashes) + len(hashes) > KEPT_PIECES:
+            self._forget(self.uses > max(1, np.partition(self.uses, len(self.uses) // 2)[len(self.uses) // 2]))
+            if len(self.hashes) + len(hashes) > KEPT_PIECES:
+                self._forget()
+        counts, ids = [], []
+        for begin in range(0, len(hashes), PORTION):
+            found = self.direct(piece(slice(begin, begin + PORTION)))
+            counts.append(np.fromiter(map(len, found), np.int32, len(found)))
+            ids.append(np.fromiter((i for f in found for i in f), np.uint32, int(counts[-1].sum())))
+        counts = np.concatenate(counts)
         at = np.searchsorted(self.hashes, hashes)
-        self.starts = np.insert(self.starts, at, self.size + np.cumsum(counts) - counts)
-        self.counts = np.insert(self.counts, at, counts)
-        self.hashes = np.insert(self.hashes, at, hashes)
-        self.ids = [np.concatenate([*self.ids, flat])]
-        self.size += len(flat)
-        return True
+        starts = (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)
+        self.starts, self.counts = np.insert(self.starts, at, starts), np.insert(self.counts, at, counts)
+        self.hashes, self.uses = np.insert(self.hashes, at, hashes), np.insert(self.uses, at, 0)
+        self.ids = np.concatenate([self.ids, *ids])
 
     def _known(self, hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each of at most ``KEPT_PIECES`` pieces, and all ids; new pieces are learned."""
         distinct, first, slots = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
-        new = np.ones(len(distinct), bool) if not len(self.hashes) else self.hashes[at] != distinct
-        piece = lambda rows: [data[begins[i] : ends[i]].tobytes().decode() for i in first[rows]]
-        if new.any() and not self._learn(distinct[new], piece(new)):
-            self._forget()
-            self._learn(distinct, piece(np.ones(len(distinct), bool)))
-        at = np.searchsorted(self.hashes, distinct)
-        starts, counts = self.starts[at][slots], self.counts[at][slots]
-        total = int(counts.sum())
-        within = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-        return counts, self.ids[0][np.repeat(starts, counts) + within]
+        for turn in range(3):
+            at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
+            new = np.ones(len(distinct), bool) if not len(self.hashes) else self.hashes[at] != distinct
+            if not new.any():
+                break
+            if turn:  # pieces of this block had to go: only they are kept
+                self._forget()
+                new[:] = True
+            own = first[new]
+            self._learn(distinct[new], lambda some: [data[begins[i] : ends[i]].tobytes().decode() for i in own[some]])
+        self.uses[at] += 1
+        at = at[slots]
+        return self.counts[at], self._ids(at)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, and all ids; a null text has none."""
@@ -133,8 +150,10 @@ _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, independent: bool) -> Encoder:
-    """The encoder of this Python worker, which outlives a task."""
+    """The one encoder of this Python worker, which outlives a task."""
     if (path, independent) not in _ENCODERS:
+        _ENCODERS.clear()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         _ENCODERS[path, independent] = Encoder(path, independent)
     return _ENCODERS[path, independent]
 
