@@ -40,6 +40,8 @@ class LeakConfig:
 
 
 _BYTES = 500_000
+#: Words whose vectors are gathered at a time, so that they stay in the processor's cache.
+_WORDS = 1024
 
 
 def _buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -171,9 +173,9 @@ class Probes:
     def _sums(self, buckets: np.ndarray, units: np.ndarray, n: int) -> np.ndarray:
         """Sums of the vectors of words over their units, of which there are n."""
         out = np.zeros((n, self.table.shape[1]), np.float32)
-        for at in range(0, len(units), 50_000):
-            unit, first = np.unique(units[at : at + 50_000], return_index=True)
-            out[unit] += np.add.reduceat(self.table[buckets[at : at + 50_000]], first, axis=0)
+        for at in range(0, len(units), _WORDS):
+            unit, first = np.unique(units[at : at + _WORDS], return_index=True)
+            out[unit] += np.add.reduceat(self.table[buckets[at : at + _WORDS]], first, axis=0)
         return out
 
     @staticmethod
@@ -197,7 +199,7 @@ class Probes:
         places = starts[:, None] + np.arange(step)
         places[places >= ends[text][:, None]] = len(hashes)  # past the end of the text
         last, first = np.append(before, -1), []
-        for k in np.array_split(np.arange(len(starts)), len(starts) // 2000 + 1):
+        for k in np.array_split(np.arange(len(starts)), len(starts) * step // _WORDS + 1):
             fresh = last[places[k]] < starts[k][:, None]  # new in the unit
             first.append(self.table[np.where(fresh, buckets[places[k]], zeros)].sum(axis=1))
         vectors = np.concatenate(first)
