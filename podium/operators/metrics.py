@@ -1,10 +1,8 @@
 """Rank metrics for all cutoffs in one pass over the judged hits.
 
-Hits meet the judgments by (query, document) and the judged documents by document, and are then
-shuffled by query once for all windows and sums; Spark broadcasts a judgment side that it knows to be small. Running windows give each hit its share of every
-metric; shares are summed per (query, cutoff interval), at most 22 rows a query, and the
-cutoffs are cumulative sums over those intervals. The judgments enter through three joins that
-are all aggregated or keyed by (query, document) first, so a query with very many judgments
+Hits meet the judgments by (query, document) and the judged documents by document; then they are dealt out and sorted
+by query once, and a scan over Arrow batches adds up every metric's terms for all cutoffs (``ranked_sums``), one row per query. The
+judgments enter through joins that are all aggregated or keyed by (query, document) first, so a query with very many judgments
 is no single group anywhere.
 """
 
@@ -12,11 +10,14 @@ from __future__ import annotations
 
 from math import log2
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podium.config import CUTOFFS, RBP_PERSISTENCE
 from podium.operators.judge import judge_run, judged_docs
+from podium.operators.ranked_sums import AT_CUTOFF, list_sums, whole_lists
+from podium.session import ship_package
 
 EVALUATED_METRICS = ("NDCG", "MAP", "Recall", "P")
 CUTOFF_METRICS = (*EVALUATED_METRICS, "MRR", "Hole", "Accuracy")
@@ -76,14 +77,22 @@ def query_stats(qrels: DataFrame, ks: list[int], by: tuple[str, ...] = ()) -> Da
     )
 
 
+def _checked(ties: str) -> str:
+    if ties not in ("reference", "stable", "trec"):
+        raise ValueError(f"ties must be one of {['reference', 'stable', 'trec']}")
+    return ties
+
+
+def _orders(ties: str) -> tuple[list[Column], list[Column]]:
+    """Orders of the (NDCG, MAP, Recall, P) family and of the others, self hits left aside."""
+    stored, by_doc = [F.desc("score"), F.asc("rank")], [F.desc("score"), F.desc("doc_id")]
+    return {"reference": (by_doc, stored), "stable": (stored, stored), "trec": (by_doc, by_doc)}[_checked(ties)]
+
+
 def _places(ties: str, keys: list[str]) -> tuple[Window, Window]:
-    """Orders of the (NDCG, MAP, Recall, P) family and of the others. Self hits come last."""
-    stored = Window.partitionBy(*keys).orderBy("_self", F.desc("score"), F.asc("rank"))
-    by_doc = Window.partitionBy(*keys).orderBy("_self", F.desc("score"), F.desc("doc_id"))
-    orders = {"reference": (by_doc, stored), "stable": (stored, stored), "trec": (by_doc, by_doc)}
-    if ties not in orders:
-        raise ValueError(f"ties must be one of {sorted(orders)}")
-    return orders[ties]
+    """The same as windows, in which self hits come last."""
+    gain, read = (Window.partitionBy(*keys).orderBy("_self", *order) for order in _orders(ties))
+    return gain, (gain if ties != "reference" else read)
 
 
 def judged_hits(run: DataFrame, qrels: DataFrame, ties: str = "reference", by: tuple[str, ...] = ()) -> DataFrame:
@@ -132,23 +141,18 @@ def _interval(place: str, ks: list[int]) -> Column:
 
 
 def _results(ks: list[int], whole: dict[str, str]) -> Column:
-    """One struct per cutoff, from the sums of the intervals (``parts``), and one for the whole list.
+    """One struct per cutoff, from the sums of a list at that cutoff, and one for the whole list.
 
     The latter has no ``k``. A struct leaves the metrics of the other kind null.
     """
-
-    def upto(name):
-        return f"aggregate(filter(parts, p -> p.interval <= i), 0D, (total, p) -> total + p.{name})"
-
-    first = "array_min(transform(filter(parts, p -> p.interval <= i), p -> p.first))"
     at_k = {
-        "NDCG": f"if(ideal[i] > 0, {upto('dcg')} / ideal[i], 0D)",
-        "MAP": f"if(n_relevant > 0, {upto('precision')} / n_relevant, 0D)",
-        "Recall": f"if(n_relevant > 0, {upto('found')} / n_relevant, 0D)",
-        "P": f"{upto('found')} / k",
-        "MRR": f"coalesce(1 / {first}, 0D)",
-        "Hole": f"{upto('hole')} / k",
-        "Accuracy": f"double({first} IS NOT NULL)",
+        "NDCG": "if(ideal[i] > 0, dcg[i] / ideal[i], 0D)",
+        "MAP": "if(n_relevant > 0, precision[i] / n_relevant, 0D)",
+        "Recall": "if(n_relevant > 0, found[i] / n_relevant, 0D)",
+        "P": "found[i] / k",
+        "MRR": "coalesce(if(first <= k, 1 / first, 0D), 0D)",
+        "Hole": "coalesce(hole[i] / k, 0D)",
+        "Accuracy": "coalesce(double(first <= k), 0D)",
     }
     at_k = {n: f"if(evaluated, {v}, double(null))" if n in EVALUATED_METRICS else v for n, v in at_k.items()}
 
@@ -160,54 +164,35 @@ def _results(ks: list[int], whole: dict[str, str]) -> Column:
     return F.expr(f"concat({cutoffs}, array({struct('int(null)', whole)}))")
 
 
+def _summed(hits: DataFrame, stats: DataFrame, keys: list[str], ks: list[int], ps, ties: str) -> DataFrame:
+    """Per list its sums at every cutoff: hits are dealt out and sorted by list once, then scanned."""
+    _, read_order = _orders(ties)
+    ship_package(hits.sparkSession)
+    hits = hits.repartition(*keys).join(stats, keys)
+    columns = [*keys, "_self", "score", "doc_id", "rel", "hole", "max_rel"]
+    ordered = hits.sortWithinPartitions(*keys, "_self", *read_order).select(*columns)
+    by_document = ties == "reference"  # the reading order is by stored rank
+
+    def scan(batches):
+        for table in whole_lists(batches, keys):
+            yield pa.RecordBatch.from_pydict(list_sums(table, keys, ks, list(ps), by_document))
+
+    kinds = [f"`{k}` {ordered.schema[k].dataType.simpleString()}" for k in keys]
+    kinds += [f"{name} array<double>" for name in AT_CUTOFF] + ["first double", "err double"]
+    return ordered.mapInArrow(scan, ", ".join([*kinds, *(f"rbp{i} double" for i in range(len(ps)))]))
+
+
 def _wide_metrics(run: DataFrame, qrels: DataFrame, ks, ps, ties: str, by: tuple[str, ...]) -> DataFrame:
     """``(*by, query_id, k, <one column per metric>)``: a row per cutoff and one for the whole list."""
     ks = sorted(ks or CUTOFFS)
     keys = [*by, "query_id"]
     qrels = checked_grades(qrels)
     stats = query_stats(qrels, ks, by)
-    hits = _running(_graded(run, qrels, by), stats.select(*keys, "max_rel"), ties, keys)
-
-    share = {
-        "dcg": F.col("rel") / F.log2(F.col("gain_place") + 1),
-        "found": F.col("relevant"),
-        "precision": F.when(F.col("relevant") == 1, F.col("hits_so_far") / F.col("gain_place")).otherwise(0.0),
-    }
-    read = {
-        "hole": F.col("hole"),
-        "first": F.when(F.col("relevant") == 1, F.col("place")),
-        "err": F.col("reach") * F.col("stop") / F.col("place"),
-    }
-    norm = F.when(F.col("max_rel") > 0, F.col("rel") / F.col("max_rel")).otherwise(0.0)
-    for p in ps:
-        read[rbp_name(p)] = norm * F.pow(F.lit(float(p)), F.col("place") - 1)
-    gain_row = F.struct(
-        _interval("gain_place", ks).alias("interval"),
-        *[c.cast("double").alias(n) for n, c in share.items()],
-        *[F.lit(None).cast("double").alias(n) for n in read],
-    )
-    read_row = F.struct(
-        _interval("place", ks).alias("interval"),
-        *[F.lit(None).cast("double").alias(n) for n in share],
-        *[c.cast("double").alias(n) for n, c in read.items()],
-    )
-    rows = hits.select(*keys, F.explode(F.array(gain_row, read_row)).alias("row")).select(*keys, "row.*")
-    sums = [n for n in (*share, *read) if n != "first"]
-    intervals = rows.groupBy(*keys, "interval").agg(
-        *[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in sums], F.min("first").alias("first")
-    )
-    whole = ["err", *[rbp_name(p) for p in ps]]
-    parts = intervals.groupBy(*keys).agg(
-        F.collect_list(F.struct("interval", "dcg", "found", "precision", "hole", "first")).alias("parts"),
-        *[F.sum(n).alias(n) for n in whole],
-    )
-
-    scale = {"err": ("ERR", 1.0), **{rbp_name(p): (rbp_name(p), 1 - p) for p in ps}}
-    lists = {name: f"coalesce({column} * {factor!r}D, 0D)" for column, (name, factor) in scale.items()}
+    sums = _summed(_graded(run, qrels, by), stats.select(*keys, "max_rel"), keys, ks, ps, ties)
+    lists = {"ERR": "coalesce(err, 0D)"} | {rbp_name(p): f"coalesce(rbp{i} * {1 - p!r}D, 0D)" for i, p in enumerate(ps)}
     return (
-        stats.join(parts, keys, "left")
-        .withColumn("evaluated", F.col("parts").isNotNull())
-        .withColumn("parts", F.coalesce("parts", F.array()))
+        stats.join(sums, keys, "left")
+        .withColumn("evaluated", F.col("dcg").isNotNull())
         .select(*keys, F.explode(_results(ks, lists)).alias("result"))
         .select(*keys, "result.*")
     )
