@@ -145,15 +145,20 @@ def scan(
         F.size(F.filter(sentences(text), lambda s: F.trim(s) != "")).cast("long").alias("n_sentences"),
         F.transform(hits, lambda s: names[_joined(s)]).alias("sentence_ids"),
     )
-    line = F.concat(F.lit(" "), F.array_join("sentence_ids", " "), F.lit(" "))
-    pattern = lambda ids: " " + " (?:.* )?".join(i.replace(".", r"\.") for i in ids) + " "
+
+    def occurs(ids):
+        """Whether the identifiers stand in this order among those of the text: one pass that waits for the next of them."""
+        wanted = F.array(*map(F.lit, ids))
+        step = lambda at, found: F.when((at < len(ids)) & (F.get(wanted, at) == found), at + 1).otherwise(at)
+        return F.aggregate("sentence_ids", F.lit(0), step) == len(ids)
+
     includes = lambda big, small: len(big) > len(small) and list(small) == [i for i in big if i in small]
     hits = []
     for name, licence, ids in rules:
-        hit = line.rlike(pattern(ids))
+        hit = occurs(ids)
         for _, other, more in rules:
             if other == licence and includes(more, ids):
-                hit = hit & ~line.rlike(pattern(more))
+                hit = hit & ~occurs(more)
         hits.append(F.when(hit, F.struct(F.lit(name).alias("rule"), F.lit(licence).alias("license"))))
     matched = F.filter(F.array(*hits), lambda h: h.isNotNull()) if hits else F.array().cast("array<struct<rule:string,license:string>>")
     rows = rows.withColumn("matched", F.when(F.size("sentence_ids") > 0, matched).otherwise(F.slice(matched, 1, 0)))

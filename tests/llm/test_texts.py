@@ -291,3 +291,14 @@ def test_longest_common_sequence():
             for j, y in enumerate(b):
                 table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
         assert decontaminate.longest_common(decontaminate._masks(a), len(a), b) == table[-1, -1]
+
+
+def test_repeated_notices_take_linear_time(spark):
+    """A rule that never completes, begun thousands of times."""
+    import time
+
+    notice = "Licensed under the Apache License, Version 2.0.\nyou may not use this file except in compliance with the License.\n"
+    rows = spark.createDataFrame([(1, notice * 4000), (2, notice + "You may obtain a copy of the License at\n")], "doc_id long, text string")
+    start = time.time()
+    found = {r.doc_id: r.rules for r in licenses.scan(rows).collect()}
+    assert found == {1: ["apache-notice"], 2: ["apache-header"]} and time.time() - start < 30
