@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -38,13 +39,15 @@ AFTER_SVG = set("b big br code em embed hr i img nobr ruby s small span strong s
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"})}
 _CLOSES |= {"tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_SHIELDS_HEAD = HIDDEN | {"foreignobject", "desc"}
 
 
 class Page(HTMLParser):
     """Block elements in page order, and the runs of text between their borders.
 
     ``parent``, ``tag`` and ``tokens`` have an entry per block element, the first of which stands for
-    the page. ``runs`` are (element, text, characters in links): what no block begins or ends in.
+    the page. ``runs`` are (element, text, characters in links): what no block begins or ends in. The places of the
+    open elements are kept by name, so a tag costs the same however many elements are open.
     """
 
     def __init__(self, html: str):
@@ -52,32 +55,67 @@ class Page(HTMLParser):
         self.parent, self.tag, self.tokens = [-1], ["html"], [()]
         self.runs: list[list] = []
         self.open: list[tuple[str, int]] = [("html", 0)]  # elements, with the block each is in
+        self.places: dict[str, list[int]] = {}  # by name, of the open elements
+        self.shields: list[int] = []  # places of what a drawing or a head may not be ended through, but for titles
         self.hidden = self.links = 0
         self.body = False  # whether its tag has been seen
         self.fresh = True
-        self.feed(html)
+        self.endless: dict[str, int] = {}  # by kind of declaration, the first place from which none of them ends
+        tagged = html.rfind(">") + 1  # no tag ends behind it
+        self.feed(html[:tagged])
+        self.endless.clear()  # places are counted anew
         self.close()
+        self.handle_data(unescape(html[tagged:]))
+
+    def parse_comment(self, i, report=1):
+        return self._declaration("comment", super().parse_comment, i, report)
+
+    def parse_marked_section(self, i, report=1):
+        return self._declaration("section", super().parse_marked_section, i, report)
+
+    def _declaration(self, kind, parse, i, report):
+        """Looks for the end only where it has not been missed before, which would take time for each that is open."""
+        if i >= self.endless.get(kind, i + 1):
+            return -1
+        end = parse(i, report)
+        if end < 0:
+            self.endless[kind] = i
+        return end
+
+    def _push(self, tag: str, block: int):
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in _SHIELDS_HEAD and tag != "title":
+            self.shields.append(len(self.open))
+        self.hidden += tag in HIDDEN
+        self.links += tag == "a"
+        self.open.append((tag, block))
 
     def _pop(self, place: int):
         for tag, _ in self.open[place:]:
+            self.places[tag].pop()
             self.hidden -= tag in HIDDEN
             self.links -= tag == "a"
             self.fresh |= tag in BLOCKS
+        while self.shields and self.shields[-1] >= place:
+            self.shields.pop()
         del self.open[place:]
 
+    def _last(self, tags) -> int:
+        """The place of the innermost open element of these names, 0 if there is none."""
+        return max((places[-1] for tag in tags if (places := self.places.get(tag))), default=0)
+
     def _end_hidden(self, tag):
         """Close a head or a drawing whose end tag is left out, where ``tag`` or text (None) cannot be in it."""
-        for place in range(len(self.open) - 1, 0, -1):
-            name = self.open[place][0]
-            if name == "head" and tag not in IN_HEAD or name == "svg" and (tag in BLOCKS or tag in AFTER_SVG):
-                return self._pop(place)
-            if name in HIDDEN and not (name == "title" and tag in BLOCKS) or name in ("foreignobject", "desc"):
-                return None
+        place = self.shields[-1] if self.shields else 0
+        if not place or tag not in BLOCKS and self._last(("title",)) > place:
+            return
+        name = self.open[place][0]
+        if name == "head" and tag not in IN_HEAD or name == "svg" and (tag in BLOCKS or tag in AFTER_SVG):
+            self._pop(place)
 
     def _end_all_hidden(self):
-        for place in range(1, len(self.open)):
-            if self.open[place][0] in HIDDEN:
-                return self._pop(place)
+        if self.hidden:
+            self._pop(min(places[0] for tag in HIDDEN if (places := self.places.get(tag))))
 
     def handle_starttag(self, tag, attrs):
         if tag == "body" and not self.body:
@@ -105,23 +143,18 @@ class Page(HTMLParser):
             self.tag.append(tag)
             self.tokens.append((tokens, hidden))
             block, self.fresh = len(self.tag) - 1, True
-        self.hidden += tag in HIDDEN
-        self.links += tag == "a"
-        self.open.append((tag, block))
+        self._push(tag, block)
 
     def _close_open(self, tags, shields):
-        for place in range(len(self.open) - 1, 0, -1):
-            if self.open[place][0] in tags:
-                return self._pop(place)
-            if self.open[place][0] in shields:
-                return None
+        place = self._last(tags)
+        if place > self._last(shields):
+            self._pop(place)
 
     def handle_endtag(self, tag):
         if tag in ("html", "body"):
             return self._end_all_hidden()
-        for place in range(len(self.open) - 1, 0, -1):
-            if self.open[place][0] == tag:
-                return self._pop(place)
+        if place := self._last((tag,)):
+            self._pop(place)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)

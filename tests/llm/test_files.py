@@ -305,3 +305,25 @@ def test_decoding_is_the_best_choice():
             if c[0] and all(not c[i] or c[parent[i]] for i in range(1, n))
         )
         assert np.isclose(gain[keep].sum(), best) and all(not keep[i] or keep[parent[i]] for i in range(1, n))
+
+
+def test_pages_of_open_or_unmatched_tags_take_linear_time():
+    from time import monotonic
+
+    from podium.llm.dom import Page
+
+    begin = monotonic()
+    for html in (
+        "<div>" * 200_000 + "end", "<span>" * 50_000 + "</b>" * 150_000 + "end", "<svg>" + "<g>" * 300_000 + "</svg>end",
+        "<!-- >" * 150_000 + "end", "<!--" * 250_000 + "end", "<a b='" * 150_000 + "end",
+    ):
+        assert Page(html).texts()[-1][1].endswith("end")
+    assert monotonic() - begin < 60
+
+
+def test_text_behind_the_last_tag_is_kept():
+    from podium.llm.dom import Page
+
+    assert [text for _, text, _ in Page("<p>a<div>b</div>c &amp; d").texts()] == ["a", "b", "c & d"]
+    assert [text for _, text, _ in Page("5 &lt; 6 and no tag").texts()] == ["5 < 6 and no tag"]
+    assert [text for _, text, _ in Page("<p>a<!-- b --><p>c<!-- d <b>e").texts()][0] == "a"
