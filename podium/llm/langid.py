@@ -3,8 +3,9 @@
 A text is lower-cased; everything but letters becomes a space, and runs of spaces one. Its
 subwords are all sequences of 2, 3 and 4 bytes of the rest, hashed into ``buckets``. The mean of
 their embeddings goes through a linear layer and a softmax. Embeddings and layer are learned by
-stochastic gradient descent on a bounded sample of labelled rows; another part of the sample sets
-the temperature of the softmax and the score under which a text is rejected.
+stochastic gradient descent on a bounded sample of labelled rows. Besides the languages there is a class for
+what is none of them: texts with their letters shuffled, and subwords drawn at random. Another part of the sample sets
+the temperature of the softmax, and the chance to be in any language below which a text is rejected.
 """
 
 from __future__ import annotations
@@ -34,14 +35,15 @@ class LanguageConfig:
     batch: int = 64
     rate: float = 2.0
     seed: int = 11
-    reject_share: float = 0.001  # of the calibration rows, at most
-    reject_below: float = 0.5  # never rejected from this score on
+    shuffled: int = 3  # every third row of the sample is shuffled too; as many rows are drawn at random
+    reject_share: float = 0.002  # of the calibration rows, at most
+    reject_below: float = 0.5  # never rejected from this chance on
 
 
 @dataclass(frozen=True)
 class LanguageModel:
     languages: list[str]
-    table: np.ndarray  # buckets x languages: embeddings times layer
+    table: np.ndarray  # buckets x (languages, none of them): embeddings times layer
     bias: np.ndarray
     temperature: float
     reject_below: float
@@ -94,23 +96,35 @@ def mean_logits(texts: pa.Array, table: np.ndarray, bucket_bits: int) -> np.ndar
     return total / np.maximum(count, 1)[:, None]
 
 
-def _counted(labelled: DataFrame, bucket_bits: int) -> DataFrame:
-    """For each row (draw, doc_id, lang, text), the buckets of its subwords and how often each occurs."""
-    n = 2**bucket_bits
+def _shares(data: np.ndarray, n: int) -> tuple[bytes, bytes]:
+    """The buckets of a text's subwords, and how often each occurs, scaled if that is more than 16 bits hold."""
+    found = sum(np.bincount(x, minlength=n) for x in subwords(data, n.bit_length() - 1))
+    keys = np.flatnonzero(found)
+    times = np.ceil(found[keys] / max(1.0, found.max() / 65535))
+    return keys.astype("<u4" if n > 65536 else "<u2").tobytes(), times.astype("<u2").tobytes()
+
+
+def _counted(labelled: DataFrame, config: LanguageConfig) -> DataFrame:
+    """For each row (draw, doc_id, lang, text), its buckets and how often each occurs; for some also those of its letters shuffled."""
+    n = 2**config.bucket_bits
 
     def count(batches):
         for batch in blocks(batches, "text"):
             data, offsets = folded(batch.column("text"))
-            keys, times = [], []
-            for a, b in zip(offsets[:-1], offsets[1:]):
-                found = sum(np.bincount(x, minlength=n) for x in subwords(data[a:b], bucket_bits))
-                keys.append(np.flatnonzero(found).astype("<u4" if n > 65536 else "<u2"))
-                times.append(np.minimum(found[keys[-1]], 65535).astype("<u2").tobytes())
-            columns = [pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(times, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["draw", "doc_id", "lang", "keys", "times"])
+            plain, mixed = [], []
+            for draw, a, b in zip(batch.column("draw").to_pylist(), offsets[:-1], offsets[1:]):
+                plain.append(_shares(data[a:b], n))
+                dice = np.random.default_rng(draw % 2**63)
+                mixed.append(_shares(dice.permutation(data[a:b]), n) if draw % config.shuffled == 0 else (None, None))
+            columns = [pa.array(c, pa.binary()) for c in (*zip(*plain), *zip(*mixed))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], *columns], ["draw", "doc_id", "lang", "keys", "times", "shuffled_keys", "shuffled_times"]
+            )
 
     kind = dict(labelled.dtypes)["doc_id"]
-    return labelled.mapInArrow(count, f"draw long, doc_id {kind}, lang string, keys binary, times binary")
+    return labelled.mapInArrow(
+        count, f"draw long, doc_id {kind}, lang string, keys binary, times binary, shuffled_keys binary, shuffled_times binary"
+    )
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -122,7 +136,9 @@ def train(labelled: DataFrame, config: LanguageConfig = LanguageConfig()) -> Lan
     """Learn from rows (text, lang) with both; ``labelled`` also has a unique ``doc_id`` to draw by.
 
     The ``config.sample`` rows with the smallest hash of ``doc_id`` are taken; only their subword
-    counts, at most ``2 ** bucket_bits`` pairs each, reach the driver.
+    counts, at most ``2 ** bucket_bits`` pairs each, reach the driver. Rows without a language or any subword
+    are left out. Without rows the model knows no language, and every text is ``und``; with one language,
+    a text is in it or rejected. Equal ids are ordered by their counts; repeated rows count as often as they are.
     """
     ship_package(labelled.sparkSession)
     labelled = labelled.where("lang is not null")
@@ -130,33 +146,46 @@ def train(labelled: DataFrame, config: LanguageConfig = LanguageConfig()) -> Lan
     # about twice the sample by a share of the hashes, then the sample by order
     most = int(-(2**63) + 2**64 * 2 * config.sample / number) if number > 2 * config.sample else 2**63 - 1
     drawn = labelled.select(F.xxhash64(F.col("doc_id"), F.lit(config.seed)).alias("draw"), "doc_id", "lang", "text")
-    drawn = _counted(drawn.where(F.col("draw") <= most), config.bucket_bits)
-    drawn = drawn.orderBy("draw", "doc_id", "keys").limit(config.sample).select("lang", "keys", "times")
+    drawn = _counted(drawn.where(F.col("draw") <= most), config)
+    drawn = drawn.orderBy("draw", "doc_id", "keys").limit(config.sample).drop("draw", "doc_id")
     kind = "<u4" if config.bucket_bits > 16 else "<u2"
-    rows = [(r["lang"], np.frombuffer(r["keys"], kind), np.frombuffer(r["times"], "<u2")) for r in drawn.collect()]
-    rows = [r for r in rows if len(r[1])]
-    languages = sorted({r[0] for r in rows})
-    if not languages:
-        raise ValueError("no labelled text to learn from")
-    y = np.array([languages.index(r[0]) for r in rows])
-    held = np.arange(len(rows)) % config.calibrate == 0 if len(rows) >= 8 * config.calibrate else np.zeros(len(rows), bool)
+    rows, shuffled = [], []
+    for r in drawn.collect():
+        if r["keys"]:
+            rows.append((r["lang"], np.frombuffer(r["keys"], kind), np.frombuffer(r["times"], "<u2")))
+            if r["shuffled_keys"]:
+                shuffled.append((None, np.frombuffer(r["shuffled_keys"], kind), np.frombuffer(r["shuffled_times"], "<u2")))
+    n, languages = 2**config.bucket_bits, sorted({r[0] for r in rows})
+    k = len(languages)
+    if not k:
+        return LanguageModel([], np.zeros((n, 1), np.float32), np.zeros(1, np.float32), 1.0, config.reject_below)
     rng = np.random.default_rng(config.seed)
-    n, k = 2**config.bucket_bits, len(languages)
-    embed = rng.normal(0, 0.1, (n, config.width)).astype(np.float32)
-    layer, bias = rng.normal(0, 0.1, (config.width, k)).astype(np.float32), np.zeros(k, np.float32)
 
-    def dense(some):
+    def foreign(number: int) -> list:
+        """Rows of buckets drawn at random, half of them as many as some row of the sample has, half a few."""
+        sizes = [len(rows[i][1]) if i % 2 else 1 + i % 30 for i in rng.integers(0, len(rows), number)]
+        return [(None, rng.integers(0, n, size), rng.geometric(0.5, size)) for size in sizes]
+
+    def dense(some: list) -> np.ndarray:
         x = np.zeros((len(some), n), np.float32)
-        for i, j in enumerate(some):
-            x[i, rows[j][1]] = rows[j][2] / rows[j][2].sum()
+        for i, (_, keys, times) in enumerate(some):
+            np.add.at(x[i], keys, times / times.sum())
         return x
 
-    weight = len(rows) / (k * np.maximum(np.bincount(y, minlength=k), 1))  # all languages weigh the same
+    place = {lang: i for i, lang in enumerate(languages)} | {None: k}
+    held = lambda kept: [r for i, r in enumerate(kept) if i % config.calibrate == 0] if len(rows) >= 8 * config.calibrate else kept
+    used = lambda kept: [r for i, r in enumerate(kept) if i % config.calibrate] if len(rows) >= 8 * config.calibrate else kept
+    embed = rng.normal(0, 0.1, (n, config.width)).astype(np.float32)
+    layer, bias = rng.normal(0, 0.1, (config.width, k + 1)).astype(np.float32), np.zeros(k + 1, np.float32)
+    learned, outside = used(rows), used(shuffled)
     for epoch in range(config.epochs):
         step = config.rate * (1 - epoch / config.epochs)
-        order = rng.permutation(np.flatnonzero(~held))
+        all_rows = learned + outside + foreign(len(learned) // config.shuffled + 1)
+        y = np.array([place[r[0]] for r in all_rows])
+        weight = len(y) / ((k + 1) * np.maximum(np.bincount(y, minlength=k + 1), 1))  # all classes weigh the same
+        order = rng.permutation(len(y))
         for some in np.array_split(order, max(1, len(order) // config.batch)):
-            x = dense(some)
+            x = dense([all_rows[i] for i in some])
             hidden = x @ embed
             error = _softmax(hidden @ layer + bias)
             error[np.arange(len(some)), y[some]] -= 1
@@ -166,11 +195,13 @@ def train(labelled: DataFrame, config: LanguageConfig = LanguageConfig()) -> Lan
             bias -= step * error.sum(axis=0)
             embed -= step * len(some) * (x.T @ back)
     table = embed @ layer
-    check = np.flatnonzero(held) if held.any() else np.arange(len(rows))
-    logits = np.concatenate([dense(some) @ table for some in np.array_split(check, max(1, len(check) // config.batch))]) + bias
-    losses = {t: -np.log(_softmax(logits / t)[np.arange(len(check)), y[check]] + 1e-12).mean() for t in np.geomspace(0.05, 20, 61)}
+    own, others = held(rows), held(shuffled)
+    check = own + others + foreign(len(others) + 1)
+    y = np.array([place[r[0]] for r in check])
+    logits = np.concatenate([dense(check[i : i + config.batch]) @ table for i in range(0, len(check), config.batch)]) + bias
+    losses = {t: -np.log(_softmax(logits / t)[np.arange(len(check)), y] + 1e-12).mean() for t in np.geomspace(0.05, 20, 61)}
     temperature = min(losses, key=lambda t: (round(losses[t], 6), abs(np.log(t))))
-    scores = np.sort(_softmax(logits / temperature).max(axis=1))
+    scores = np.sort(1 - _softmax(logits[: len(own)] / temperature)[:, k])
     threshold = min(config.reject_below, float(scores[int(config.reject_share * len(scores))]))
     return LanguageModel(languages, table.astype(np.float32), bias, float(temperature), threshold)
 
@@ -179,8 +210,8 @@ def identified(documents: DataFrame, model: LanguageModel, text_column: str = "t
     """The documents in a struct ``row``, with lang_pred, score (0 to 1) and rejected.
 
     A text that is null, empty or without letters is ``und`` with score 0 and rejected; so is, under its
-    best language, one whose calibrated score is below the model's threshold. Equal scores give the
-    first language by name. Texts of any length count whole, and repeated rows are all kept.
+    best language, one whose calibrated chances of all languages together are below the model's threshold. Equal scores give the
+    first language by name. A model without languages gives ``und`` for all. Texts of any length count whole, and repeated rows are all kept.
     """
     ship_package(documents.sparkSession)
     bits, place = int(len(model.table)).bit_length() - 1, documents.columns.index(text_column)
@@ -195,11 +226,11 @@ def identified(documents: DataFrame, model: LanguageModel, text_column: str = "t
             for piece in blocks([part], "text", 2_000_000):
                 texts = pc.fill_null(piece.column("text"), "")
                 chances = _softmax((mean_logits(texts, own.table, bits) + own.bias) / own.temperature)
-                best = chances.argmax(axis=1)
-                letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
+                best = chances[:, : len(own.languages)].argmax(axis=1) if own.languages else np.zeros(len(texts), int)
+                letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False) & bool(own.languages)
                 score = np.where(letters, chances[np.arange(len(best)), best], 0.0)
-                named = pa.array(np.where(letters, np.array(own.languages, object)[best], "und"), pa.string())
-                rejected = pa.array(~letters | (score < own.reject_below))
+                named = pa.array(np.where(letters, np.array([*own.languages, "und"], object)[best], "und"), pa.string())
+                rejected = pa.array(~letters | (1 - chances[:, -1] < own.reject_below))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("row"), named, pa.array(score), rejected], ["row", "lang_pred", "score", "rejected"]
                 )

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from podium.llm import decontaminate, langid, licenses, mixing
 from podium.llm.queries import QUERIES, TARGETS
@@ -126,6 +127,48 @@ def test_an_ambiguous_sentence_is_an_error(spark):
         licenses.known_sentences(spark, {"a": ["Same text."], "b": ["same  TEXT"]})
 
 
+def test_language_rejects_what_is_no_language(spark, sf_dir):
+    documents = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    model = langid.train(langid.learning_rows(documents))
+    strange = ["xqz vvkw jjq zzx", "これは日本語のテキストです", "Это русский текст о погоде", "aaaa", "这是中文", "zxcv qwrt plkj mnbv hgfd", "12 34", None]
+    known = ["Und der das nicht mit", "le la les et des que", "the and of to in that"]
+    rows = spark.createDataFrame(list(enumerate(strange + known)), "doc_id long, text string")
+    found = [r.rejected for r in langid.identify(rows, model).orderBy("doc_id").collect()]
+    assert found == [True] * len(strange) + [False] * len(known)
+    assert langid.identify(documents, model).where("rejected").isEmpty()
+
+
+def test_language_equals_plain_prediction(spark, sf_dir, model):
+    """Each subword by itself, without any of the operator's array code."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy(F.length("text")).limit(40).select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows), model).collect()}
+    bits = len(model.table).bit_length() - 1
+    for doc_id, text in rows:
+        kept = bytes(c if 97 <= c <= 122 or c > 127 else 32 for c in (" " + text.lower()).encode())
+        kept = b" ".join(p for p in kept.split(b" ") if p)
+        kept = (b" " + kept + (b" " if not (text[-1].isalpha() or ord(text[-1]) > 127) else b"")) if kept else b" "
+        total, number = np.zeros(len(model.bias)), 0
+        for size in (2, 3, 4):
+            for at in range(len(kept) - size + 1):
+                value = 0
+                for c in kept[at : at + size]:
+                    value = (value * 257 + c) % 2**32
+                bucket = ((value * 2654435769 + size * 40503) * 2246822519) % 2**32 >> (32 - bits)
+                total, number = total + model.table[bucket], number + 1
+        z = (total / max(number, 1) + model.bias) / model.temperature
+        chances = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        best = int(chances[:-1].argmax())
+        assert got[doc_id].lang_pred == model.languages[best] and abs(got[doc_id].score - chances[best]) < 1e-4
+
+
+def test_language_without_labels(spark, odd_documents, no_documents):
+    none = langid.train(no_documents.select("doc_id", "lang", "text"))
+    rows = langid.identify(odd_documents, none).collect()
+    assert len(rows) == odd_documents.count() and {(r.lang_pred, r.score, r.rejected) for r in rows} == {("und", 0.0, True)}
+    unlabelled = langid.train(odd_documents.selectExpr("doc_id", "cast(null as string) as lang", "text"))
+    assert unlabelled.languages == [] and langid.identified(no_documents, unlabelled).collect() == []
+
+
 def test_mixing_reaches_targets(spark, sf_dir):
     rows = QUERIES["op3_source_mixing"](spark, sf_dir).collect()
     p, t, r = np.array([x.posterior for x in rows]), np.array([x.n_tokens for x in rows]), np.array([x.rate for x in rows])
