@@ -4,9 +4,9 @@ A softmax classifier over hashed words and the style of the writing, learned fro
 gives each document a posterior over the domains. The expected tokens of a domain are the sum of rate x tokens x posterior over all
 documents. Projected gradient descent finds rates of at least 0 that bring these sums to the
 targets, in weighted least squares. A document's rate follows from its posterior and the gradients
-of all steps, which are a few numbers each; a step is one aggregation over the stored posteriors, and
-no rates are moved. Where the descent does not come within the tolerance, one more step of the same form is solved for by Newton's
-method: of the rates that do, about those that are closest to what the descent reached. Targets that no rates come to are reported.
+of all steps, which are a few numbers each; a step is one aggregation over the stored posteriors. Step lengths are
+those of Barzilai and Borwein, the long and the short one by turns, which follow from the last step and the change of the
+gradient. Targets that are not reached are reported.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ class MixConfig:
     chosen: int = 1000  # buckets that tell domains apart best
     epochs: int = 300  # over the whole sample
     decay: float = 1e-4
-    steps: int = 40  # of projected gradient descent, at most
+    steps: int = 200  # of projected gradient descent, at most
+    stored: int = 20  # steps after which the rates reached are stored, so that later ones go on from them
     tolerance: float = 1e-3  # of the total tokens, in every domain
     seed: int = 7
 
@@ -76,7 +77,8 @@ def learn_domains(documents: DataFrame, known: DataFrame, config: MixConfig = Mi
 
     At most ``config.sample`` rows of ``known`` are used, drawn by a hash of doc_id; documents that are
     not there any more are not replaced. Only the distinct features of these documents reach the
-    driver. The buckets with the largest chi-square against the domains are used, and all styles.
+    driver. The buckets with the largest chi-square against the domains are used, and all styles. Without a
+    labelled document there are no domains. Null texts have no words; rows that repeat an id each count.
     """
     ship_package(documents.sparkSession)
     bits, n = config.bucket_bits, (1 << config.bucket_bits) + 3 * _STYLES
@@ -101,7 +103,7 @@ def learn_domains(documents: DataFrame, known: DataFrame, config: MixConfig = Mi
     counted = labelled.mapInArrow(count, f"doc_id {kind}, draw long, domain string, keys binary")
     sample = counted.orderBy("draw", "doc_id", "keys").limit(config.sample).select("domain", "keys").collect()
     if not sample:
-        raise ValueError("no labelled document to learn from")
+        return Domains([], np.full(n, -1), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
     names = sorted({r["domain"] for r in sample})
     y = np.array([names.index(r["domain"]) for r in sample])
     sets = [np.frombuffer(r["keys"], "<u4") for r in sample]
@@ -142,6 +144,10 @@ def posteriors(documents: DataFrame, domains: Domains, text_column: str = "text"
             part = pa.RecordBatch.from_arrays([whole, whole.field(place)], ["row", "text"])
             for piece in blocks([part], "text"):
                 counts, sizes, keys = features(piece.column("text"), bits)
+                if not own.names:
+                    none = pa.ListArray.from_arrays(pa.array(np.zeros(len(counts) + 1, np.int32)), pa.array(np.zeros(0)))
+                    yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(counts), none], ["row", "n_tokens", "posterior"])
+                    continue
                 used = own.rows[keys]
                 sizes = np.bincount(group_rows(sizes)[used >= 0], minlength=len(sizes))
                 logits = sums_per_group(own.layer[used[used >= 0]], sizes) + own.bias
@@ -152,116 +158,68 @@ def posteriors(documents: DataFrame, domains: Domains, text_column: str = "text"
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, n_tokens long, posterior array<double>")
 
 
-def rate_of(posterior: Column, steps: list[list[float]]) -> Column:
-    """The rate after all steps: from 1, each step takes off the posterior times its gradient, down to 0 at least."""
-    rate = F.lit(1.0)
+def _dot(posterior: Column, step: Column) -> Column:
+    return F.aggregate(F.zip_with(posterior, step, lambda p, s: p * s), F.lit(0.0), lambda a, b: a + b)
+
+
+def rate_of(posterior: Column, steps: list[list[float]], first: Column | None = None) -> Column:
+    """The rate after all steps: from ``first`` or 1, each takes off the posterior times its gradient, down to 0 at least."""
+    rate = F.lit(1.0) if first is None else first
     if not steps:
         return rate
     taken = F.array(*(F.array(*(F.lit(float(g)) for g in step)) for step in steps))
-    dot = lambda g: F.aggregate(F.zip_with(posterior, g, lambda p, s: p * s), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(taken, rate, lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
+    return F.aggregate(taken, rate, lambda r, g: F.greatest(F.lit(0.0), r - _dot(posterior, g)))
 
 
 def fit_rates(weighed: DataFrame, targets: list[float], config: MixConfig = MixConfig()) -> list[list[float]]:
     """The steps of projected gradient descent on rows (n_tokens, posterior) towards shares of all tokens.
 
     Minimises the squared differences of expected and wanted tokens of each domain, over the tokens that
-    the domain has at rate 1. Without tokens there is nothing to do.
+    the domain has at rate 1. Ends within the tolerance, or where the rates do not move any more, or after ``config.steps``;
+    if the tolerance is not met, the steps to the smallest difference are given, with a warning that says what they reach.
+    Without tokens or targets above 0 there is nothing to do.
     """
-    k = len(targets)
-    share = np.array(targets, float) / sum(targets)
+    k, total = len(targets), sum(targets)
     p = [F.col("posterior")[d] for d in range(k)]
     first = weighed.agg(
         F.sum("n_tokens").alias("all"),
         *(F.sum(p[d] * F.col("n_tokens")).alias(f"m{d}") for d in range(k)),
         *(F.sum(p[d] * p[e] * F.col("n_tokens")).alias(f"g{d}_{e}") for d in range(k) for e in range(d + 1)),
     ).first()
-    if not first["all"]:
+    if not first["all"] or total <= 0:
         return []
+    share = np.array(targets, float) / total
     usual = np.maximum(np.array([first[f"m{d}"] for d in range(k)]) / first["all"], 1e-9)
     gram = np.array([[first[f"g{max(d, e)}_{min(d, e)}"] for e in range(k)] for d in range(k)]) / first["all"]
     scale = 1 / np.sqrt(usual)
     pace = 1 / np.linalg.eigvalsh(scale[:, None] * gram * scale).max()
-    steps: list[list[float]] = []
-    reached = usual
+    rows, done, steps = weighed.select("n_tokens", "posterior", F.lit(1.0).alias("rate")), 0, []
+    reached, best, closest = usual, 0, usual
     while len(steps) < config.steps and np.abs(reached - share).max() > config.tolerance:
         steps.append((pace * (reached - share) / usual).tolist())
-        tokens = rate_of(F.col("posterior"), steps) * F.col("n_tokens")
-        now = weighed.select("posterior", tokens.alias("t")).agg(*(F.sum(p[d] * F.col("t")).alias(f"m{d}") for d in range(k))).first()
-        before, reached = reached, np.array([now[f"m{d}"] for d in range(k)]) / first["all"]
-        if np.abs(reached - before).max() < config.tolerance / 100:
-            break
-    return steps
-
-
-def finish_rates(weighed: DataFrame, targets: list[float], steps: list[list[float]], config: MixConfig = MixConfig()) -> list[list[float]]:
-    """The steps, and one more if they miss the tolerance: from their rates r it leads to max(0, r - posterior x step).
-
-    The step minimises the squared changes of the rates, over the tokens, and 1 / weight times the squared differences of
-    reached and wanted shares over those at rate 1. The weight is lowered until the tolerance is met, or until the
-    differences, which are then the least there are, do not get smaller; that is a warning with what is reached.
-    """
-    k, wanted = len(targets), np.array(targets, float) / sum(targets)
-    names = [f"p{d}" for d in range(k)]
-    rows = weighed.where("n_tokens > 0").select("n_tokens", rate_of(F.col("posterior"), steps).alias("rate"), *(F.col("posterior")[d].alias(names[d]) for d in range(k)))
-    total = weighed.agg(F.sum("n_tokens")).first()[0]
-    if not total:
-        return steps
-    rows = materialize(rows, "rates")
-    usual = np.array(rows.agg(*(F.sum(F.col(n) * F.col("n_tokens")) for n in names)).first(), float) / total
-    usual = np.maximum(usual, 1e-9)
-
-    def at(step: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """The sum of the squared rates, the shares, and how shares answer to the step, with what it leads to."""
-        moved = F.col("rate") - sum((F.col(n) * float(x) for n, x in zip(names, step)), F.lit(0.0))
-        now = rows.withColumn("now", F.greatest(F.lit(0.0), moved)).withColumn("t", F.col("n_tokens") * F.col("now"))
-        live = F.when(F.col("now") > 0, F.col("n_tokens")).otherwise(0)
-        pairs = [(d, e) for d in range(k) for e in range(d + 1)]
-        found = np.array(
-            now.agg(
-                F.sum(F.col("t") * F.col("now")), *(F.sum(F.col(n) * F.col("t")) for n in names),
-                *(F.sum(F.col(names[d]) * F.col(names[e]) * live) for d, e in pairs),
-            ).first(), float,
-        ) / total
-        answer = np.zeros((k, k))
-        for (d, e), x in zip(pairs, found[1 + k :]):
-            answer[d, e] = answer[e, d] = x
-        return found[0], found[1 : 1 + k], answer
-
-    def missed(reached: np.ndarray) -> float:
-        return np.abs(reached - wanted).max()
-
-    step, weight = np.zeros(k), 1.0
-    squares, reached, answer = at(step)
-    best = missed(reached)
-    if best <= config.tolerance:
-        return steps
-    while True:
-        weight /= 10
-        value = lambda q, x: q / 2 + wanted @ x + weight / 2 * (usual * x) @ x
-        while True:  # Newton's method: value is convex, and quadratic as long as the same rates are above 0
-            slope = wanted - reached + weight * usual * step
-            if np.abs(slope).max() <= config.tolerance / 100:
-                break
-            way, length = -np.linalg.solve(answer + weight * np.diag(usual), slope), 1.0
-            here = value(squares, step)
-            while True:
-                tried = at(step + length * way)
-                if value(tried[0], step + length * way) <= here + 1e-4 * length * (slope @ way):
-                    break
-                length /= 2
-                if length < 1e-9:
-                    break  # as exact as the numbers are
-            if length < 1e-9:
-                break
-            step, (squares, reached, answer) = step + length * way, tried
-        if missed(reached) <= config.tolerance:
-            break
-        if missed(reached) > 0.99 * best and weight < 1e-3:
-            warnings.warn(f"no rates bring the shares of tokens to {wanted.tolist()}; reached: {reached.tolist()}", stacklevel=2)
+        before = rate_of(F.col("posterior"), steps[done:-1], F.col("rate"))
+        moved = rows.select("n_tokens", "posterior", before.alias("before"))
+        last = F.array(*map(F.lit, steps[-1]))
+        moved = moved.select("*", F.greatest(F.lit(0.0), F.col("before") - _dot(F.col("posterior"), last)).alias("rate"))
+        if len(steps) - done == config.stored:
+            moved, done = materialize(moved, "rates"), len(steps)
+            rows = moved.drop("before")
+        now = moved.agg(
+            *(F.sum(p[d] * F.col("n_tokens") * F.col("rate")).alias(f"m{d}") for d in range(k)),
+            F.sum(F.col("n_tokens") * (F.col("rate") - F.col("before")) ** 2).alias("length"),
+        ).first()
+        change, reached = -reached, np.array([now[f"m{d}"] for d in range(k)]) / first["all"]
+        change += reached
+        if np.abs(reached - share).max() < np.abs(closest - share).max():
+            best, closest = len(steps), reached
+        slope = change / usual
+        along, across = change @ slope, slope @ gram @ slope
+        if along <= 1e-18 or across <= 0:
             break
-        best = missed(reached)
-    return [*steps, step.tolist()]
+        pace = now["length"] / first["all"] / along if len(steps) % 2 else along / across
+    if np.abs(closest - share).max() > config.tolerance:
+        warnings.warn(f"no rates found that bring the shares of tokens to {share.tolist()}; reached: {closest.tolist()}", stacklevel=2)
+    return steps[:best]
 
 
 def mix_sources(
@@ -275,7 +233,7 @@ def mix_sources(
     """The documents in a struct ``row``, with n_tokens, posterior, rate and copies.
 
     ``targets`` gives each domain of ``known`` (doc_id, domain) its share of all tokens; a domain that
-    is not named has none. Without documents there are no rows; documents without any known domain are an error. ``copies`` is the rate rounded up or down by a hash of the id, with the
+    is not named has none. Without documents there are no rows; without any known domain all rates are 1 and posteriors empty. ``copies`` is the rate rounded up or down by a hash of the id, with the
     rate as its mean. A null or empty text has no tokens and the classifier's prior; rows without an
     id share one rounding, and so do rows that repeat an id.
     """
@@ -288,7 +246,6 @@ def mix_sources(
     found = materialize(posteriors(documents, domains, text_column), "posteriors")
     goal = [targets.get(d, 0.0) for d in domains.names]
     steps = fit_rates(found.select("n_tokens", "posterior"), goal, config)
-    steps = finish_rates(found.select("n_tokens", "posterior"), goal, steps, config)
     rated = found.withColumn("rate", rate_of(F.col("posterior"), steps))
     draw = F.pmod(F.xxhash64(F.col("row")[id_column], F.lit(config.seed)), F.lit(1_000_003)) / F.lit(1_000_003)
     copies = (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")

@@ -191,17 +191,14 @@ def test_rates_of_soft_posteriors_meet_the_tolerance(spark, domains, goal):
     rng = np.random.default_rng(5)
     p, t = rng.dirichlet(9 * np.array(([5, 3, 2] if domains == 3 else [1] * 10)) / 10, 400), rng.integers(0, 500, 400)
     rows = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p)], "n_tokens long, posterior array<double>").coalesce(2).cache()
-    steps = mixing.fit_rates(rows, goal, mixing.MixConfig(steps=4))
-    assert np.abs(reached_shares(rows, steps) - goal).max() > 2e-3
-    finished = mixing.finish_rates(rows, goal, steps)
-    assert len(finished) == len(steps) + 1 and np.abs(reached_shares(rows, finished) - goal).max() <= 1e-3
-    assert mixing.finish_rates(rows, goal, finished) == finished
+    steps = mixing.fit_rates(rows, goal)
+    assert np.abs(reached_shares(rows, steps) - goal).max() <= 1e-3
 
 
 def test_targets_that_cannot_be_met_are_reported(spark):
     rows = spark.createDataFrame([(10, [0.5, 0.5]), (20, [0.6, 0.4])], "n_tokens long, posterior array<double>").coalesce(1)
     with pytest.warns(UserWarning, match="no rates"):
-        finished = mixing.finish_rates(rows, [1.0, 0.0], [])
+        finished = mixing.fit_rates(rows, [1.0, 0.0])
     # the least of the weighted squares: all from the second row
     usual, (a, b) = np.array([17 / 30, 13 / 30]), (0.6, 0.4)
     scale = a / usual[0] / (a * a / usual[0] + b * b / usual[1])
@@ -220,16 +217,19 @@ def test_rates_equal_descent_on_one_machine(spark):
     p = rng.dirichlet([0.3, 0.5, 0.2], 200)
     t = rng.integers(0, 500, 200)
     rows = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p)], "n_tokens long, posterior array<double>").repartition(5)
-    goal, config = np.array([0.5, 0.4, 0.1]), mixing.MixConfig(steps=25, tolerance=1e-9)
+    goal, config = np.array([0.5, 0.4, 0.1]), mixing.MixConfig(steps=25, stored=7, tolerance=1e-9)
     steps = mixing.fit_rates(rows, goal.tolist(), config)
     got = {tuple(r.posterior): r.r for r in rows.withColumn("r", mixing.rate_of(rows.posterior, steps)).collect()}
     usual = (p * t[:, None]).sum(axis=0) / t.sum()
     gram = (p * t[:, None]).T @ p / t.sum()
     pace = 1 / np.linalg.eigvalsh(gram / np.sqrt(usual)[:, None] / np.sqrt(usual)).max()
-    rate = np.ones(200)
-    for _ in range(len(steps)):
-        reached = (p * (rate * t)[:, None]).sum(axis=0) / t.sum()
-        rate = np.maximum(0, rate - p @ (pace * (reached - goal) / usual))
+    rate, shares = np.ones(200), usual
+    for i in range(len(steps)):
+        moved = np.maximum(0, rate - p @ (pace * (shares - goal) / usual))
+        after = (p * (moved * t)[:, None]).sum(axis=0) / t.sum()
+        slope, length = (after - shares) / usual, (t * (moved - rate) ** 2).sum() / t.sum()
+        pace = slope @ gram @ slope and (length / ((after - shares) @ slope) if i % 2 == 0 else (after - shares) @ slope / (slope @ gram @ slope))
+        rate, shares = moved, after
     assert max(abs(got[tuple(x)] - r) for x, r in zip(p.tolist(), rate)) < 1e-9
     assert np.abs((p * (rate * t)[:, None]).sum(axis=0) / t.sum() - goal).max() < 0.01
 
@@ -240,8 +240,10 @@ def test_mixing_of_odd_rows(spark, odd_documents, odd_rows, no_documents):
     assert len(rows) == len(odd_rows) and all(len(r.posterior) == 3 and r.rate >= 0 for r in rows)
     assert all(r.n_tokens == 0 for r in rows if not (r.row.text or "").strip(" \t\n\r\x0b\x0c"))
     assert mixing.mix_sources(no_documents, known, {"good": 1.0}).collect() == []
-    with pytest.raises(ValueError, match="no labelled document"):
-        mixing.mix_sources(odd_documents, known.where("false"), {"good": 1.0})
+    rows = mixing.mix_sources(odd_documents, known.where("false"), {"good": 1.0}).collect()
+    assert len(rows) == len(odd_rows) and all((r.posterior, r.rate, r.copies) == ([], 1.0, 1) for r in rows)
+    rows = mixing.mix_sources(odd_documents, known, {"unknown": 1.0}).collect()
+    assert all(r.rate == 1.0 for r in rows)
 
 
 @pytest.fixture(scope="module")
