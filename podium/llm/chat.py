@@ -1,22 +1,27 @@
 """Chat formatting by compiled templates.
 
 A small template language is parsed into a syntax tree, constants are folded, and each node becomes
-a Python closure. Templates can only read the values they are given: there is no attribute access
-beyond mapping keys, no call but of the filters below, and no unbounded loop.
+a Python closure that yields pieces of text. Templates can only read the values they are given: there is no attribute access
+beyond mapping keys, no call but of the filters and functions below, and no unbounded loop.
 
-    {{ expression }}   {% for x in expression %}...{% endfor %}   {% set x = expression %}
+    {{ expression }}   {% for x in expression %}...{% endfor %}   {% set x = expression %}   {% set space.x = expression %}
     {% if e %}...{% elif e %}...{% else %}...{% endif %}   {% generation %}...{% endgeneration %}
-    expressions: 'text', 12, true, false, none, name, a.key, a['key'], a | filter, not, and, or, ==, !=, in, +, ~, ( )
+    expressions: 'text', 12, true, false, none, name, a.key, a['key'], a[-1], a[1:], a | filter, a if b else c, not, and, or,
+    ==, !=, <, <=, >, >=, in, not in, is [not] defined / none / string / mapping, +, -, *, %, ~, ( )
+    namespace(x=1), raise_exception(text), and of texts: strip lstrip rstrip upper lower title startswith endswith replace split
 
+Loops have ``loop.index``, ``index0``, ``first``, ``last``, and what is set inside ends with them, but for namespaces.
 ``generation`` marks what a model is to produce: the renderer gives the places of its text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,9 +34,20 @@ class TemplateError(ValueError):
     """A template that cannot be parsed, or asks for something that is not there."""
 
 
-_PIECE = re.compile(r"\{\{-?(.*?)-?\}\}|\{%(-?)(.*?)(-?)%\}|\{#.*?#\}", re.S)
-_TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+)|([A-Za-z_]\w*)|(==|!=|[+~|.()\[\]]))")
+class MissingValue(TemplateError):
+    """A name or an item that is not there."""
+
+
+_QUOTED = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
+_PIECE = re.compile(rf"\{{\{{-?((?:{_QUOTED}|.)*?)-?\}}\}}|\{{%(-?)((?:{_QUOTED}|.)*?)(-?)%\}}|\{{#.*?#\}}", re.S)
+_TOKEN = re.compile(rf"\s*(?:({_QUOTED})|(\d+)|([A-Za-z_]\w*)|(==|!=|<=|>=|[-+*%<>~|.,:=()\[\]]))")
+_METHODS = set("strip lstrip rstrip upper lower title startswith endswith replace split".split())
+_TESTS: dict[str, Callable] = {
+    "none": lambda v: v is None, "string": lambda v: isinstance(v, str), "mapping": lambda v: isinstance(v, dict),
+    "true": lambda v: v is True, "false": lambda v: v is False, "number": lambda v: isinstance(v, int) and not isinstance(v, bool),
+}
 _FILTERS: dict[str, Callable] = {"trim": lambda v: str(v).strip(), "upper": lambda v: str(v).upper(), "lower": lambda v: str(v).lower(), "length": len}
+_FILTERS |= {"string": str, "tojson": lambda v: json.dumps(v, ensure_ascii=False)}
 _CONSTANTS = {"true": True, "false": False, "none": None}
 _ESCAPES = {"n": "\n", "t": "\t", "\\": "\\", "'": "'", '"': '"'}
 
@@ -62,7 +78,7 @@ class _Expression:
         self.at = 0
 
     def parse(self):
-        node = self.either()
+        node = self.chosen()
         if self.at < len(self.tokens):
             raise TemplateError(f"{self.tokens[self.at][1]!r} is left over")
         return node
@@ -81,10 +97,22 @@ class _Expression:
         if all(isinstance(a, Const) or isinstance(a, str) for a in args) and kind != "name":
             try:
                 return Const(_closure(node, self.filters)({}))
-            except TypeError as wrong:
+            except (TypeError, ZeroDivisionError) as wrong:
                 raise TemplateError(f"constants that do not go together: {wrong}") from wrong
         return node
 
+    def need(self, word: str):
+        if not self.accept(word):
+            raise TemplateError(f"{word} is missing")
+
+    def chosen(self):
+        node = self.either()
+        while self.accept("if"):
+            test = self.either()
+            other = self.chosen() if self.accept("else") else Const(None)
+            node = (node if test.value else other) if isinstance(test, Const) else Op("choice", (test, node, other))
+        return node
+
     def either(self):
         node = self.both()
         while self.accept("or"):
@@ -102,8 +130,20 @@ class _Expression:
 
     def compared(self):
         node = self.joined()
-        while word := self.accept("==", "!=", "in"):
-            node = self.made(word, node, self.joined())
+        while word := self.accept("==", "!=", "<", "<=", ">", ">=", "in", "not", "is"):
+            if word == "is":
+                wanted, name = not self.accept("not"), self.peek()
+                self.at += 1
+                if name != "defined" and name not in _TESTS:
+                    raise TemplateError(f"no test {name!r}")
+                node = Op("defined", (node,)) if name == "defined" else self.made("test", node, name)
+                node = node if wanted else self.made("not", node)
+                continue
+            if word == "not":
+                self.need("in")
+                node = self.made("not", self.made("in", node, self.joined()))
+            else:
+                node = self.made(word, node, self.joined())
         return node
 
     def joined(self):
@@ -113,18 +153,43 @@ class _Expression:
         return node
 
     def added(self):
-        node = self.filtered()
-        while self.accept("+"):
-            node = self.made("+", node, self.filtered())
+        node = self.multiplied()
+        while word := self.accept("+", "-"):
+            node = self.made(word, node, self.multiplied())
         return node
 
+    def multiplied(self):
+        node = self.signed()
+        while word := self.accept("*", "%"):
+            node = self.made(word, node, self.signed())
+        return node
+
+    def signed(self):
+        return self.made("-", Const(0), self.signed()) if self.accept("-") else self.filtered()
+
+    def arguments(self) -> tuple[list, dict]:
+        """What stands between the parentheses of a call, the first of which has been read."""
+        given, named = [], {}
+        while not self.accept(")"):
+            if self.at + 1 < len(self.tokens) and self.tokens[self.at][0] == 3 and self.tokens[self.at + 1][1] == "=":
+                name, self.at = self.peek(), self.at + 2
+                named[name] = self.chosen()
+            else:
+                given.append(self.chosen())
+            if self.peek() != ")":
+                self.need(",")
+        return given, named
+
     def filtered(self):
         node = self.atom()
         while word := self.accept("|", ".", "["):
             if word == "[":
-                node = self.made("item", node, self.either())
-                if not self.accept("]"):
-                    raise TemplateError("] is missing")
+                first = Const(None) if self.peek() == ":" else self.chosen()
+                if self.accept(":"):
+                    node = self.made("slice", node, first, Const(None) if self.peek() == "]" else self.chosen())
+                else:
+                    node = self.made("item", node, first)
+                self.need("]")
                 continue
             name = self.peek()
             if name is None or self.tokens[self.at][0] != 3:
@@ -132,14 +197,21 @@ class _Expression:
             self.at += 1
             if word == "|" and name not in self.filters:
                 raise TemplateError(f"no filter {name!r}")
-            node = self.made("filter", node, name) if word == "|" else self.made("item", node, Const(name))
+            if word == "|":
+                node = self.made("filter", node, name)
+            elif self.accept("("):
+                given, named = self.arguments()
+                if name not in _METHODS or named:
+                    raise TemplateError(f"no method {name!r} with these arguments")
+                node = self.made("method", node, name, *given)
+            else:
+                node = self.made("item", node, Const(name))
         return node
 
     def atom(self):
         if self.accept("("):
-            node = self.either()
-            if not self.accept(")"):
-                raise TemplateError(") is missing")
+            node = self.chosen()
+            self.need(")")
             return node
         if self.at == len(self.tokens):
             raise TemplateError("an expression ends too early")
@@ -149,6 +221,11 @@ class _Expression:
             return Const(re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[0]), word[1:-1], flags=re.S))
         if kind == 2:
             return Const(int(word))
+        if kind == 3 and word in ("namespace", "raise_exception") and self.accept("("):
+            given, named = self.arguments()
+            if word == "namespace" and given or word == "raise_exception" and (named or len(given) != 1):
+                raise TemplateError(f"{word} with these arguments")
+            return Op(word, (*given, *named.values(), tuple(named)))
         if kind == 3:
             return Const(_CONSTANTS[word]) if word in _CONSTANTS else Op("name", (word,))
         raise TemplateError(f"{word!r} in the wrong place")
@@ -163,24 +240,67 @@ def _closure(node, filters: dict[str, Callable]) -> Callable[[dict], object]:
 
         def look(scope):
             if name not in scope:
-                raise TemplateError(f"no value {name!r}")
+                raise MissingValue(f"no value {name!r}")
             return scope[name]
 
         return look
     if node.kind == "filter":
         inner, use = _closure(node.args[0], filters), filters[node.args[1]]
         return lambda scope: use(inner(scope))
-    parts = [_closure(a, filters) for a in node.args]
+    parts = [_closure(a, filters) for a in node.args if isinstance(a, (Const, Op))]
     if node.kind == "not":
         return lambda scope: not parts[0](scope)
+    if node.kind == "defined":
+
+        def defined(scope):
+            try:
+                parts[0](scope)
+            except MissingValue:
+                return False
+            return True
+
+        return defined
+    if node.kind == "test":
+        holds = _TESTS[node.args[1]]
+        return lambda scope: holds(parts[0](scope))
+    if node.kind == "choice":
+        test, one, other = parts
+        return lambda scope: one(scope) if test(scope) else other(scope)
+    if node.kind == "namespace":
+        return lambda scope: _Space(zip(node.args[-1], (part(scope) for part in parts)))
+    if node.kind == "raise_exception":
+
+        def fail(scope):
+            raise TemplateError(str(parts[0](scope)))
+
+        return fail
+    if node.kind == "method":
+        name = node.args[1]
+
+        def method(scope):
+            owner, *given = (part(scope) for part in parts)
+            if not isinstance(owner, str):
+                raise TemplateError(f"{name} of what is no text")
+            return getattr(owner, name)(*given)
+
+        return method
+    if node.kind == "slice":
+
+        def cut(scope):
+            owner, begin, end = (part(scope) for part in parts)
+            if not isinstance(owner, (list, str)):
+                raise TemplateError("a slice of what is no list or text")
+            return owner[begin:end]
+
+        return cut
     left, right = parts
     if node.kind == "item":
 
         def item(scope):
             owner, key = left(scope), right(scope)
-            if not isinstance(owner, (dict, list)) or isinstance(owner, dict) and key not in owner:
-                raise TemplateError(f"no item {key!r}")
-            return owner[key]
+            if isinstance(owner, dict) and key in owner or isinstance(owner, (list, str)) and isinstance(key, int) and -len(owner) <= key < len(owner):
+                return owner[key]
+            raise MissingValue(f"no item {key!r}")
 
         return item
     return {
@@ -188,22 +308,43 @@ def _closure(node, filters: dict[str, Callable]) -> Callable[[dict], object]:
         "and": lambda scope: left(scope) and right(scope),
         "==": lambda scope: left(scope) == right(scope),
         "!=": lambda scope: left(scope) != right(scope),
+        "<": lambda scope: left(scope) < right(scope),
+        "<=": lambda scope: left(scope) <= right(scope),
+        ">": lambda scope: left(scope) > right(scope),
+        ">=": lambda scope: left(scope) >= right(scope),
         "in": lambda scope: left(scope) in right(scope),
         "+": lambda scope: left(scope) + right(scope),
+        "-": lambda scope: left(scope) - right(scope),
+        "*": lambda scope: _number(left(scope)) * _number(right(scope)),
+        "%": lambda scope: _number(left(scope)) % _number(right(scope)),
         "~": lambda scope: str(left(scope)) + str(right(scope)),
     }[node.kind]
 
 
+def _number(value) -> int:
+    if not isinstance(value, int):
+        raise TemplateError(f"{value!r} is no number")
+    return value
+
+
+class _Space(dict):
+    """A namespace: what a template may set from inside a loop."""
+
+
 @dataclass
 class Rendered:
     """Pieces of text in order, each with whether a model is to generate it."""
 
     pieces: list[tuple[str, bool]] = field(default_factory=list)
-    generated: bool = False
 
-    def put(self, text: str):
-        if text:
-            self.pieces.append((text, self.generated))
+
+class _Mode:
+    """Whether what is rendered now is to be generated."""
+
+    generated = False
+
+
+_END = object()
 
 
 class Template:
@@ -224,7 +365,8 @@ class Template:
                 self.pieces.append(("tag", m[3].strip()))
             at = m.end()
         self.pieces.append(("text", source[at:].lstrip() if strip else source[at:]))
-        self.at = 0
+        self.at = self.depth = self.loops = 0
+        self.uses = sum(len(re.findall(r"\bmessages\b", text)) for kind, text in self.pieces if kind != "text")
         self.body, last = self._block(())
         if last is not None:
             raise TemplateError(f"{last!r} ends nothing")
@@ -266,37 +408,44 @@ class Template:
         return self._chain(steps), None
 
     def _chain(self, steps: list) -> Callable:
-        run = [(lambda text: lambda scope, out: out.put(text))(s) if isinstance(s, str) else s for s in steps]
+        run = [(lambda text: lambda scope, mode: ((text, mode.generated),))(s) if isinstance(s, str) else s for s in steps]
 
-        def chain(scope, out):
+        def chain(scope, mode):
             for step in run:
-                step(scope, out)
+                yield from step(scope, mode)
 
         return run[0] if len(run) == 1 else chain
 
     def _value(self, get: Callable) -> Callable:
-        def value(scope, out):
+        def value(scope, mode):
             found = get(scope)
-            out.put("" if found is None else str(found))
+            if found is not None and found != "":
+                yield str(found), mode.generated
 
         return value
 
     def _tag(self, word: str, rest: str) -> Callable:
         if word == "set":
             name, _, text = rest.partition("=")
-            get = self._run(text)
+            get, (space, dot, key) = self._run(text), name.strip().partition(".")
 
-            def assign(scope, out):
-                scope[name.strip()] = get(scope)
+            def assign(scope, mode):
+                if not dot:
+                    scope[space] = get(scope)
+                elif isinstance(scope.get(space), _Space):
+                    scope[space][key] = get(scope)
+                else:
+                    raise TemplateError(f"no namespace {space!r}")
+                return ()
 
             return assign
         if word == "generation":
             body, _ = self._block(("endgeneration",))
 
-            def generation(scope, out):
-                before, out.generated = out.generated, True
-                body(scope, out)
-                out.generated = before
+            def generation(scope, mode):
+                before, mode.generated = mode.generated, True
+                yield from body(scope, mode)
+                mode.generated = before
 
             return generation
         if word == "for":
@@ -304,13 +453,23 @@ class Template:
             if not m:
                 raise TemplateError(f"cannot read the loop {rest!r}")
             name, get = m[1], self._run(m[2])
+            self.depth += 1
             body, _ = self._block(("endfor",))
-
-            def loop(scope, out):
-                items = get(scope)
-                for i, item in enumerate(items):
-                    inner = scope | {name: item, "loop": {"index0": i, "index": i + 1, "first": i == 0}}
-                    body(inner, out)
+            self.depth -= 1
+            outermost = not self.depth
+            if outermost and m[2].strip() == "messages":
+                self.loops += 1
+
+            def loop(scope, mode):
+                items, i = iter(get(scope)), 0
+                item = next(items, _END)
+                while item is not _END:
+                    after = next(items, _END)
+                    inner = scope | {name: item, "loop": {"index0": i, "index": i + 1, "first": i == 0, "last": after is _END}}
+                    yield from body(inner, mode)
+                    if outermost:
+                        yield None  # what is rendered may be cut here
+                    item, i = after, i + 1
 
             return loop
         if word == "if":
@@ -323,18 +482,26 @@ class Template:
                 word, _, rest = end.partition(" ")
                 test, end = (rest if word == "elif" else None), word
 
-            def choose(scope, out):
+            def choose(scope, mode):
                 for holds, body in branches:
                     if holds(scope):
-                        return body(scope, out)
+                        return body(scope, mode)
+                return ()
 
             return choose
         raise TemplateError(f"no tag {word!r}")
 
+    @property
+    def in_one_pass(self) -> bool:
+        """Whether ``messages`` are only gone through once, by a loop that is not inside another one."""
+        return self.loops == self.uses == 1
+
+    def stream(self, **values) -> Iterator[tuple[str, bool] | None]:
+        """Pieces as they are rendered; None after each round of an outermost loop."""
+        return iter(self.body(dict(values), _Mode()))
+
     def render(self, **values) -> Rendered:
-        out = Rendered()
-        self.body(dict(values), out)
-        return out
+        return Rendered([piece for piece in self.stream(**values) if piece])
 
 
 #: Control strings of the formatted text. ``<`` inside a text is written ``<\\``, so none of them can occur in one.
@@ -353,15 +520,16 @@ TEMPLATE = (
     "{% for m in messages %}" + BEGIN + "{{ m.role | escape }}" + TEXT + "{% if m.role == 'assistant' %}"
     "{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}" + END + "{% endfor %}"
 )
-#: Turns that are rendered together, and characters of a stored part of a conversation.
-TURNS, PART_CHARS = 1000, 1_000_000
+#: Characters after which a stored part of a conversation ends, at the end of the turn.
+PART_CHARS = 1_000_000
 
 
 def format_conversations(conversations: DataFrame, template: str = TEMPLATE, folder: str | None = None) -> DataFrame:
     """Format (conv_id, turn, role, text); the stored parts (conv_id, part, text, spans) are returned.
 
-    Turns come by number, those of equal number by role and text. The template is rendered for up to ``TURNS`` turns of a conversation at a time, so it has to treat each
-    turn alike; parts of a conversation belong one after the other. ``spans`` are the begins and ends, in
+    Turns come by number, those of equal number by role and text. A conversation is rendered in one go, whatever its length; its parts belong one after
+    the other. A template that goes through ``messages`` by one loop takes turns as they come, so that a worker holds one turn and one part; for any
+    other use of ``messages`` it holds the turns of one conversation. ``spans`` are the begins and ends, in
     characters of the part, of what a model is to generate. A null text or role is empty; rows without a
     conv_id are one conversation; repeated rows are turns of their own; an empty table has no parts.
     """
@@ -371,32 +539,29 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE, fol
 
     def run(batches):
         made = Template(template, {"escape": escape})
-        conv, part, turns, size, out, held = (), 0, [], 0, [], 0
-
-        def close():
-            text, spans, at = [], [], 0
-            for piece, generated in made.render(messages=turns).pieces:
-                if generated:
-                    spans.append([at, at + len(piece)])
-                text.append(piece)
-                at += len(piece)
-            out.append({"conv_id": conv[0], "part": part, "text": "".join(text), "spans": spans})
-            return at
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if turns and ((row["conv_id"],) != conv or len(turns) == TURNS or size > PART_CHARS):
-                    held += close()
-                    part, turns, size = part + 1, [], 0
-                if (row["conv_id"],) != conv:
-                    conv, part = (row["conv_id"],), 0
-                turns.append({"role": row["role"], "text": row["text"]})
-                size += len(row["text"])
-                if len(out) >= 1000 or held > PART_CHARS:
+        rows = (row for batch in batches for row in batch.to_pylist())
+        out, held = [], 0
+        for conv_id, turns in groupby(rows, key=lambda row: row["conv_id"]):
+            messages = ({"role": row["role"], "text": row["text"], "content": row["text"]} for row in turns)
+            part, text, spans, at = 0, [], [], 0
+            for piece in made.stream(messages=messages if made.in_one_pass else list(messages)):
+                if piece:
+                    if piece[1]:
+                        spans.append([at, at + len(piece[0])])
+                    text.append(piece[0])
+                    at += len(piece[0])
+                elif at > PART_CHARS:
+                    out.append({"conv_id": conv_id, "part": part, "text": "".join(text), "spans": spans})
                     yield pa.RecordBatch.from_pylist(out, schema=shape)
-                    out, held = [], 0
-        if turns:
-            close()
+                    part, text, spans, at, out, held = part + 1, [], [], 0, [], 0
+            if at or not part:
+                out.append({"conv_id": conv_id, "part": part, "text": "".join(text), "spans": spans})
+                held += at
+            if len(out) >= 1000 or held > PART_CHARS:
+                yield pa.RecordBatch.from_pylist(out, schema=shape)
+                out, held = [], 0
+            for _ in turns:  # what the template left unread
+                pass
         yield pa.RecordBatch.from_pylist(out, schema=shape)
 
     rows = conversations.select(

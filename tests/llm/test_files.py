@@ -193,12 +193,74 @@ def test_odd_chat(spark, monkeypatch):
         ("{% set y = x + '!' %}{{ y | trim }}{# gone #}{{ none }}", {"x": " z"}, "z!"),
         ("{{ 'a' in 'cat' and x != 2 or false }}", {"x": 3}, "True"),
         ("{{ '%}' ~ \"\\n\\\"\" }}", {}, '%}\n"'),
+        ("{{ '}}' }}{{ x[-1] ~ x[1:] ~ x[:1] }}", {"x": "abc"}, "}}cbca"),
+        ("{{ x if x is defined else 'none' }}{{ y if y is not none and y is string }}", {"y": "z"}, "nonez"),
+        ("{{ 7 % 4 * 2 - -1 }}{{ 2 < 3 and 3 >= 3 }}{{ 1 not in xs }}", {"xs": [2]}, "7TrueTrue"),
+        ("{% for x in xs %}{{ x.strip() }}{{ '' if loop.last else ', ' }}{% endfor %}", {"xs": [" a", "b "]}, "a, b"),
+        ("{% set s = namespace(n=0) %}{% for x in xs %}{% set s.n = s.n + x %}{% set y = x %}{% endfor %}{{ s.n }}{{ y is defined }}", {"xs": [1, 2]}, "3False"),
     ],
 )
 def test_templates(source, values, want):
     assert "".join(t for t, _ in chat.Template(source).render(**values).pieces) == want
 
 
+#: Shapes of templates in common use, and what they make of the turns below.
+TURNS = [{"role": "system", "content": "S"}, {"role": "user", "content": " u "}, {"role": "assistant", "content": "a"}]
+SHAPES = [
+    (
+        "{% for message in messages %}{{ '<|im_start|>' + message['role'] + '\\n' + message['content'] + '<|im_end|>' + '\\n' }}{% endfor %}"
+        "{% if add_generation_prompt %}{{ '<|im_start|>assistant\\n' }}{% endif %}",
+        "<|im_start|>system\nS<|im_end|>\n<|im_start|>user\n u <|im_end|>\n<|im_start|>assistant\na<|im_end|>\n<|im_start|>assistant\n",
+    ),
+    (
+        "{% if messages[0]['role'] == 'system' %}{% set rest = messages[1:] %}{% set system = messages[0]['content'] %}{% else %}{% set rest = messages %}"
+        "{% set system = false %}{% endif %}{% for m in rest %}{% if (m['role'] == 'user') != (loop.index0 % 2 == 0) %}{{ raise_exception('roles') }}{% endif %}"
+        "{% if loop.index0 == 0 and system != false %}{% set content = '<<SYS>>' + system + '<</SYS>>' + m['content'] %}{% else %}"
+        "{% set content = m['content'] %}{% endif %}{% if m['role'] == 'user' %}{{ bos + '[INST] ' + content.strip() + ' [/INST]' }}{% else %}"
+        "{{ ' ' + content.strip() + ' ' + eos }}{% endif %}{% endfor %}",
+        "<s>[INST] <<SYS>>S<</SYS>> u [/INST] a </s>",
+    ),
+    (
+        "{% for m in messages %}{% set content = '<|h|>' + m['role'] + '<|/h|>' + m['content'] | trim %}{% if loop.index0 == 0 %}"
+        "{% set content = bos + content %}{% endif %}{{ content }}{% endfor %}",
+        "<s><|h|>system<|/h|>S<|h|>user<|/h|>u<|h|>assistant<|/h|>a",
+    ),
+    (
+        "{%- set ns = namespace(found=false) -%}{%- for m in messages -%}{%- if m['role'] == 'system' -%}{%- set ns.found = true -%}{%- endif -%}"
+        "{%- endfor -%}{%- if not ns.found -%}{{- 'no' -}}{%- endif -%}{%- for m in messages if_any -%}{%- endfor -%}",
+        None,
+    ),
+    (
+        "{%- set ns = namespace(found=false) -%}{%- for m in messages -%}{%- if m['role'] == 'system' -%}{%- set ns.found = true -%}{%- endif -%}"
+        "{%- endfor -%}{{- 'yes' if ns.found else 'no' -}}{%- if tools is defined -%}{{ tools | tojson }}{%- endif -%} ({{ messages | length }})",
+        "yes(3)",
+    ),
+]
+
+
+@pytest.mark.parametrize("source, want", SHAPES)
+def test_common_templates(source, want):
+    if want is None:
+        with pytest.raises(chat.TemplateError):
+            chat.Template(source).render(messages=TURNS)
+        return
+    made = chat.Template(source).render(messages=TURNS, add_generation_prompt=True, bos="<s>", eos="</s>")
+    assert "".join(t for t, _ in made.pieces) == want
+
+
+def test_loops_go_on_through_long_conversations(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART_CHARS", 300)
+    rows = spark.createDataFrame([(c, k, "user", f"t{k}") for c, n in ((1, 10), (2, 3000)) for k in range(n)], "conv_id long, turn long, role string, text string")
+    for extra, passes in (("", True), ("{{ messages | length }}", False)):
+        source = "{% set n = 5 %}{% for m in messages %}{{ loop.index + n }}{{ m.text }}{% if loop.first %}F{% endif %}{% if loop.last %}L{% endif %};{% endfor %}" + extra
+        assert chat.Template(source).in_one_pass == passes
+        parts = chat.format_conversations(rows, source).orderBy("conv_id", "part").collect()
+        for c, n in ((1, 10), (2, 3000)):
+            want = "".join(f"{k + 6}t{k}{'F' * (k == 0)}{'L' * (k == n - 1)};" for k in range(n)) + (str(n) if extra else "")
+            assert "".join(r.text for r in parts if r.conv_id == c) == want
+        assert sum(r.conv_id == 2 for r in parts) > 10
+
+
 @pytest.mark.parametrize("source", ["{% for x %}{% endfor %}", "{% if x %}", "{{ x.__class__ + }}", "{{ open('f') }}", "{% nope %}", "{{ x | nope }}", "{% endif %}", "{{ (1 }}", "{{ @ }}"])
 def test_wrong_templates(source):
     with pytest.raises(chat.TemplateError):
