@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 #: Sentences of well-known licence texts and notices, by identifier.
 SENTENCES = {
-    "mit-notice": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License."],
+    "mit-notice": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License.",
+        "This software is licensed under the MIT License.", "The code is released under the MIT License.", "This software is released under the MIT License."],
+    "mit-title": ["MIT License", "The MIT License", "The MIT License (MIT)"],
     "mit-grant": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
         ' (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,'
@@ -48,10 +50,10 @@ SENTENCES = {
         "Licensed under the GNU General Public License, version 3.",
         "This program is licensed under the GNU General Public License, version 3.",
     ],
-    "gpl-free": [
+    "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License."],
+    "gpl3-free": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License" + end
         for end in (
-            ".",
             " as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
             " as published by the Free Software Foundation, either version 3 of the License, or any later version.",
             " as published by the Free Software Foundation, version 3 of the License.",
@@ -66,26 +68,56 @@ SENTENCES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
         " conditions are met:"
     ],
+    "bsd-endorse": [
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from"
+        " this software without specific prior written permission."
+    ],
+    "lgpl21-free": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"
+        " as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ],
+    "mpl-notice": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "isc-grant": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,"
+        " provided that the above copyright notice and this permission notice appear in all copies."
+    ],
+    "bsd2-notice": ["Licensed under the BSD 2-Clause License.", "Released under the BSD 2-Clause License."],
     "bsd-notice": ["Licensed under the BSD 3-Clause License.", "Released under the BSD 3-Clause License."],
     "all-rights": ["All rights reserved."],
 }
+#: Identifiers that stand in lines of their own for a licence.
+SPDX = (
+    "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later"
+    " LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 ISC CC0-1.0 CC-BY-4.0 Unlicense Zlib BSL-1.0 EPL-2.0"
+).split()
+SENTENCES |= {f"spdx-{name}": [f"SPDX-License-Identifier: {name}"] for name in SPDX}
 
 #: Rules: name, licence, identifiers in order. A rule that another one of the same licence includes is less specific.
 RULES = [
     ("mit-text", "MIT", ["mit-grant", "mit-condition", "mit-warranty"]),
     ("mit-short", "MIT", ["mit-grant", "mit-condition"]),
     ("mit-notice", "MIT", ["mit-notice"]),
+    ("mit-title", "MIT", ["mit-title"]),
     ("apache-header", "Apache-2.0", ["apache-notice", "apache-compliance", "apache-copy"]),
     ("apache-notice", "Apache-2.0", ["apache-notice"]),
-    ("gpl3-header", "GPL-3.0", ["gpl-free", "gpl-warranty"]),
+    ("gpl3-header", "GPL-3.0", ["gpl3-free", "gpl-warranty"]),
+    ("gpl-header", "GPL", ["gpl-free", "gpl-warranty"]),
     ("gpl3-notice", "GPL-3.0", ["gpl3-notice"]),
     ("cc-by-nc-notice", "CC-BY-NC-4.0", ["cc-by-nc-notice"]),
     ("cc-by-notice", "CC-BY-4.0", ["cc-by-notice"]),
     ("cc0-notice", "CC0-1.0", ["cc0-notice"]),
-    ("bsd-text", "BSD-3-Clause", ["bsd-redistribution"]),
+    ("bsd3-text", "BSD-3-Clause", ["bsd-redistribution", "bsd-endorse"]),
+    ("bsd-text", "BSD-2-Clause", ["bsd-redistribution"]),
     ("bsd-notice", "BSD-3-Clause", ["bsd-notice"]),
+    ("bsd2-notice", "BSD-2-Clause", ["bsd2-notice"]),
+    ("lgpl21-header", "LGPL-2.1", ["lgpl21-free"]),
+    ("mpl-notice", "MPL-2.0", ["mpl-notice"]),
+    ("isc-text", "ISC", ["isc-grant"]),
+    *((f"spdx-{name}", name, [f"spdx-{name}"]) for name in SPDX),
     ("all-rights", "proprietary", ["all-rights"]),
 ]
+#: Rules that give way to others found in the same text; None: to any other.
+YIELDS = {"bsd-text": ["bsd3-text"], "mit-title": ["mit-text", "mit-short"], "all-rights": None}
 
 
 _CUTS = r"[\n\r\u2028\u2029]+|(?<=[.!?;:])\s+"
@@ -125,12 +157,13 @@ def scan(
     rules: Sequence[tuple[str, str, Sequence[str]]] = RULES,
     id_column: str = "doc_id",
     text_column: str = "text",
+    yields: Mapping[str, Sequence[str] | None] = YIELDS,
 ) -> DataFrame:
     """One row per document: doc_id, n_sentences, sentence_ids, rules, licenses.
 
     ``sentence_ids`` are the identifiers of the known sentences of the whole text, in order and with
     repeats. ``rules`` are the names of the rules whose sequence occurs in them in order, without those that
-    another found rule of the same licence includes; ``licenses`` are their licences. Both are sorted and
+    another found rule of the same licence includes, or that yield to another found one; ``licenses`` are their licences. Both are sorted and
     without repeats. A null or empty text has no sentences and empty arrays; ``n_sentences`` counts the pieces of a text.
     Other columns are ignored, repeated rows kept.
     """
@@ -161,7 +194,16 @@ def scan(
                 hit = hit & ~occurs(more)
         hits.append(F.when(hit, F.struct(F.lit(name).alias("rule"), F.lit(licence).alias("license"))))
     matched = F.filter(F.array(*hits), lambda h: h.isNotNull()) if hits else F.array().cast("array<struct<rule:string,license:string>>")
-    rows = rows.withColumn("matched", F.when(F.size("sentence_ids") > 0, matched).otherwise(F.slice(matched, 1, 0)))
+    rows = rows.withColumn("found", F.when(F.size("sentence_ids") > 0, matched).otherwise(F.slice(matched, 1, 0)))
+
+    def stays(hit):
+        gone = F.lit(False)
+        for name, others in yields.items():
+            stronger = F.size("found") > 1 if others is None else F.exists("found", lambda other: other["rule"].isin(*others))
+            gone = gone | (hit["rule"] == name) & stronger
+        return ~gone
+
+    rows = rows.withColumn("matched", F.filter("found", stays))
     return rows.select(
         "doc_id", "n_sentences", "sentence_ids", F.array_sort("matched.rule").alias("rules"),
         F.array_sort(F.array_distinct("matched.license")).alias("licenses"),

@@ -122,6 +122,21 @@ def test_wrapped_licences(spark):
     assert {r.doc_id: r.rules for r in found} == {i: [rule] if rule else [] for i, (_, _, rule) in enumerate(rows)}
 
 
+def test_licences_that_are_alike_are_told_apart(spark):
+    endorse = licenses.SENTENCES["bsd-endorse"][0]
+    free, warranty = licenses.SENTENCES["gpl-free"][0], licenses.SENTENCES["gpl-warranty"][0]
+    cases = [
+        (f"Copyright 2020. All rights reserved.\n{BSD}", ["BSD-2-Clause"]), (f"All rights reserved.\n{BSD}\n3. {endorse}", ["BSD-3-Clause"]),
+        (f"All rights reserved.\n{BSD}\n{endorse}", ["BSD-3-Clause"]), ("All rights reserved.", ["proprietary"]), (f"{free} {warranty}", ["GPL"]),
+        ("x. The code is released under the MIT License. y", ["MIT"]), ("# MIT License\n\n" + MIT, ["MIT"]), ("MIT License", ["MIT"]),
+        ("// SPDX-License-Identifier: Apache-2.0\ncode", ["Apache-2.0"]), ("/* SPDX-License-Identifier: GPL-2.0-only */", ["GPL-2.0-only"]),
+        (licenses.SENTENCES["mpl-notice"][0], ["MPL-2.0"]), ("\n".join(licenses.SENTENCES["lgpl21-free"][0].split("; ")), ["LGPL-2.1"]),
+        (licenses.SENTENCES["isc-grant"][0], ["ISC"]),
+    ]
+    rows = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string")
+    assert [r.licenses for r in licenses.scan(rows).orderBy("doc_id").collect()] == [want for _, want in cases]
+
+
 def test_an_ambiguous_sentence_is_an_error(spark):
     with pytest.raises(ValueError, match="two identifiers"):
         licenses.known_sentences(spark, {"a": ["Same text."], "b": ["same  TEXT"]})
