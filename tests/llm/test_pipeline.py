@@ -48,3 +48,12 @@ def test_registered():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
+
+
+def test_run_on_empty_and_unlabelled_tables(spark, sf_dir, tmp_path):
+    for name in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+    mixed = dict(corpus_pipeline.STAGES)["mixing to target weights"]
+    assert mixed(spark, docs, str(tmp_path)).count() == 20
