@@ -7,6 +7,9 @@ singular values, so that what most passages share does not decide. Every window
 benchmark passage, is projected, with each of its words once however often it is repeated there; windows whose cosine with a
 passage reaches ``cosine`` are candidates, and so are those that hold a passage word by word, whatever their cosine. A candidate counts if its longest common word sequence with the passage
 covers ``share`` of it, and ``answer_share`` of its last quarter, where the answer is.
+
+Windows that hold too few of the rarer words of every passage to share ``share`` of it with any are not projected: a sequence of m of the L words
+of a passage has at least k of any L - m + k of them. No passage is lost by that.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from podium.llm import tables
 from podium.llm.common import blocks
-from podium.llm.features import content_words, distinct_buckets, previous, sequences
+from podium.llm.features import content_words, distinct_buckets, running_sums, sequences
 from podium.session import ship_package
 
 
@@ -34,7 +37,8 @@ class LeakConfig:
     share: float = 0.6
     answer_share: float = 0.5
     probe: int = 96  # longer benchmark passages are cut into parts of so many words
-    least_words: int = 5  # shorter benchmark passages are too common to be told from ordinary text
+    least_words: int = 5  # shorter benchmark passages are found word by word only
+    groups: int = 64  # of passages, for which rarer words in a window are counted
     probes_at_once: int = 20_000  # of the benchmark, per pass over the documents
     seed: int = 3
 
@@ -42,6 +46,10 @@ class LeakConfig:
 _BYTES = 500_000
 #: Words whose vectors are gathered at a time, so that they stay in the processor's cache.
 _WORDS = 1024
+#: Units of windows whose rarer words are counted at a time.
+_UNITS = 4096
+#: Bits of a hash by which most of what is not looked for is told.
+_MARK_BITS = 16
 
 
 def _buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -117,6 +125,17 @@ def _masks(words: list[int]) -> dict[int, int]:
     return masks
 
 
+def _mark(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - _MARK_BITS)).astype(np.int64)
+
+
+def _marks(hashes: np.ndarray) -> np.ndarray:
+    """A table that tells of any hash whether it may be among these."""
+    found = np.zeros(1 << _MARK_BITS, bool)
+    found[_mark(hashes)] = True
+    return found
+
+
 class Probes:
     """Parts of benchmark passages, by window length, with all that a task needs to look for them."""
 
@@ -125,12 +144,17 @@ class Probes:
         self.table = np.concatenate([weight[:, None] * basis, np.zeros((1, basis.shape[1]), np.float32)])
         counts, hashes = content_words(pa.array([t for _, t in items], pa.string()))
         self.parts, ends = [], np.cumsum(counts)
+        short: dict[int, list[tuple[int, int]]] = {}
         for (item, _), begin, end in zip(items, ends - counts, ends):
             for at in range(begin, end, config.probe):
                 at = max(begin, min(at, end - config.probe))
                 words = hashes[at : min(at + config.probe, end)]
                 if len(words) >= config.least_words:
                     self.parts.append((item, words.tolist()))
+                else:
+                    whole = sequences(words, np.array([0]), np.array([len(words)]))[0]
+                    short.setdefault(len(words), []).append((int(whole), item))
+        self.short = {n: self._sorted(some) for n, some in short.items()}
         self.by_length: dict[int, list[int]] = {}
         length, longest = 8, max((len(w) for _, w in self.parts), default=0)
         bounds = [length]
@@ -141,6 +165,52 @@ class Probes:
         self.vectors = {k: self._unit(np.stack([self._sum(self.parts[i][1]) for i in some])) for k, some in self.by_length.items()}
         self.masks = [(_masks(w), _masks(self.answer(w))) for _, w in self.parts]
         self.anchors = {k: self._anchors(some, weight) for k, some in self.by_length.items()}
+        self.marked = {k: _marks(found[0]) for k, found in self.anchors.items()}
+        self.rare = {k: self._rare(some, weight) for k, some in self.by_length.items()}
+
+    @staticmethod
+    def _sorted(some: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        known, numbers = np.array([h for h, _ in some], np.uint64), np.array([i for _, i in some], np.int64)
+        order = np.argsort(known, kind="stable")
+        return known[order], numbers[order], _marks(known)
+
+    def _rare(self, some: list[int], weight: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The rarer words of these parts, sorted, with where each one's groups begin and end in the groups of all; and how many words each group asks of a window.
+
+        A common sequence of at least m of a part's L words has at least k of its L - m + k rarest.
+        """
+        pairs, need = set(), np.full(self.config.groups, np.iinfo(np.int64).max)
+        for place, i in enumerate(some):
+            words, group = np.array(self.parts[i][1], np.uint64), place % self.config.groups
+            least = max(int(np.ceil(self.config.share * len(words) - 1e-6)), 0)
+            k = min(least, max(1, len(words) // 4))
+            rarest = np.argsort(-weight[_buckets(words, self.bits)], kind="stable")[: len(words) - least + k]
+            pairs.update((word, group) for word in words[rarest].tolist())
+            need[group] = min(need[group], k)
+        words, groups = np.array(sorted(pairs), np.uint64).reshape(-1, 2).T
+        known, first = np.unique(words, return_index=True)
+        return known, np.append(first, len(words)), groups.astype(np.int64), need
+
+    def _hopeful(self, length: int, hashes: np.ndarray, text: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The windows with enough rarer words of a group of parts; windows are three units, which begin at ``begins``."""
+        known, bounds, groups, need = self.rare[length]
+        some = np.flatnonzero(_marks(known)[_mark(hashes)])
+        at = np.minimum(np.searchsorted(known, hashes[some]), len(known) - 1)
+        some, at = some[known[at] == hashes[some]], at[known[at] == hashes[some]]
+        unit, n, hopeful = np.searchsorted(begins, some, "right") - 1, len(need), np.zeros(len(begins), bool)
+        for first in range(0, len(begins), _UNITS):  # with the two units after them
+            last = min(first + _UNITS + 2, len(begins))
+            low, high = np.searchsorted(unit, [first, last])
+            word = at[low:high]
+            each = bounds[word + 1] - bounds[word]
+            group = groups[np.repeat(bounds[word] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+            cells = np.repeat(unit[low:high] - first, each) * n + group
+            found = np.bincount(cells, minlength=(last - first) * n).reshape(-1, n)
+            total = found.copy()
+            for shift in (1, 2):
+                total[:-shift] += found[shift:] * (text[first + shift : last] == text[first : last - shift])[:, None]
+            hopeful[first : first + _UNITS] = (total >= need).any(axis=1)[:_UNITS]
+        return np.flatnonzero(hopeful)
 
     def _anchors(self, some: list[int], weight: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each of these parts its rarest ``least_words`` words in a row, as a hash; sorted, with their place, the number of words and the hash of all."""
@@ -153,11 +223,13 @@ class Probes:
         found.sort(key=lambda f: f[0])
         return tuple(np.array(column, kind) for column, kind in zip(zip(*found), (np.uint64, np.int64, np.int64, np.uint64, np.int64)))
 
-    def _exact(self, length: int, counts: np.ndarray, hashes: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _exact(self, length: int, counts: np.ndarray, hashes: np.ndarray, anchors: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First words and numbers of the parts that stand in the texts word by word; ``anchors``: hashes of ``least_words`` words in a row."""
         known, shift, size, whole, number = self.anchors[length]
-        low, high = np.searchsorted(known, anchors), np.searchsorted(known, anchors, "right")
-        hits, ends, found = np.flatnonzero(high > low), np.cumsum(counts), []
+        hits = np.flatnonzero(self.marked[length][_mark(anchors)])
+        low, high = np.zeros(len(anchors), np.int64), np.zeros(len(anchors), np.int64)
+        low[hits], high[hits] = np.searchsorted(known, anchors[hits]), np.searchsorted(known, anchors[hits], "right")
+        hits, ends, found = hits[high[hits] > low[hits]], np.cumsum(counts), []
         for hit in np.array_split(hits, (high - low).sum() // 1_000_000 + 1):
             each = (high - low)[hit]
             place = np.repeat(hit, each)
@@ -166,17 +238,25 @@ class Probes:
             starts = place - shift[which]
             inside = (starts >= (ends - counts)[text]) & (starts + size[which] <= ends[text])
             starts, which = starts[inside], which[inside]
-            same = sequences(hashes, starts, size[which]) == whole[which]
+            same = sequences(hashes, starts, size[which], sums) == whole[which]
             found.append((starts[same], number[which[same]]))
         return tuple(map(np.concatenate, zip(*found)))
 
-    def _sums(self, buckets: np.ndarray, units: np.ndarray, n: int) -> np.ndarray:
-        """Sums of the vectors of words over their units, of which there are n."""
-        out = np.zeros((n, self.table.shape[1]), np.float32)
-        for at in range(0, len(units), _WORDS):
-            unit, first = np.unique(units[at : at + _WORDS], return_index=True)
-            out[unit] += np.add.reduceat(self.table[buckets[at : at + _WORDS]], first, axis=0)
-        return out
+    def _short(self, counts: np.ndarray, hashes: np.ndarray, sums: np.ndarray, found: list[dict]):
+        """Passages under ``least_words`` words, where they stand word by word."""
+        ends = np.cumsum(counts)
+        for n, (known, items, marked) in self.short.items():
+            places = np.arange(max(len(hashes) - n + 1, 0))
+            every = sequences(hashes, places, np.full(len(places), n), sums)
+            places = np.flatnonzero(marked[_mark(every)])
+            low, high = np.searchsorted(known, every[places]), np.searchsorted(known, every[places], "right")
+            text = np.searchsorted(ends, places, "right")
+            inside = (high > low) & (places + n <= ends[text])
+            pairs, first = np.unique(text[inside] * len(known) + low[inside], return_index=True)  # where it stands first
+            for pair, place, last in zip(pairs.tolist(), places[inside][first].tolist(), high[inside][first].tolist()):
+                row, number = divmod(pair, len(known))
+                for item in items[number:last].tolist():
+                    found[row][item] = max(found[row].get(item, (0.0, 0.0, 0)), (1.0, 1.0, int(place - (ends - counts)[row])))
 
     @staticmethod
     def answer(words: list[int]) -> list[int]:
@@ -189,29 +269,25 @@ class Probes:
     def _sum(self, words: list[int]) -> np.ndarray:
         return self.table[_buckets(np.unique(np.array(words, np.uint64)), self.bits)].sum(axis=0)
 
-    def _windows(self, counts: np.ndarray, hashes: np.ndarray, before: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The windows that begin at every step of each text: first word, text, and the sum of the vectors of its different words."""
-        zeros = len(self.table) - 1  # a row of zeros
-        buckets, ends = np.append(_buckets(hashes, self.bits), zeros), np.cumsum(counts)
-        units = -(-counts // step)
+    @staticmethod
+    def _windows(counts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of three steps that begin at every step of each text: first word, end and text."""
+        ends, units = np.cumsum(counts), -(-counts // step)
         text = np.repeat(np.arange(len(counts)), units)
         starts = (ends - counts)[text] + step * (np.arange(len(text)) - np.repeat(np.cumsum(units) - units, units))
-        places = starts[:, None] + np.arange(step)
-        places[places >= ends[text][:, None]] = len(hashes)  # past the end of the text
-        last, first = np.append(before, -1), []
-        for k in np.array_split(np.arange(len(starts)), len(starts) * step // _WORDS + 1):
-            fresh = last[places[k]] < starts[k][:, None]  # new in the unit
-            first.append(self.table[np.where(fresh, buckets[places[k]], zeros)].sum(axis=1))
-        vectors = np.concatenate(first)
-        again = np.flatnonzero(before >= 0)
-        unit = np.searchsorted(starts, again, "right") - 1
-        back = unit - np.searchsorted(starts, before[again], "right") + 1  # units since the same word
-        single = vectors.copy()
-        for shift in (1, 2):  # without the words that the units before it in the window have
-            some = back == shift
-            single -= self._sums(buckets[again[some]], unit[some], len(starts))
-            vectors[:-shift] += single[shift:] * (text[shift:] == text[:-shift])[:, None]
-        return starts, text, vectors
+        return starts, np.minimum(starts + 3 * step, ends[text]), text
+
+    def _vectors(self, hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray, width: int) -> np.ndarray:
+        """Sums of the vectors of the different words of windows of at most ``width`` words."""
+        zeros = len(self.table) - 1  # a row of zeros
+        out = np.zeros((len(starts), self.table.shape[1]), np.float32)
+        for k in np.array_split(np.arange(len(starts)), len(starts) * width // _WORDS + 1):
+            places = starts[k][:, None] + np.arange(width)
+            words = np.sort(hashes[np.where(places < stops[k][:, None], places, starts[k][:, None])], axis=1)
+            buckets = _buckets(words, self.bits)
+            buckets[:, 1:][words[:, 1:] == words[:, :-1]] = zeros
+            out[k] = self.table[buckets].sum(axis=1)
+        return out
 
     def search(self, counts: np.ndarray, hashes: np.ndarray) -> list[dict[int, tuple[float, float, int]]]:
         """For each text of ``counts`` words: the items in it, with share, answer share and first word of the best window.
@@ -222,25 +298,28 @@ class Probes:
         found: list[dict[int, tuple[float, float, int]]] = [{} for _ in counts]
         if not len(hashes):
             return found
-        before = previous(counts, hashes)
-        ends, n = np.cumsum(counts), self.config.least_words
+        ends, n, sums = np.cumsum(counts), self.config.least_words, running_sums(hashes)
+        self._short(counts, hashes, sums, found)
         anchors = np.arange(max(len(hashes) - n + 1, 0))
-        anchors = sequences(hashes, anchors, np.full(len(anchors), n))
+        anchors = sequences(hashes, anchors, np.full(len(anchors), n), sums)
         for length, some in self.by_length.items():
             step = max(length // 2, 1)
-            starts, text, vectors = self._windows(counts, hashes, before, step)
+            starts, stops, text = self._windows(counts, step)
             begins = (ends - counts)[text]
-            size = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-            size[size <= 1e-12 * size.max()] = np.inf  # nothing in it counts
-            stops = np.minimum(starts + 3 * step, ends[text])
-            at, numbers = self._exact(length, counts, hashes, anchors)
+            at, numbers = self._exact(length, counts, hashes, anchors, sums)
             exact = np.unique(np.column_stack([np.searchsorted(starts, at, "right") - 1, numbers]), axis=0)
             for w, number in exact.tolist():
                 self._look(found[text[w]], number, hashes, starts[w], stops[w], begins[w])
-            for at in range(0, len(starts), 20_000):
-                near = vectors[at : at + 20_000] @ self.vectors[length].T >= self.config.cosine * size[at : at + 20_000, None]
+            hopeful = self._hopeful(length, hashes, text, starts)
+            for at in range(0, len(hopeful), 20_000):
+                windows = hopeful[at : at + 20_000]
+                vectors = self._vectors(hashes, starts[windows], stops[windows], 3 * step)
+                size = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+                size[size <= 1e-12 * size.max()] = np.inf  # nothing in it counts
+                near = vectors @ self.vectors[length].T >= self.config.cosine * size[:, None]
                 for w, p in np.argwhere(near).tolist():
-                    self._look(found[text[at + w]], some[p], hashes, starts[at + w], stops[at + w], begins[at + w])
+                    w = windows[w]
+                    self._look(found[text[w]], some[p], hashes, starts[w], stops[w], begins[w])
         return found
 
     def _look(self, found: dict, number: int, hashes: np.ndarray, start: int, stop: int, begin: int):
@@ -276,8 +355,8 @@ def screened(documents: DataFrame, benchmark: DataFrame, config: LeakConfig = Le
     ``share`` is the longest common word sequence over the words of the benchmark passage (or of a
     part of ``probe`` words), ``at`` the first word of the window. Case and punctuation do not
     matter. Null and empty texts have no leaks, and neither have tables whose benchmark is empty;
-    benchmark rows without an id or with fewer than ``least_words`` words are not looked for.
-    Repeated rows are all kept.
+    benchmark rows without an id or without words are not looked for, those with fewer than ``least_words`` words
+    are found where they stand word by word (``at`` is then their first word). Repeated rows are all kept.
     """
     ship_package(documents.sparkSession)
     texts = documents.select(F.col(text_column).alias("text"))

@@ -25,20 +25,16 @@ def content_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(group_rows(counts)[word], minlength=len(texts)).astype(np.int64), hashes[word]
 
 
-def previous(counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """For each word, the place of the same word before it in its text; -1 if there is none."""
-    rows = group_rows(counts)
-    order = np.lexsort((hashes, rows))
-    again = (hashes[order][1:] == hashes[order][:-1]) & (rows[order][1:] == rows[order][:-1])
-    out = np.full(len(hashes), -1)
-    out[order[1:][again]] = order[:-1][again]
-    return out
+def running_sums(hashes: np.ndarray) -> np.ndarray:
+    """What ``sequences`` takes its hashes from, to be made once for several calls."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * powers(BASE, len(hashes)), out=sums[1:])
+    return sums
 
 
-def sequences(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def sequences(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
     """Hashes of the sequences of ``lengths`` words that begin at ``starts``; the same wherever the same words stand."""
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers(BASE, len(hashes)), out=sums[1:])
+    sums = running_sums(hashes) if sums is None else sums
     return mix((sums[starts + lengths] - sums[starts]) * powers(INVERSE, len(hashes) + 1)[starts] + lengths.astype(np.uint64))
 
 

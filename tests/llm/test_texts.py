@@ -318,13 +318,54 @@ def test_a_window_counts_each_word_once():
     weight, basis = np.ones(256, np.float32), rng.normal(size=(256, 5)).astype(np.float32)
     probes = decontaminate.Probes([(1, "a passage of the benchmark")], weight, basis, config)
     counts, hashes = decontaminate.content_words(pa.array([" ".join(f"w{k}" for k in rng.integers(0, 15, n)) for n in (70, 3, 0, 41)]))
-    starts, text, vectors = probes._windows(counts, hashes, decontaminate.previous(counts, hashes), 6)
-    ends = np.cumsum(counts)
+    starts, stops, text = probes._windows(counts, 6)
+    vectors, ends = probes._vectors(hashes, starts, stops, 18), np.cumsum(counts)
     assert starts.tolist() == [at for end, n in zip(ends, counts) for at in range(end - n, end, 6)]
     want = [probes._sum(hashes[at : min(at + 18, ends[k])].tolist()) for at, k in zip(starts, text)]
     assert np.allclose(vectors, want, atol=1e-4)
 
 
+@pytest.mark.parametrize("groups", [1, 3, 64])
+def test_skipped_windows_hold_no_passage(words, groups):
+    """Every window with ``share`` of a passage, in order, is among those that are projected."""
+    dice, rng = random.Random(groups), np.random.default_rng(groups)
+    config = decontaminate.LeakConfig(bucket_bits=8, rank=4, groups=groups)
+    weight, basis = rng.random(256).astype(np.float32), rng.normal(size=(256, 4)).astype(np.float32)
+    items = [(i, " ".join(dice.choices(words[:80], k=dice.randint(5, 30)))) for i in range(40)]
+    probes = decontaminate.Probes(items, weight, basis, config)
+    texts = []
+    for _, text in items:
+        kept = [w for w in text.split() if dice.random() < 0.7]
+        texts.append(" ".join(dice.choices(words, k=dice.randint(0, 40)) + kept + dice.choices(words, k=dice.randint(0, 40))))
+    counts, hashes = decontaminate.content_words(pa.array([*texts, "", None]))
+    held = 0
+    for length, some in probes.by_length.items():
+        starts, stops, text = probes._windows(counts, length // 2)
+        hopeful = set(probes._hopeful(length, hashes, text, starts).tolist())
+        for w, (start, stop) in enumerate(zip(starts, stops)):
+            seen = hashes[start:stop].tolist()
+            best = max(decontaminate.longest_common(probes.masks[i][0], len(probes.parts[i][1]), seen) / len(probes.parts[i][1]) for i in some)
+            held += best >= config.share
+            assert best < config.share or w in hopeful
+    assert held >= 20
+
+
+def test_paraphrases_are_found_as_by_comparing_every_window(leak_case):
+    frame, benchmark, want = leak_case
+    every = leaks(frame, benchmark, cosine=-1.0)
+    assert want <= every and len(leaks(frame, benchmark) & every) >= 0.9 * len(every)
+
+
+def test_short_passages_are_found_word_by_word(spark):
+    docs = [(1, "Well, that is Forty-Two indeed"), (2, "forty two"), (3, "two forty forty"), (4, "and forty"), (5, "two"), (6, None)]
+    items = [(7, "forty two"), (8, "Forty, two!"), (9, "indeed"), (10, "a b c d"), (11, "!")]
+    found = decontaminate.screened(
+        spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    )
+    got = {(r.row.doc_id, x.item_id, x.share, x.at) for r in found.collect() for x in r.leaks}
+    assert got == {(1, 7, 1.0, 3), (1, 8, 1.0, 3), (1, 9, 1.0, 5), (2, 7, 1.0, 0), (2, 8, 1.0, 0)}
+
+
 def test_every_exact_passage_is_found(spark, sf_dir):
     plain = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
     docs = [(r.doc_id, f" {plain(r.text)} ") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
