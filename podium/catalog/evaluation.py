@@ -73,6 +73,13 @@ def knn_block_topk(spark, sf_dir):
     return _all_by_all(spark, sf_dir, broadcast_bytes=0)
 
 
+@query(COSINE_SQL)
+def knn_passes_topk(spark, sf_dir):
+    """Queries in parts, a pass over the documents for each, as for more queries than can be broadcast at once."""
+    n = table(spark, sf_dir, "embeddings").count()
+    return _all_by_all(spark, sf_dir, broadcast_bytes=n * 64 * 8 // 3)
+
+
 @query(COSINE_SQL)
 def knn_floor_topk(spark, sf_dir):
     """With the lower bounds that a large search takes from a share of the documents."""

@@ -3,7 +3,9 @@
 Documents stay where they are: ``mapInArrow`` tasks multiply Arrow batches of them with the
 query matrix and keep the best ``k`` per query, so only candidates are shuffled. The query
 matrix is broadcast while its size, which is counted first, is within a bound. Beyond the
-bound both sides are shuffled into blocks and every pair of blocks is searched by one task.
+bound the queries are broadcast in parts, one pass over the documents after the other. When that
+would take more than ``MAX_PASSES`` passes, both sides are shuffled into blocks and every pair of blocks is
+searched by one task.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ from pyspark.sql import functions as F
 
 from podium.functions.text import as_id
 from podium.operators.topk import top_per_group
-from podium.session import ship_package
+from podium.session import new_folder, ship_package
 
 BROADCAST_BYTES = 256 * 1024 * 1024
+MAX_PASSES = 64
 BLOCK_BYTES = 128 * 1024 * 1024
 MERGE_ROWS = 200_000_000
 FLOOR_SHARE = 0.01
@@ -145,12 +148,14 @@ def _groups(table, by: list[str]):
         yield tuple(table.column(name)[row].as_py() for name in by), table.filter(pa.array(codes == number))
 
 
-def _search_broadcast(queries: DataFrame, docs: DataFrame, by: list[str], settings: dict, schema) -> DataFrame:
-    spark = docs.sparkSession
-    table = queries.toArrow()
+def _send(queries: pa.Table, docs: DataFrame, by: list[str], dim: int):
+    return docs.sparkSession.sparkContext.broadcast({group: QueryBlock(part, dim) for group, part in _groups(queries, by)})
+
+
+def _search_broadcast(shared, docs: DataFrame, by: list[str], settings: dict, schema) -> DataFrame:
+    """Hits of the queries that ``_send`` has sent."""
     dim = settings["dim"]
-    shared = spark.sparkContext.broadcast({group: QueryBlock(part, dim) for group, part in _groups(table, by)})
-    key_schema = table.select(by).schema
+    key_schema = docs.select(by).limit(0).toArrow().schema if by else pa.schema([])
 
     def score(batches):
         searches = {}
@@ -173,6 +178,30 @@ def _search_broadcast(queries: DataFrame, docs: DataFrame, by: list[str], settin
     return docs.mapInArrow(score, schema)
 
 
+def _search_passes(queries: DataFrame, docs: DataFrame, by: list[str], settings: dict, schema, best, bound: int, least: int) -> DataFrame:
+    """Queries in at least ``least`` parts of at most ``bound`` bytes, each searched in a pass of its own over the documents, which stay in their splits.
+
+    A pass stores its best hits, and its queries are dropped everywhere, before the next part is sent. None, if one id has more
+    than ``bound`` bytes of rows.
+    """
+    most, passes = max(1, bound // (settings["dim"] * 8)), least
+    while True:  # the parts are cut by a hash: count them, and cut finer if one is too large
+        part = F.pmod(F.xxhash64(*by, "query_id"), F.lit(passes))
+        sizes = {r["part"]: r["count"] for r in queries.groupBy(part.alias("part")).count().collect()}
+        if max(sizes.values()) <= most:
+            break
+        if passes >= 4 * least:
+            return None
+        passes += -(-least // 4)
+    folder = new_folder(docs.sparkSession, "knn-passes")
+    for number in sorted(sizes):
+        shared = _send(queries.where(part == number).toArrow(), docs, by, settings["dim"])
+        found = best(_search_broadcast(shared, docs, by, settings, schema))
+        found.write.mode("append").parquet(folder)
+        shared.destroy()
+    return docs.sparkSession.read.schema(found.schema).parquet(folder)
+
+
 def _search_blocks(queries: DataFrame, docs: DataFrame, by: list[str], settings: dict, schema, sizes: dict) -> DataFrame:
     dim = settings["dim"]
     query_blocks = max(1, ceil(sizes["query_bytes"] / sizes["block_bytes"]))
@@ -222,6 +251,7 @@ def knn(
     eps: float = 1e-6,
     broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
+    max_passes: int = MAX_PASSES,
     merge_rows: int = MERGE_ROWS,
     floor_share: float = FLOOR_SHARE,
     floor_docs: DataFrame | None = None,
@@ -239,7 +269,8 @@ def knn(
     is ``floor_docs``, any rows of ``docs`` that are cheap to read, such as some of their files
     (``read_vectors_part``); left out, a hashed share is taken, which reads the vectors twice.
 
-    Counting both sides, and collecting the bounded query side, run when this is called.
+    Counting both sides, and collecting the bounded query side, run when this is called, and so do
+    the passes, which store their hits in the shared folder, if the queries are above ``broadcast_bytes``.
     """
     if similarity not in SIMILARITIES:
         raise ValueError(f"similarity must be one of {sorted(SIMILARITIES)}")
@@ -271,13 +302,21 @@ def knn(
         doc_side = doc_side.repartition(wanted, "doc_id")
     sizes = {"query_bytes": n_queries * dim * 8, "doc_bytes": n_docs * dim * 8, "block_bytes": block_bytes}
 
-    def search(query_rows, doc_rows, doc_bytes):
-        if sizes["query_bytes"] <= broadcast_bytes:
-            found = _search_broadcast(query_rows, doc_rows, by, settings, schema)
-        else:
-            found = _search_blocks(query_rows, doc_rows, by, settings, schema, {**sizes, "doc_bytes": doc_bytes})
+    # Parts by a hash are not all of one size: a ninth is left free in each.
+    passes = 1 if sizes["query_bytes"] <= broadcast_bytes else ceil(sizes["query_bytes"] * 9 / 8 / max(broadcast_bytes, 1))
+
+    def best(found):
         return top_per_group(found, [*by, "query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
+    def search(query_rows, doc_rows, doc_bytes):
+        if passes <= 1:
+            return best(_search_broadcast(_send(query_rows.toArrow(), doc_rows, by, dim), doc_rows, by, settings, schema))
+        if passes <= max_passes:
+            found = _search_passes(query_rows, doc_rows, by, settings, schema, best, broadcast_bytes, passes)
+            if found is not None:
+                return found
+        return best(_search_blocks(query_rows, doc_rows, by, settings, schema, {**sizes, "doc_bytes": doc_bytes}))
+
     no_floor = query_side.withColumn("floor", F.lit(None).cast("double"))
     tasks = ceil(sizes["doc_bytes"] / block_bytes)
     if n_queries * k * tasks > merge_rows:

@@ -43,6 +43,8 @@ def found(df):
 PATHS = {
     "broadcast": {},
     "floor": {"merge_rows": 0, "floor_share": 0.3},
+    "passes": {"broadcast_bytes": 300, "max_passes": 1000},
+    "passes with floor": {"broadcast_bytes": 700, "max_passes": 1000, "merge_rows": 0, "floor_share": 0.5},
     "blocks": {"broadcast_bytes": 0, "block_bytes": 400},
     "blocks with floor": {"broadcast_bytes": 0, "block_bytes": 900, "merge_rows": 0, "floor_share": 0.5},
 }
@@ -111,6 +113,32 @@ def test_groups_search_their_own_documents(spark, path):
     assert rows == expected("cosine", 6, {d: v for d, v in DOCS.items() if d in members})
 
 
+def test_passes_move_no_documents(spark, monkeypatch):
+    """Each pass gets its share of the queries, and its plan shuffles nothing but the hits of tasks."""
+    sent, plans = [], []
+    send, search = knn_module._send, knn_module._search_broadcast
+
+    def seen(table, *rest):
+        sent.append(len(table))
+        return send(table, *rest)
+
+    def planned(*some):
+        found = search(*some)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(knn_module, "_send", seen)
+    monkeypatch.setattr(knn_module, "_search_broadcast", planned)
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    docs = vectors.select(F.col("vec_id").alias("doc_id"), "embedding")
+    queries = vectors.limit(40).select(F.col("vec_id").alias("query_id"), "embedding")
+    bound = 18 * 64 * 8
+    got = found(knn(queries, docs, 3, score_digits=6, broadcast_bytes=bound))
+    assert sum(sent) == 40 and len(sent) > 2 and max(sent) <= 18
+    assert not any("Exchange" in plan for plan in plans)
+    assert got == found(knn(queries, docs, 3, score_digits=6))
+
+
 def test_null_and_zero_vectors(spark):
     queries = spark.createDataFrame([("q", [1.0, 0.0]), ("none", None)], "query_id string, embedding array<float>")
     docs = spark.createDataFrame(
@@ -170,7 +198,7 @@ def test_position_in_group(spark):
 
 @pytest.mark.parametrize("scale", [1e-6, 1.0, 1e6])
 @pytest.mark.parametrize("similarity", ["cosine", "ip"])
-@pytest.mark.parametrize("path", [{}, {"merge_rows": 0, "floor_share": 0.99}, {"broadcast_bytes": 0, "block_bytes": 20_000}])
+@pytest.mark.parametrize("path", [{}, {"merge_rows": 0, "floor_share": 0.99}, {"broadcast_bytes": 0, "block_bytes": 20_000}, {"broadcast_bytes": 3000}])
 def test_unrounded_scores_lose_nothing(spark, scale, similarity, path):
     """Every path gives k rows a query, with the best scores, duplicates included."""
     rng = np.random.default_rng(5)
