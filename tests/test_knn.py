@@ -221,3 +221,61 @@ def test_nan_is_an_error(spark, fails):
     left = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
     right = spark.createDataFrame([("a", [1.0, float("nan")]), ("b", [1.0, 1.0])], "doc_id string, embedding array<double>")
     assert "NaN" in fails(knn(left, right, 2))
+
+
+def test_equal_scores_are_cut_to_k(spark):
+    """However many documents tie, a task keeps k of them per query: those with the smallest ids."""
+    ids = [f"d{i}" for i in range(500)]
+    query = {"query_id": ["a", "b"], "vector": [[1.0, 0.0], [0.5, 0.0]], "floor": knn_module.pa.array([None, None], knn_module.pa.float64())}
+    search = knn_module.BestHits(knn_module.QueryBlock(knn_module.pa.table(query), 2), {"k": 3, "similarity": "ip", "digits": 1, "eps": 1e-6})
+    search.offer(np.ones((500, 2)), knn_module.pa.array(ids))
+    assert search.rows == 6
+    assert sorted(search.take()["doc_id"].to_pylist()) == sorted(2 * sorted(ids)[:3])
+
+
+def test_candidates_are_handed_over(spark, monkeypatch):
+    """No more candidates are held than HELD_ROWS and those of one tile, whatever k and the number of queries are."""
+    monkeypatch.setattr(knn_module, "TILE_CELLS", 500)
+    monkeypatch.setattr(knn_module, "HELD_ROWS", 60)
+    table = {"query_id": [str(i) for i in range(100)], "vector": RNG.normal(size=(100, 2)).tolist(), "floor": knn_module.pa.nulls(100, knn_module.pa.float64())}
+    search = knn_module.BestHits(knn_module.QueryBlock(knn_module.pa.table(table), 2), {"k": 9, "similarity": "ip", "digits": None, "eps": 1e-6})
+    docs = knn_module.DocBlock(knn_module.pa.array([str(i) for i in range(100)]), RNG.normal(size=(100, 2)))
+    sizes = [len(found) for found in search.found(docs)]
+    assert sum(sizes) + search.rows == 900 and max(sizes) <= 60 + 5 * 9
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+@pytest.mark.parametrize("similarity", ["cosine", "ip"])
+def test_fewer_documents_than_queries(spark, monkeypatch, similarity, parts):
+    """The smaller side is sent: each task takes queries and gives their k best, and no query goes through the driver."""
+    sent = []
+    monkeypatch.setattr(knn_module, "_send", lambda *some: sent.append(some))
+    few = dict(list(DOCS.items())[:15])
+    many = {f"{q}-{i}": v for q, v in QUERIES.items() for i in range(9)}
+    options = {"broadcast_bytes": 400, "block_bytes": 2000 if parts == 1 else 900, "max_passes": 1000}
+    df = knn(frame(spark, many, "query_id"), frame(spark, few, "doc_id"), 4, similarity, score_digits=6, **options)
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == parts
+    assert found(df) == expected(similarity, 4, few, many) and not sent
+
+
+def test_fewer_documents_than_queries_in_groups(spark):
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    few = dict(list(DOCS.items())[:15])
+    many = {f"{q}-{i}": v for q, v in QUERIES.items() for i in range(9)}
+    docs = frame(spark, few, "doc_id", part=half)
+    members = {r.doc_id for r in docs.where("part = 1").collect()}
+    queries = frame(spark, many, "query_id", part=F.lit(1).cast("long"))
+    rows = found(knn(queries, docs, 4, by=("part",), score_digits=6, broadcast_bytes=400))
+    assert rows == expected("cosine", 4, {d: v for d, v in few.items() if d in members}, many)
+
+
+def test_blocks_fill_the_cores(spark, monkeypatch):
+    """Blocks far below their bound are cut finer, a partition for each pair, so that one task does not search for all."""
+    monkeypatch.setattr(knn_module, "TASK_PRODUCTS", 3000)
+    df = knn(frame(spark, QUERIES, "query_id"), frame(spark, DOCS, "doc_id"), 5, score_digits=6, broadcast_bytes=0)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" not in plan and "REPARTITION_BY_NUM" in plan
+    assert found(df) == expected("cosine", 5)
+    sizes = {"query_bytes": 1000, "doc_bytes": 8000, "block_bytes": 400}
+    q, d = knn_module._pairs_of_blocks(20, 5, sizes, 12)
+    assert q >= 3 and q * d >= 12
