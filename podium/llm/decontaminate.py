@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm import tables
-from podium.llm.common import blocks
-from podium.llm.features import content_words, distinct_buckets, running_sums, sequences
+from podium.llm.common import blocks, group_rows
+from podium.llm.features import content_words, last_places, running_sums, sequences
 from podium.session import ship_package
 
 
@@ -46,6 +46,8 @@ class LeakConfig:
 _BYTES = 500_000
 #: Words whose vectors are gathered at a time, so that they stay in the processor's cache.
 _WORDS = 1024
+#: Passages that are added up on their own, so that a small number is not added to a large one each time.
+_PASSAGES = 2048
 #: Units of windows whose rarer words are counted at a time.
 _UNITS = 4096
 #: Bits of a hash by which most of what is not looked for is told.
@@ -69,7 +71,8 @@ def weights(texts: DataFrame, config: LeakConfig) -> np.ndarray:
         found = np.zeros(2 * n, np.int64)
         for batch in blocks(batches, "text", _BYTES):
             counts, hashes = content_words(batch.column("text"))
-            found[:n] += np.bincount(distinct_buckets(counts, _buckets(hashes, config.bucket_bits), n)[1], minlength=n)
+            buckets = _buckets(hashes, config.bucket_bits)
+            found[:n] += np.bincount(buckets[last_places(group_rows(counts), buckets, n)], minlength=n)
             found[n] += np.count_nonzero(counts)
         yield tables.partial(found)
 
@@ -77,6 +80,31 @@ def weights(texts: DataFrame, config: LeakConfig) -> np.ndarray:
     return np.log((1 + found[n]) / (1 + found[:n])).astype(np.float32)
 
 
+def _product(batches, table: np.ndarray, config: LeakConfig) -> np.ndarray:
+    """A'(A T) for the passages A of these batches, a row of buckets each, 1 where the passage has the bucket.
+
+    A passage touches as many rows of the tables as it has different buckets.
+    """
+    out, some, held = np.zeros_like(table), np.zeros_like(table), 0
+    for batch in blocks(batches, "text", _BYTES):
+        counts, hashes = content_words(batch.column("text"))
+        per_text = -(-counts // config.passage)
+        places = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+        passage = np.repeat(np.cumsum(per_text) - per_text, counts) + places // config.passage
+        buckets = _buckets(hashes, config.bucket_bits)
+        once = last_places(passage, buckets, len(table))
+        buckets, sizes = buckets[once], np.bincount(passage[once])
+        ends = np.cumsum(sizes)
+        for begin, end in zip((ends - sizes).tolist(), ends.tolist()):
+            words = buckets[begin:end]  # all different
+            some[words] = some.take(words, axis=0) + table.take(words, axis=0).sum(axis=0)
+        held += len(sizes)
+        if held >= _PASSAGES:
+            out += some
+            some[:], held = 0, 0
+    return out + some
+
+
 def latent_space(texts: DataFrame, weight: np.ndarray, config: LeakConfig) -> np.ndarray:
     """Right singular vectors (buckets x rank) of the weighted passages by a randomised SVD, over their squared singular values."""
     n = len(weight)
@@ -85,21 +113,7 @@ def latent_space(texts: DataFrame, weight: np.ndarray, config: LeakConfig) -> np
         sent = texts.sparkSession.sparkContext.broadcast(weight[:, None] * basis)
 
         def run(batches, sent=sent):
-            out = np.zeros((n, config.rank), np.float32)
-            for batch in blocks(batches, "text", _BYTES):
-                counts, hashes = content_words(batch.column("text"))
-                if not len(hashes):
-                    continue
-                per_text = -(-counts // config.passage)
-                places = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
-                passage = np.repeat(np.cumsum(per_text) - per_text, counts) + places // config.passage
-                keys = np.unique(passage * n + _buckets(hashes, config.bucket_bits))
-                for first in range(0, int(per_text.sum()), 512):
-                    low, high = np.searchsorted(keys, [first * n, (first + 512) * n])
-                    rows = np.zeros((512, n), np.float32)
-                    rows.ravel()[keys[low:high] - first * n] = 1
-                    out += rows.T @ (rows @ sent.value)
-            yield tables.partial((weight[:, None] * out).ravel())
+            yield tables.partial((weight[:, None] * _product(batches, sent.value, config)).ravel())
 
         table = tables.total(_few_tasks(texts).mapInArrow(run, tables.SHAPE), n * config.rank, "<f4")
         left, size, _ = np.linalg.svd(table.reshape(n, config.rank).astype(np.float64), full_matrices=False)
@@ -179,9 +193,9 @@ class Probes:
 
         A common sequence of at least m of a part's L words has at least k of its L - m + k rarest.
         """
-        pairs, need = set(), np.full(self.config.groups, np.iinfo(np.int64).max)
+        pairs, need = set(), np.full(min(self.config.groups, len(some)), np.iinfo(np.int64).max)
         for place, i in enumerate(some):
-            words, group = np.array(self.parts[i][1], np.uint64), place % self.config.groups
+            words, group = np.array(self.parts[i][1], np.uint64), place % len(need)
             least = max(int(np.ceil(self.config.share * len(words) - 1e-6)), 0)
             k = min(least, max(1, len(words) // 4))
             rarest = np.argsort(-weight[_buckets(words, self.bits)], kind="stable")[: len(words) - least + k]
@@ -198,6 +212,8 @@ class Probes:
         at = np.minimum(np.searchsorted(known, hashes[some]), len(known) - 1)
         some, at = some[known[at] == hashes[some]], at[known[at] == hashes[some]]
         unit, n, hopeful = np.searchsorted(begins, some, "right") - 1, len(need), np.zeros(len(begins), bool)
+        kind = np.min_scalar_type(3 * max(length // 2, 1))  # a window holds no more words
+        need = need.astype(kind)
         for first in range(0, len(begins), _UNITS):  # with the two units after them
             last = min(first + _UNITS + 2, len(begins))
             low, high = np.searchsorted(unit, [first, last])
@@ -205,7 +221,7 @@ class Probes:
             each = bounds[word + 1] - bounds[word]
             group = groups[np.repeat(bounds[word] - np.cumsum(each) + each, each) + np.arange(each.sum())]
             cells = np.repeat(unit[low:high] - first, each) * n + group
-            found = np.bincount(cells, minlength=(last - first) * n).reshape(-1, n)
+            found = np.bincount(cells, minlength=(last - first) * n).reshape(-1, n).astype(kind)
             total = found.copy()
             for shift in (1, 2):
                 total[:-shift] += found[shift:] * (text[first + shift : last] == text[first : last - shift])[:, None]

@@ -1,13 +1,14 @@
 """Language, licences, mixing and decontamination."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from podium.llm import decontaminate, langid, licenses, mixing
+from podium.llm import decontaminate, features, langid, licenses, mixing
 from podium.llm.queries import QUERIES, TARGETS
 
 
@@ -350,6 +351,60 @@ def test_skipped_windows_hold_no_passage(words, groups):
     assert held >= 20
 
 
+def test_words_do_not_depend_on_pieces(words):
+    dice = random.Random(2)
+    texts = [" ".join(dice.choices([*words, "Ünïcode", "ß,x;y", "--"], k=dice.choice([0, 1, 30, 400]))) for _ in range(200)]
+    texts = [None, "", *texts, "A long, long text. " * 20_000, None, "end", ""]
+    counts, hashes = features.content_words(pa.array(["first", *texts], pa.string()).slice(1))
+    one = [features.content_words(pa.array([t], pa.string())) for t in texts]
+    assert counts.tolist() == [int(c[0]) for c, _ in one] and counts.sum() == len(hashes)
+    assert (hashes == np.concatenate([h for _, h in one])).all()
+    none = features.content_words(pa.array([], pa.string()))
+    assert [len(x) for x in none] == [0, 0] and none[1].dtype == np.uint64
+
+
+def test_words_are_cut_in_small_pieces(words):
+    """What is made per byte on the way is a multiple of a piece, not of all texts; made anew for all of them it costs twice the time."""
+    texts = pa.array([" ".join(words[k % 50 :][:60]) for k in range(6000)])
+    features.content_words(texts.slice(0, 500))
+    tracemalloc.start()
+    features.content_words(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * texts.nbytes
+
+
+def test_last_places():
+    rng = np.random.default_rng(3)
+    for size, groups, n in [(0, 1, 4), (1, 1, 4), (500, 3, 8), (4000, 200, 16), (50, 5000, 8)]:
+        group, number = np.sort(rng.integers(0, groups, size)), rng.integers(0, n, size)
+        last = {pair: k for k, pair in enumerate(zip(group.tolist(), number.tolist()))}
+        assert np.flatnonzero(features.last_places(group, number, n)).tolist() == sorted(last.values())
+
+
+def test_product_of_passages_touches_only_their_words(words, monkeypatch):
+    dice, rng = random.Random(4), np.random.default_rng(4)
+    config = decontaminate.LeakConfig(rank=6, passage=20)
+    texts = [" ".join(dice.choices(words, k=dice.choice([0, 5, 20, 21, 130]))) for _ in range(150)]
+    table, rows = rng.normal(size=(1 << 13, 6)).astype(np.float32), []
+    for text in texts:
+        _, hashes = features.content_words(pa.array([text]))
+        buckets = decontaminate._buckets(hashes, 13)
+        for k in range(0, len(buckets), 20):
+            rows.append(np.zeros(1 << 13))
+            rows[-1][buckets[k : k + 20]] = 1
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(some, pa.string())}) for some in (texts[:70], [None, ""], texts[70:])]
+    for held in (2048, 50):
+        monkeypatch.setattr(decontaminate, "_PASSAGES", held)
+        assert np.allclose(decontaminate._product(batches, table, config), np.array(rows).T @ (np.array(rows) @ table), atol=1e-3)
+    tracemalloc.start()
+    decontaminate._product(batches, table, config)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000  # a whole row of buckets for each of 512 passages would be 16 MB
+    assert not decontaminate._product([], table, config).any()
+
+
 def test_paraphrases_are_found_as_by_comparing_every_window(leak_case):
     frame, benchmark, want = leak_case
     every = leaks(frame, benchmark, cosine=-1.0)
