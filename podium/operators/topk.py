@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from podium.session import materialize
 
+#: Groups of up to so many rows are sorted by one task.
+GROUP_ROWS = 1_000_000
 GROUP_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
@@ -67,22 +69,41 @@ def numbered(df: DataFrame, order: list[Column], position: str = "position") ->
 
 
 def position_in_group(
-    df: DataFrame, key: str | list[str], order_by: list[str | Column], position: str = "position", count: str | None = None
+    df: DataFrame,
+    key: str | list[str],
+    order_by: list[str | Column],
+    position: str = "position",
+    count: str | None = None,
+    most: int | None = None,
 ) -> DataFrame:
     """1-based position of every row within its group, also for groups of any size.
 
-    Rows are numbered in the order of group and ``order_by`` over the whole table, see ``numbered``; a
-    group's positions begin at its first row, so a hot group is sorted by many tasks, whatever its
-    values. Rows without a key are in no group and left out. The ranges are stored when this is called.
+    Groups are counted when this is called, unless it is known that none has more than ``most`` rows, and those of up to
+    ``GROUP_ROWS`` rows are dealt out by group and sorted, once. Rows of larger groups are numbered in the order of group and
+    ``order_by`` over all of them, see ``numbered``; a group's positions begin at its first row, so a hot group is sorted by
+    many tasks, whatever its values; these ranges are stored when this is called. Rows without a key are in no group and left out.
     """
     keys = [key] if isinstance(key, str) else list(key)
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
     known = df
     for name in keys:
         known = known.where(F.col(name).isNotNull())
-    placed = numbered(known, [*[F.col(name) for name in keys], *order], "_place")
-    groups = placed.groupBy(*keys).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_total"))
-    placed = placed.join(groups, keys).withColumn(position, F.col("_place") - F.col("_first") + 1)
+    columns = [*keys, *[c for c in df.columns if c not in keys]]
+    hot = None
+    if most is None or most > GROUP_ROWS:
+        hot = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total")).where(F.col("_total") > GROUP_ROWS)
+        hot = materialize(hot, "hot-groups")
+        hot = hot if hot.count() else None
+    group = Window.partitionBy(*keys)
+    cold = known if hot is None else known.join(F.broadcast(hot), keys, "left_anti")
+    placed = cold.select(*columns, F.row_number().over(group.orderBy(*order)).cast("long").alias(position))
+    if count is not None:
+        placed = placed.withColumn(count, F.count(F.lit(1)).over(group))
+    if hot is None:
+        return placed
+    large = numbered(known.join(F.broadcast(hot.drop("_total")), keys, "left_semi"), [*[F.col(name) for name in keys], *order], "_place")
+    groups = large.groupBy(*keys).agg(F.min("_place").alias("_first")).join(hot, keys)
+    large = large.join(F.broadcast(groups), keys).withColumn(position, F.col("_place") - F.col("_first") + 1)
     if count is not None:
-        placed = placed.withColumn(count, F.col("_total"))
-    return placed.drop("_place", "_first", "_total")
+        large = large.withColumn(count, F.col("_total"))
+    return placed.unionByName(large.select(*placed.columns))

@@ -1,6 +1,7 @@
 """The lexical baseline against scoring every document, and what its search leaves unread."""
 
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -132,3 +133,71 @@ def test_no_hit_is_stored_twice(spark, monkeypatch):
     assert run.count() == 60
     assert len(rows) > 2 and sum(rows) == 60
     assert sorted_columns == [["_in_doc", "doc_id", "term"]]
+
+
+def written(spark):
+    """Bytes in the shared folder."""
+    from podium.session import shared_dir
+
+    root = shared_dir(spark).removeprefix("file:")
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(root) for f in files if f.startswith("part-"))
+
+
+def test_a_search_stores_less_than_its_documents(spark, monkeypatch):
+    """Frequent words put most documents among the candidates of each query; they are neither stored nor shuffled."""
+    dice = random.Random(1)
+    texts = [" ".join(f"w{int(dice.paretovariate(0.6)) % 500}" for _ in range(40)) for _ in range(3000)]
+    docs = [(f"d{i}", t) for i, t in enumerate(texts)]
+    asked = [(f"q{i}", " ".join(f"w{dice.randint(1, 60)}" for _ in range(20))) for i in range(40)]
+    rows, queries = frames(spark, docs, asked)
+    index = lexical.build_index(rows)
+    monkeypatch.setattr(lexical, "READ_POSTINGS", 50_000)
+    before = written(spark)
+    result = lexical.search(index, queries, 10, score_digits=6)
+    assert written(spark) - before < 250_000
+    plan = result.run._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.rindex("WindowGroupLimit") < plan.index("MapInArrow")
+    assert hits(result) == plain(docs, asked, 10)
+
+
+def test_parts_change_nothing(spark, monkeypatch):
+    """The index in parts, large groups numbered in ranges, no levels read, queries sent in parts, few cells at once."""
+    from podium.operators import topk
+
+    docs = corpus(9)
+    rows, queries = frames(spark, docs, QUERIES)
+    monkeypatch.setattr(lexical, "SORTED_PAIRS", 1000)
+    monkeypatch.setattr(topk, "GROUP_ROWS", 50)
+    monkeypatch.setattr(lexical, "ASKED_PAIRS", 5)
+    monkeypatch.setattr(lexical, "SCORED_CELLS", 7)
+    index = lexical.build_index(rows, LexicalConfig(block=8))
+    assert index.table("blocks").groupBy("term", "block").count().where("count > 1").count() == 0
+    assert hits(lexical.search(index, queries, 6, score_digits=6)) == plain(docs, QUERIES, 6)
+    monkeypatch.setattr(lexical, "READ_POSTINGS", 0)
+    result = lexical.search(index, queries, 6, score_digits=6)
+    assert not result.reads and hits(result) == plain(docs, QUERIES, 6)
+
+
+def test_rows_of_one_document_count_together(spark):
+    """Two rows of an id add up, whatever their lengths; rows without an id are counted and never found."""
+    docs = [("a", "x y"), ("a", "x y z"), ("b", "x"), (None, "x y"), (None, "x y y")]
+    rows, queries = frames(spark, docs, [("q", "x y"), (None, "x")])
+    found = hits(lexical.search(lexical.build_index(rows), queries, 9))
+    mean, idf = 11 / 5, {"x": math.log(1 + 0.5 / 5.5), "y": math.log(1 + 1.5 / 4.5)}
+    each = [(idf[t] * 2.2 / (1 + 1.2 * (0.25 + 0.75 * n / mean))) for n, ts in ((2, "xy"), (3, "xy")) for t in ts]
+    assert [(q, d, r) for q, d, _, r in found] == [("q", "a", 1), ("q", "b", 2)]
+    assert abs(found[0][2] - sum(each)) < 1e-9
+
+
+def test_no_shuffle_files_are_left_by_the_index(spark):
+    """What a write has shuffled is gone when it ends, and the setting for it is as before."""
+    from podium.session import SHUFFLE_CLEANUP
+
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    root = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    spark._jvm.System.gc()
+    kept = root.getAllBlocks().toString().count("ShuffleDataBlock")
+    rows, _ = frames(spark, corpus(3), QUERIES)
+    lexical.build_index(rows)
+    assert root.getAllBlocks().toString().count("ShuffleDataBlock") <= kept
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == before
