@@ -279,3 +279,59 @@ def test_blocks_fill_the_cores(spark, monkeypatch):
     sizes = {"query_bytes": 1000, "doc_bytes": 8000, "block_bytes": 400}
     q, d = knn_module._pairs_of_blocks(20, 5, sizes, 12)
     assert q >= 3 and q * d >= 12
+
+
+@pytest.mark.parametrize("digits", [None, 3])
+@pytest.mark.parametrize("similarity", ["cosine", "ip"])
+def test_single_precision_only_drops_what_cannot_count(similarity, digits):
+    """Scores closer than single precision tells apart, copies, and lengths of all sizes: the same hits as of all scores."""
+    rng = np.random.default_rng(11)
+    docs = rng.normal(size=(3000, 16)) * 10.0 ** rng.integers(-2, 3, (3000, 1))
+    docs[1000:2000] = docs[0] + rng.normal(size=(1000, 16)) * 1e-9
+    docs[2000:2200] = docs[1]
+    docs[2300] = 0
+    queries = np.concatenate([docs[:2], rng.normal(size=(40, 16)), np.zeros((1, 16))])
+    ids = [f"d{i:04}" for i in range(3000)]
+    table = {"query_id": [str(i) for i in range(43)], "vector": queries.tolist(), "floor": knn_module.pa.nulls(43, knn_module.pa.float64())}
+    block = knn_module.QueryBlock(knn_module.pa.table(table), 16)
+    search = knn_module.BestHits(block, {"k": 30, "similarity": similarity, "digits": digits, "eps": 1e-6})
+    found = [t for t in [*search.found(knn_module.DocBlock(knn_module.pa.array(ids), docs)), search.take()] if t is not None]
+    got = {}
+    for t in found:
+        for hit in t.to_pylist():
+            got.setdefault(int(hit["query_id"]), []).append((-hit["score"], hit["doc_id"]))
+    scores = np.einsum("ik,jk->ij", queries, docs)
+    if similarity == "cosine":
+        scores /= np.maximum(np.outer(np.linalg.norm(queries, axis=1), np.linalg.norm(docs, axis=1)), 1e-6)
+    scores = scores if digits is None else np.round(scores, digits)
+    for i in range(43):
+        assert len(got[i]) == 30
+        want = np.sort(scores[i])[::-1][:30]
+        assert np.allclose(-np.array(sorted(s for s, _ in got[i])), want, rtol=1e-12, atol=1e-12)
+    if digits:
+        assert [d for _, d in sorted(got[42])] == ids[:30]
+
+
+def test_most_cells_are_not_scored_in_double_precision(monkeypatch):
+    """Only documents that may be among the best are; all of them, where lengths are too small for it."""
+    rng = np.random.default_rng(12)
+    dense, seen = knn_module.BestHits._dense, []
+    monkeypatch.setattr(knn_module.BestHits, "_dense", lambda self, *some: seen.append(1) or dense(self, *some))
+    docs, queries = rng.normal(size=(20_000, 8)), rng.normal(size=(300, 8))
+    for scale in (1.0, 1e-5):
+        table = {"query_id": [str(i) for i in range(300)], "vector": (queries * scale).tolist(), "floor": knn_module.pa.nulls(300, knn_module.pa.float64())}
+        search = knn_module.BestHits(knn_module.QueryBlock(knn_module.pa.table(table), 8), {"k": 10, "similarity": "cosine", "digits": 6, "eps": 1e-6})
+        search.offer(docs * scale, knn_module.pa.array([str(i) for i in range(20_000)]))
+        assert search.rows == 3000 and bool(seen) == (scale < 1)
+
+
+def test_as_many_documents_as_queries_are_sent(spark, monkeypatch):
+    """A query then meets all documents in one task, which gives k hits of it, and no pass and no floor is needed."""
+    sent = []
+    monkeypatch.setattr(knn_module, "PASS_BYTES", 400)
+    monkeypatch.setattr(knn_module, "MERGE_ROWS", 5)
+    monkeypatch.setattr(knn_module, "_send", lambda *some: sent.append(some))
+    some = {f"q{i}": v for i, v in enumerate(DOCS.values()) if i < 60}
+    df = knn(frame(spark, some, "query_id"), frame(spark, DOCS, "doc_id"), 4, score_digits=6, broadcast_bytes=400, merge_rows=5)
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and not sent
+    assert found(df) == expected("cosine", 4, DOCS, some)
